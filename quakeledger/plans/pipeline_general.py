@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quakeledger.operators.faulty_rows import Field, check_lines, faulty, loaded
 from quakeledger.operators.spatial import assign_regions, near_pairs
+from quakeledger.operators.timestamps import STATUS, normalise
 from quakeledger.runtime import table
 
 NEAR_KM = 0.25
@@ -52,5 +54,85 @@ inside AS (
 SELECT * FROM pair UNION ALL SELECT DISTINCT 'zone', zone_id, record_id FROM inside
 """
 
-QUERIES = {"p1_found": p1_found}
-SQL = {"p1_found": P1_FOUND_SQL}
+
+def intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intake rows with their feed's zone and date order; rows of unlisted feeds keep nulls."""
+    feeds = table(spark, sf_dir, "feeds").select("feed_id", "zone_name", "date_order").dropDuplicates(["feed_id"])
+    rows = table(spark, sf_dir, "intake_times").select("row_id", "feed_id", "origin_time")
+    return rows.join(feeds, "feed_id", "left")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The instant of each row that names one."""
+    got = normalise(intake(spark, sf_dir), ("row_id",), "origin_time", "zone_name", "date_order")
+    return got.where("status = 0").groupBy("row_id").agg(F.min("origin_us").alias("origin_us"))
+
+
+def p4_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows of each feed have no instant, by reason."""
+    got = normalise(intake(spark, sf_dir), ("row_id", "feed_id"), "origin_time", "zone_name", "date_order")
+    reason = F.element_at(F.create_map(*(F.lit(x) for kv in STATUS.items() for x in kv)), F.col("status"))
+    return got.where("status <> 0").groupBy("feed_id", reason.alias("reason")).agg(F.countDistinct("row_id").alias("n_rows"))
+
+
+LINE_LAYOUT = (
+    Field("event_uid_source"),
+    Field("origin_time", "time", True),
+    Field("latitude", "number", True, -90.0, 90.0),
+    Field("longitude", "number", True, -180.0, 180.0),
+    Field("depth_km", "number"),
+    Field("magnitude", "number", True, -2.5, 9.5),
+    Field("magnitude_type"),
+    Field("mechanism"),
+    Field("source"),
+    Field("place"),
+)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faulty lines with each reason."""
+    return faulty(check_lines(table(spark, sf_dir, "raw_lines"), "raw_text", LINE_LAYOUT, ("line_id",)), "line_id")
+
+
+def p6_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The valid lines as typed rows."""
+    return loaded(check_lines(table(spark, sf_dir, "raw_lines"), "raw_text", LINE_LAYOUT, ("line_id", "file_name", "line_no")))
+
+
+_P6_LINES = r"""
+WITH line AS (
+  SELECT DISTINCT line_id, file_name, line_no, raw_text,
+    regexp_full_match(raw_text, '([^",]*|"([^"]|"")*")(,([^",]*|"([^"]|"")*"))*') AS quoted,
+    list_transform(regexp_extract_all(raw_text || ',', '([^",]*|"(?:[^"]|"")*"),', 1),
+      lambda f: CASE WHEN starts_with(f, '"') THEN replace(substr(f, 2, length(f) - 2), '""', '"') ELSE f END) AS raw_f,
+    list_transform(raw_f, lambda f: regexp_replace(f, '^\\s+|\\s+$', '', 'g')) AS f
+  FROM raw_lines
+), tested AS (
+  SELECT *, raw_text IS NULL OR (quoted AND len(f) <> 10) AS miscounted,
+    regexp_full_match(f[2], '[0-9]{4}-[0-9]{2}-[0-9]{2}[T ]([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\.[0-9]{1,9})?Z?')
+      AND try_cast(substr(f[2], 1, 10) AS DATE) IS NOT NULL AS time_ok,
+    list_transform(f, lambda v: CASE WHEN regexp_full_match(v, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?')
+      THEN coalesce(try_cast(v AS DOUBLE), 'Infinity'::DOUBLE) END) AS num
+  FROM line
+), reason AS (
+  SELECT *, CASE WHEN NOT quoted THEN ['quoting'] WHEN miscounted THEN ['columns'] ELSE list_filter([
+    CASE WHEN f[2] <> '' AND NOT time_ok THEN 'origin_time' END,
+    CASE WHEN f[3] <> '' AND NOT coalesce(num[3] BETWEEN -90 AND 90, false) THEN 'latitude' END,
+    CASE WHEN f[4] <> '' AND NOT coalesce(num[4] BETWEEN -180 AND 180, false) THEN 'longitude' END,
+    CASE WHEN f[6] <> '' AND NOT coalesce(num[6] BETWEEN -2.5 AND 9.5, false) THEN 'magnitude' END], lambda r: r IS NOT NULL) END AS reasons
+  FROM tested
+)
+"""
+P6_FOUND_SQL = _P6_LINES + "SELECT DISTINCT line_id, unnest(reasons) AS reason FROM reason"
+P6_LOADED_SQL = _P6_LINES + r"""
+SELECT line_id, file_name, line_no, CASE WHEN f[1] <> '' THEN raw_f[1] END AS event_uid_source,
+  CASE WHEN f[2] <> '' THEN try_cast(regexp_replace(replace(replace(f[2], 'Z', ''), 'T', ' '), '(\.[0-9]{6})[0-9]+', '') AS TIMESTAMP) END AS origin_time,
+  CASE WHEN f[3] <> '' THEN num[3] END AS latitude, CASE WHEN f[4] <> '' THEN num[4] END AS longitude,
+  CASE WHEN f[5] <> '' THEN num[5] END AS depth_km, CASE WHEN f[6] <> '' THEN num[6] END AS magnitude,
+  CASE WHEN f[7] <> '' THEN raw_f[7] END AS magnitude_type, CASE WHEN f[8] <> '' THEN raw_f[8] END AS mechanism,
+  CASE WHEN f[9] <> '' THEN raw_f[9] END AS source, CASE WHEN f[10] <> '' THEN raw_f[10] END AS place
+FROM reason WHERE len(reasons) = 0
+"""
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_refused": p4_refused, "p6_found": p6_found, "p6_loaded": p6_loaded}
+SQL = {"p1_found": P1_FOUND_SQL, "p6_found": P6_FOUND_SQL, "p6_loaded": P6_LOADED_SQL}
