@@ -20,6 +20,8 @@ BLOCK_TRIANGLES = 200_000
 LEAF_TRIANGLES = 4
 #: Points of one cell above which the cell's join is split into salted parts.
 HOT_CELL = 4_000
+#: Hot cells that may be broadcast (12 bytes each).
+HOT_LISTED = 100_000
 
 
 def distance_km(lat1, lon1, lat2, lon2, radius_km: float = EARTH_RADIUS_KM) -> Column:
@@ -45,7 +47,8 @@ def near_pairs(
     The sphere is cut into rows four radii high, and each row into columns at least as wide, so that a point's
     neighbourhood touches 2.25 cells on average. Every point stands in its own cell on the left and in all cells its
     circle touches on the right: each pair meets in exactly one cell, also across the antimeridian and at the poles.
-    Cells with more than ``hot_cell`` points are split: the left side is dealt into salts and the right one repeated.
+    Cells with more than ``hot_cell`` points are found first, by one pre-aggregated count; they are split: the left side
+    is dealt into salts and the right one repeated. Up to HOT_LISTED such cells are broadcast, more join by shuffle.
 
     Nulls, NaN and out-of-range places take no part. Rows delivered several times count once (per key and place).
     An empty input gives an empty result. Points of a null group form a group of their own.
@@ -53,11 +56,10 @@ def near_pairs(
     cell_deg = float(np.degrees(4 * radius_km / EARTH_RADIUS_KM))
     reach = float(np.degrees(radius_km / EARTH_RADIUS_KM)) * (1 + 1e-9) + 1e-12
     grp = F.xxhash64(F.coalesce(F.col(group).cast("string"), F.lit("\0"))) if group else F.lit(0).cast("long")
-    base = (
-        points.where(valid_place(lat, lon) & F.col(key).isNotNull())
-        .select(F.col(key).alias("id"), F.col(lat).cast("double").alias("y"), F.col(lon).cast("double").alias("x"), grp.alias("g"))
-        .dropDuplicates()
+    raw = points.where(valid_place(lat, lon) & F.col(key).isNotNull()).select(
+        F.col(key).alias("id"), F.col(lat).cast("double").alias("y"), F.col(lon).cast("double").alias("x"), grp.alias("g")
     )
+    base = raw.dropDuplicates()
 
     def columns(row: Column) -> Column:
         """Number of cells in a row: by the cosine at the row's edge that is nearer to a pole."""
@@ -66,17 +68,16 @@ def near_pairs(
 
     row = F.floor((F.col("y") + 90.0) / cell_deg).cast("int")
     cell = lambda g, r, c: F.xxhash64(g, r, c)
-    left = (
-        base.withColumn("r", row)
-        .withColumn("n", columns(F.col("r")))
-        .select("id", "y", "x", "g", cell(F.col("g"), F.col("r"), F.pmod(F.floor((F.col("x") + 180.0) * F.col("n") / 360.0).cast("int"), F.col("n"))).alias("cell"))
-    )
-    hot = left.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > hot_cell).select(
+
+    def in_own_cell(df: DataFrame) -> DataFrame:
+        column = F.pmod(F.floor((F.col("x") + 180.0) * F.col("n") / 360.0).cast("int"), F.col("n"))
+        return df.withColumn("r", row).withColumn("n", columns(F.col("r"))).select("id", "y", "x", "g", cell(F.col("g"), F.col("r"), column).alias("cell"))
+
+    hot = in_own_cell(raw).groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > hot_cell).select(
         "cell", F.ceil(F.col("n") / hot_cell).cast("int").alias("parts")
     )
-    left = left.join(hot, "cell", "left").select(
-        "id", "y", "x", "g", "cell", F.pmod(F.xxhash64("id", F.lit(7)), F.coalesce("parts", F.lit(1))).cast("int").alias("salt")
-    )
+    listed = hot.limit(HOT_LISTED + 1).collect()
+    left = in_own_cell(base)
     widest = F.when(
         F.abs(F.col("y")) + reach >= 90.0, F.lit(180.0)
     ).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.lit(reach))) / F.cos(F.radians(F.col("y"))))) ) + 1e-9)
@@ -90,12 +91,17 @@ def near_pairs(
         .withColumn("c", F.explode(F.sequence(F.col("a"), F.col("b"))))
         .select("id", "y", "x", "g", cell(F.col("g"), F.col("r"), F.pmod(F.col("c"), F.col("n"))).alias("cell"))
     )
-    right = right.join(hot, "cell", "left").select(
-        F.col("id").alias("id2"), F.col("y").alias("y2"), F.col("x").alias("x2"), F.col("g").alias("g2"), "cell",
-        F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("salt"),
-    )
+    right = right.select(F.col("id").alias("id2"), F.col("y").alias("y2"), F.col("x").alias("x2"), F.col("g").alias("g2"), "cell")
+    on = ["cell"]
+    if listed:
+        if len(listed) <= HOT_LISTED:
+            hot = F.broadcast(points.sparkSession.createDataFrame(listed, "cell long, parts int"))
+        parts = F.coalesce("parts", F.lit(1))
+        left = left.join(hot, "cell", "left").withColumn("salt", F.pmod(F.xxhash64("id", F.lit(7)), parts).cast("int")).drop("parts")
+        right = right.join(hot, "cell", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+        on = ["cell", "salt"]
     near = (
-        left.join(right, ["cell", "salt"])
+        left.join(right, on)
         .where((F.col("id") < F.col("id2")) & (F.col("g") == F.col("g2")) & (F.abs(F.col("y") - F.col("y2")) <= reach))
         .where(distance_km("y", "x", "y2", "x2") <= radius_km)
     )
