@@ -105,7 +105,7 @@ WITH line AS (
     regexp_full_match(raw_text, '([^",]*|"([^"]|"")*")(,([^",]*|"([^"]|"")*"))*') AS quoted,
     list_transform(regexp_extract_all(raw_text || ',', '([^",]*|"(?:[^"]|"")*"),', 1),
       lambda f: CASE WHEN starts_with(f, '"') THEN replace(substr(f, 2, length(f) - 2), '""', '"') ELSE f END) AS raw_f,
-    list_transform(raw_f, lambda f: regexp_replace(f, '^\\s+|\\s+$', '', 'g')) AS f
+    list_transform(raw_f, lambda f: regexp_replace(f, '^\s+|\s+$', '', 'g')) AS f
   FROM raw_lines
 ), tested AS (
   SELECT *, raw_text IS NULL OR (quoted AND len(f) <> 10) AS miscounted,
