@@ -32,40 +32,35 @@ def stripped(c: Column) -> Column:
     return F.regexp_replace(c, r"\A\s+|\s+\z", "")
 
 
-def well_quoted(line: Column) -> Column:
+def well_quoted(pieces: Column, n: Column) -> Column:
     """Whether each field is free of quotes or is quoted as a whole, with inner quotes doubled.
 
-    Cut at the quotes, the pieces stand outside and inside quotes by turns. There must be an odd number of pieces, and
-    a piece outside must meet the neighbouring quotes with a comma, or be empty (a doubled quote, or the line's end).
+    The line's n pieces, cut at its quotes, stand outside and inside quotes by turns. n must be odd, and a piece
+    outside must meet the neighbouring quotes with a comma, or be empty (a doubled quote, or the line's end).
     """
-    pieces = F.split(line, '"', -1)
-    n = F.size(pieces)
 
-    def bad(s: Column, i: Column) -> Column:
+    def good(s: Column, i: Column) -> Column:
         starts = (i == 0) | (s == "") | s.startswith(",")
         ends = (i == n - 1) | (s == "") | s.endswith(",")
-        return (i % 2 == 0) & ~(starts & ends)
+        return (i % 2 == 1) | (starts & ends)
 
-    odd = (n % 2 == 1) & ~F.exists(F.transform(pieces, bad), lambda x: x)
-    return F.when(F.instr(line, '"') == 0, F.lit(True)).otherwise(odd)
+    return F.when(n == 1, F.lit(True)).otherwise((n % 2 == 1) & F.forall(F.transform(pieces, good), lambda x: x))
 
 
-def fields_of(line: Column) -> Column:
+def fields_of(line: Column, pieces: Column, n: Column) -> Column:
     """The fields of a well-quoted line as an array of text, quotes taken off. A null line has none."""
-    hidden = F.array_join(
-        F.transform(
-            F.split(F.replace(line, F.lit(_MARK), F.lit(_MARKED_SELF)), '"', -1),
-            lambda s, i: F.when(i % 2 == 1, F.replace(s, F.lit(","), F.lit(_MARKED_COMMA))).otherwise(s),
-        ),
-        '"',
-    )
+
+    def hide(s: Column, i: Column) -> Column:
+        inner = F.replace(F.replace(s, F.lit(_MARK), F.lit(_MARKED_SELF)), F.lit(","), F.lit(_MARKED_COMMA))
+        return F.when(i % 2 == 1, inner).otherwise(F.replace(s, F.lit(_MARK), F.lit(_MARKED_SELF)))
 
     def plain(s: Column) -> Column:
         inner = F.when(s.startswith('"'), F.replace(s.substr(F.lit(2), F.length(s) - 2), F.lit('""'), F.lit('"'))).otherwise(s)
-        return F.replace(F.replace(inner, F.lit(_MARKED_COMMA), F.lit(",")), F.lit(_MARKED_SELF), F.lit(_MARK))
+        shown = F.replace(F.replace(inner, F.lit(_MARKED_COMMA), F.lit(",")), F.lit(_MARKED_SELF), F.lit(_MARK))
+        return F.when(s.contains(_MARK) | s.startswith('"'), shown).otherwise(s)
 
-    quoted = F.transform(F.split(hidden, ",", -1), plain)
-    return F.when(F.instr(line, '"') == 0, F.split(line, ",", -1)).otherwise(quoted)
+    quoted = F.transform(F.split(F.array_join(F.transform(pieces, hide), '"'), ",", -1), plain)
+    return F.when(n == 1, F.split(line, ",", -1)).otherwise(quoted)
 
 
 def typed(field: Field, text: Column) -> tuple[Column, Column]:
@@ -88,6 +83,11 @@ def typed(field: Field, text: Column) -> tuple[Column, Column]:
     return F.when(~blank, text), F.lit(False)
 
 
+def _computed_once(df: DataFrame, keep: tuple[str, ...], *columns: Column) -> DataFrame:
+    """keep and new columns, held in place by a generator: later filters and projections can't copy their expressions."""
+    return df.select(*keep, F.explode(F.array(F.struct(*columns))).alias("__once")).select(*keep, "__once.*")
+
+
 def check_lines(lines: DataFrame, text: str, layout: tuple[Field, ...], keep: tuple[str, ...]) -> DataFrame:
     """Each line with ``reasons`` (array of text, empty for a valid line) and its typed fields.
 
@@ -99,9 +99,10 @@ def check_lines(lines: DataFrame, text: str, layout: tuple[Field, ...], keep: tu
     if clash := {f.name for f in layout} & {*keep, "reasons"}:
         raise ValueError(f"columns {sorted(clash)} are named twice")
     line = F.col("__line")
-    got = lines.select(*keep, F.col(text).alias("__line")).select(
-        *keep, "__line", well_quoted(line).alias("__quoted"), fields_of(line).alias("__fields")
-    )
+    cut = lines.select(*keep, F.col(text).alias("__line"))
+    cut = _computed_once(cut, (*keep, "__line"), F.split("__line", '"', -1).alias("__pieces"))
+    pieces, n = F.col("__pieces"), F.size("__pieces")
+    got = _computed_once(cut, (*keep, "__line"), well_quoted(pieces, n).alias("__quoted"), fields_of(line, pieces, n).alias("__fields"))
     whole = F.coalesce(F.col("__quoted"), F.lit(False)) & (F.size("__fields") == len(layout))
     values, faults = [], []
     for i, f in enumerate(layout):
@@ -115,7 +116,7 @@ def check_lines(lines: DataFrame, text: str, layout: tuple[Field, ...], keep: tu
         .when(F.size("__fields") != len(layout), F.array(F.lit("columns")))
         .otherwise(F.array_compact(F.array(*faults)) if faults else F.array().cast("array<string>"))
     )
-    return got.select(*keep, reasons.alias("reasons"), *values)
+    return _computed_once(got, keep, reasons.alias("reasons"), *values)
 
 
 def faulty(checked: DataFrame, key: str) -> DataFrame:
