@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TABLE_SIZE = 0xE0200
+#: Bytes of text worked on at once (about 60 times as many are used for it); a longer text is worked on whole.
+PIECE_BYTES = 1_000_000
 
 # Letters of other scripts with the shape of a Latin letter, as drawn in common text faces.
 LATIN_SHAPES = {
@@ -158,11 +160,23 @@ def one_form(cps: np.ndarray, rows: np.ndarray, tables: ShapeTables) -> tuple[np
     return out[alive], rows - gone[rows]
 
 
-def normalise_arrow(text: pa.Array, tables: ShapeTables) -> pa.Array:
-    """Arrow text in one form; nulls stay null and empty texts empty."""
+def normalise_arrow(text: pa.Array, tables: ShapeTables, piece_bytes: int = PIECE_BYTES) -> pa.Array:
+    """Arrow text in one form; nulls stay null and empty texts empty. Worked through in pieces of whole texts."""
     text = text.cast(pa.large_string())
     if not len(text):
         return text
+    ends = np.frombuffer(text.buffers()[1], np.int64, count=len(text) + 1, offset=8 * text.offset)
+    if ends[-1] - ends[0] > piece_bytes and len(text) > 1:
+        pieces, at = [], 0
+        while at < len(text):
+            cut = max(at + 1, int(np.searchsorted(ends, ends[at] + piece_bytes, side="right")) - 1)
+            pieces.append(_normalise_piece(text.slice(at, cut - at), tables))
+            at = cut
+        return pa.concat_arrays(pieces)
+    return _normalise_piece(text, tables)
+
+
+def _normalise_piece(text: pa.Array, tables: ShapeTables) -> pa.Array:
     offsets = np.frombuffer(text.buffers()[1], np.int64, count=len(text) + 1, offset=8 * text.offset)
     a, b = int(offsets[0]), int(offsets[-1])
     data = np.frombuffer(text.buffers()[2], np.uint8, count=b)[a:b] if text.buffers()[2] is not None and b > a else np.zeros(0, np.uint8)

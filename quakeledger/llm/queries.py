@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quakeledger.llm import q_lookalikes, q_sizes, q_splits, q_survivor
+from quakeledger.llm import q_lookalikes, q_matching, q_sizes, q_splits, q_survivor
 
-MODULES = (q_splits, q_survivor, q_sizes, q_lookalikes)
+MODULES = (q_splits, q_matching, q_survivor, q_sizes, q_lookalikes)
 QUERIES = {name: run for m in MODULES for name, run in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
