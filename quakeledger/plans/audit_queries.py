@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quakeledger.audit import Audit
-from quakeledger.catalog import CATALOG_SQL, load, seconds
+from quakeledger.catalog import CATALOG_SQL, canonical, load, seconds
 from quakeledger.operators import subtests as st
 from quakeledger.operators.interval import densify, positive_gaps, ranked
 from quakeledger.runtime import present, table
@@ -43,18 +43,26 @@ def _stats(spark, sf_dir):
     return st.row_stats(catalog(spark, sf_dir, *ROW))
 
 
-def _a6(spark, sf_dir):
-    cat = catalog(spark, sf_dir, "origin_time", "latitude", "longitude", "magnitude")
-    return st.a6_external(st.source_votes(cat, references(spark, sf_dir)))
+def bulletin(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """local_bulletin as catalogs, one a network: the catalogs that the reference sources can know."""
+    rows = table(spark, sf_dir, "local_bulletin").select(
+        F.col("network").alias("catalog_id"), F.col("report_id").alias("record_id"), "origin_time", *(present(c).alias(c) for c in ("latitude", "longitude", "depth_km", "magnitude")), "magnitude_type"
+    )
+    got = (canonical(rows) if not columns else rows.select("catalog_id", "record_id", *columns).dropDuplicates())
+    return got.withColumn("t", seconds())
 
 
-def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The verdict for every catalog, with external references and fault proximity."""
-    got = Audit(references(spark, sf_dir), faults(spark, sf_dir)).verdicts(catalog(spark, sf_dir))
+def _votes(spark, sf_dir):
+    return st.source_votes(bulletin(spark, sf_dir, *T4), references(spark, sf_dir))
+
+
+def audit_referenced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict for every network of local_bulletin, held against the external reference sources."""
+    got = Audit(references(spark, sf_dir), faults(spark, sf_dir)).verdicts(bulletin(spark, sf_dir))
     return got.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in got.dtypes))
 
 
-def audit_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
+def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict for every catalog on its own evidence alone."""
     got = Audit(faults=faults(spark, sf_dir)).verdicts(catalog(spark, sf_dir))
     return got.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in got.dtypes))
@@ -76,7 +84,7 @@ def subtest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 T4 = ("origin_time", "latitude", "longitude", "magnitude")
 QUERIES = {
     "audit": audit,
-    "audit_offline": audit_offline,
+    "audit_referenced": audit_referenced,
     "subtest_scores": subtest_scores,
     "stage1_gates": stage1,
     "gate_counts": lambda s, d: _stats(s, d).select("catalog_id", "n", "p1_k", "p2_k", "p3_k"),
@@ -88,9 +96,9 @@ QUERIES = {
     "a4_fractal": lambda s, d: _r(st.a4_fractal(catalog(s, d, "latitude", "longitude")), "n_used", "dimension"),
     "a5_near_duplicates": lambda s, d: _r(st.a5_duplicates(catalog(s, d, *T4)), "n_flagged"),
     "a6_source_mc": lambda s, d: st.reference_mc(references(s, d)).select("source_id", F.round("mc", 6).alias("mc"), "is_default"),
-    "a6_matches": lambda s, d: st.reference_matches(catalog(s, d, *T4), references(s, d)),
-    "a6_votes": lambda s, d: st.source_votes(catalog(s, d, *T4), references(s, d)).where("n_queried > 0").withColumn("weighted", F.round("weighted", 6)),
-    "a6_external": lambda s, d: _r(_a6(s, d), "n_stratum", "n_corroborated", "n_eligible", "confirmed"),
+    "a6_matches": lambda s, d: st.reference_matches(bulletin(s, d, *T4), references(s, d)),
+    "a6_votes": lambda s, d: _votes(s, d).where("n_queried > 0").withColumn("weighted", F.round("weighted", 6)),
+    "a6_external": lambda s, d: _r(st.a6_external(_votes(s, d)), "n_stratum", "n_corroborated", "n_eligible", "confirmed"),
     "p4_tsunami": lambda s, d: _r(st.p4_tsunami(_stats(s, d)), "n_used", "n_violations"),
     "p5_rupture": lambda s, d: _r(st.share_kept(_stats(s, d), "p5"), "n_used", "n_violations"),
     "p6_moment": lambda s, d: _r(st.share_kept(_stats(s, d), "p6"), "n_used", "n_violations"),
@@ -158,14 +166,14 @@ SQL = {
       FROM (SELECT *, n >= 30 AND n_above >= 10 AND b IS NOT NULL AS ok FROM b)""",
     "a3_clusters": _CAT + f"""SELECT a.catalog_id, a.record_id AS main_id, count(*) AS n, round(sum((b.t - a.t) / 86400e0), 5) AS days
       FROM cat a JOIN cat b ON a.catalog_id = b.catalog_id AND b.t > a.t AND b.t - a.t <= 2592000e0 AND b.magnitude < a.magnitude
-      WHERE a.magnitude >= 5.5e0 AND {DIST} <= pow(10e0, 0.1238e0 * a.magnitude + 0.983e0) GROUP BY ALL HAVING count(*) >= 5""",
+      WHERE a.magnitude >= 5.5e0 AND a.latitude + a.longitude + b.latitude + b.longitude IS NOT NULL AND {DIST} <= pow(10e0, 0.1238e0 * a.magnitude + 0.983e0) GROUP BY ALL HAVING count(*) >= 5""",
     "a5_near_duplicates": _CAT + f""", e AS (SELECT row_number() OVER () AS e, * FROM (SELECT catalog_id, t, latitude, longitude, magnitude, count(*) AS copies FROM cat
         WHERE t IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL AND magnitude IS NOT NULL GROUP BY ALL)),
       near AS (SELECT DISTINCT a.e FROM e a JOIN e b ON a.catalog_id = b.catalog_id AND a.e <> b.e AND abs(a.t - b.t) <= 5 AND abs(a.magnitude - b.magnitude) <= 0.05e0 + 1e-9 WHERE {DIST} <= 2),
       fl AS (SELECT catalog_id, CAST(sum(copies) AS BIGINT) AS n_flagged FROM e WHERE copies > 1 OR e IN (SELECT e FROM near) GROUP BY catalog_id)
       SELECT catalog_id, round(CASE WHEN n < 2 THEN 1e0 ELSE 1e0 - coalesce(n_flagged, 0) / n END, 6) AS score, true AS applicable, coalesce(n_flagged, 0) AS n_flagged FROM (SELECT catalog_id, count(*) AS n FROM cat GROUP BY 1) LEFT JOIN fl USING (catalog_id)""",
     "a6_source_mc": "WITH " + _REF[2:] + ", cat AS (SELECT source_id AS catalog_id, magnitude FROM ref)" + _MC + "SELECT s.source_id, round(CASE WHEN mc IS NULL THEN 4.5e0 ELSE greatest(mc, 4.5e0) END, 6) AS mc, mc IS NULL AS is_default FROM (SELECT DISTINCT source_id FROM ref) s LEFT JOIN mc ON mc.catalog_id = s.source_id",
-    "a6_matches": _CAT + _MATCH + " SELECT * FROM hit",
+    "a6_matches": "WITH cat AS (SELECT DISTINCT network AS catalog_id, report_id AS record_id, epoch_us(origin_time) / 1e6 AS t, CASE WHEN isfinite(latitude) THEN latitude END AS latitude, CASE WHEN isfinite(longitude) THEN longitude END AS longitude, CASE WHEN isfinite(magnitude) THEN magnitude END AS magnitude FROM local_bulletin)" + _MATCH + " SELECT * FROM hit",
     "p4_tsunami": _CAT + """SELECT catalog_id, round(CASE WHEN known > 0 THEN CASE WHEN n = 0 THEN 1e0 ELSE 1e0 - k / n END END, 6) AS score, known > 0 AS applicable, n AS n_used, k AS n_violations FROM (
       SELECT catalog_id, count(tsunami_flag) AS known, count(*) FILTER (tsunami_flag > 0.5e0) AS n, count(*) FILTER (tsunami_flag > 0.5e0 AND magnitude IS NOT NULL AND depth_km IS NOT NULL AND NOT (magnitude >= 6.5e0 AND depth_km <= 100)) AS k FROM cat GROUP BY catalog_id)""",
     "p5_rupture": _share("rupture_length_km IS NOT NULL AND magnitude IS NOT NULL", """abs(log10(greatest(rupture_length_km, 1e-6)) - (CASE mechanism WHEN 'strike-slip' THEN -3.55e0 + 0.74e0 * magnitude WHEN 'reverse' THEN -2.86e0 + 0.63e0 * magnitude
