@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quakeledger.plans import audit_queries, pipeline_general
+from quakeledger.plans import audit_queries, corpus_queries, pipeline_general
 
-MODULES = (audit_queries, pipeline_general)
+MODULES = (audit_queries, corpus_queries, pipeline_general)
 
 
 def queries() -> dict:
