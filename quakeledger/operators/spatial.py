@@ -30,7 +30,7 @@ def distance_km(lat1, lon1, lat2, lon2, radius_km: float = EARTH_RADIUS_KM) -> C
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(
         F.sin(F.radians(lon2 - lon1) / 2), 2
     )
-    a = F.least(F.lit(1.0), F.greatest(F.lit(0.0), a))
+    a = F.when(a > 1.0, 1.0).when(a < 0.0, 0.0).otherwise(a)  # rounding, and latitudes beyond a pole; null stays null
     return F.lit(2.0 * radius_km) * F.atan2(F.sqrt(a), F.sqrt(F.lit(1.0) - a))
 
 

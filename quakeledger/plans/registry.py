@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quakeledger.plans import audit_queries, corpus_queries, pipeline_general
+from quakeledger.plans import audit_queries, corpus_queries, pipeline_general, study_queries
 
-MODULES = (audit_queries, corpus_queries, pipeline_general)
+MODULES = (audit_queries, corpus_queries, study_queries, pipeline_general)
 
 
 def queries() -> dict:
