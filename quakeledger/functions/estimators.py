@@ -39,7 +39,7 @@ def fit_omori(days: np.ndarray) -> dict:
     far = np.abs(np.arange(1, n + 1) / n - t / t[-1]).max()
     root = math.sqrt(n)
     flat = far < 1.358 / (root + 0.12 + 0.11 / root)
-    return {"p": float(p), "c": float(c[best]), "k": math.exp(level[best]), "n": n, "degenerate": bool(not math.isfinite(p) or p <= 0 or flat)}
+    return {"p": float(p), "c": float(c[best]), "k": math.exp(min(700.0, level[best])), "n": n, "degenerate": bool(not math.isfinite(p) or p <= 0 or flat)}
 
 
 def correlation_dimension(xy: np.ndarray) -> float:
