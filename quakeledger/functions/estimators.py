@@ -99,102 +99,119 @@ def max_curvature_mc(values: np.ndarray, counts: np.ndarray, width: float = 0.1)
 
 
 def mc_bootstrap_se(values: np.ndarray, counts: np.ndarray, draws: int = 200, seed: int = 42) -> float:
-    """Standard deviation of Mc over resamples; a resample of n rows is one multinomial draw over the distinct values."""
+    """Standard deviation of Mc over resamples; a resample of n rows is one multinomial draw over the distinct values.
+
+    values ascend. Every resample's bins are anchored at its own least value; all draws are binned together.
+    """
     n = int(counts.sum())
     if n < 10:
         return math.nan
     got = np.random.default_rng(seed).multinomial(n, counts / n, size=draws)
-    mc = np.array([max_curvature_mc(values, g) for g in got])
-    mc = mc[np.isfinite(mc)]
-    return float(mc.std(ddof=1)) if len(mc) > 1 else math.nan
+    low = values[(got > 0).argmax(1)]
+    bins = np.maximum(np.floor((values[None, :] - low[:, None]) / 0.1 + 1e-9).astype(np.int64), 0)
+    width = int(bins.max()) + 1
+    at = np.unique(bins + width * np.arange(draws)[:, None], return_inverse=True)
+    sums = np.bincount(at[1].ravel(), got.ravel().astype(float))
+    row, pos = at[0] // width, at[0] % width
+    order = np.lexsort((pos, -sums, row))  # of each draw the fullest bin, the lowest on ties
+    first = np.r_[True, row[order][1:] != row[order][:-1]]
+    return float((low + pos[order][first] * 0.1).std(ddof=1))
+
+
+#: The patterns of observed columns among five, by number: bit i for column i.
+PATTERNS = (np.arange(32)[:, None] >> np.arange(5) & 1).astype(bool)
 
 
-def little_test(masks: np.ndarray, n: np.ndarray, sums: np.ndarray, products: np.ndarray) -> dict:
-    """Little's test of missing completely at random, from sufficient statistics of each pattern.
+def little_tests(n: np.ndarray, sums: np.ndarray, products: np.ndarray) -> dict[str, np.ndarray]:
+    """Little's tests of missing completely at random for many data sets at once, from sums by pattern.
 
-    masks (k, p): observed columns; n (k): rows; sums (k, p) and products (k, p, p) of the observed values (0 elsewhere).
-    The normal model with missing values is fitted by expectation maximisation: what a row's missing values add is
-    linear in its observed ones, so that the patterns' sums are all it needs.
+    n (c, 32), sums (c, 32, 5), products (c, 32, 5, 5) of the observed values of each pattern (0 elsewhere). The normal
+    model with missing values is fitted by expectation maximisation: what a row's missing values add is linear in its
+    observed ones, so the sums are all it needs. All data sets and patterns are inverted in one batch; those that have
+    converged rest.
     """
-    some = masks.any(1)
-    masks, n, sums, products = masks[some], n[some].astype(float), sums[some], products[some]
-    p = masks.shape[1]
-    out = {"d2": math.nan, "df": 0, "p_value": math.nan, "n_patterns": len(n), "converged": True, "mcar": True}
-    if len(n) < 2:
-        return out
-    ridge, total = 1e-8, n.sum()
-    have = (masks * n[:, None]).sum(0)
-    mu = np.where(have > 0, sums.sum(0) / np.maximum(have, 1), 0.0)
-    first = np.zeros((p, p))
-    for m, k, s, ss in zip(masks, n, sums, products):
-        o = np.nonzero(m)[0]
-        d = np.zeros((p, p))
-        d[np.ix_(o, o)] = ss[np.ix_(o, o)] - np.outer(s[o], mu[o]) - np.outer(mu[o], s[o]) + k * np.outer(mu[o], mu[o])
-        first += d
-    sigma = first / total + ridge * np.eye(p)
-    converged = False
+    n = n.astype(float).copy()
+    n[:, 0] = 0.0  # rows without any value tell nothing
+    c, p, ridge = len(n), 5, 1e-8
+    m = PATTERNS.astype(float)
+    both, eye = m[:, :, None] * m[:, None, :], np.eye(p)
+    total = np.maximum(n.sum(1), 1.0)
+    have = n @ m
+    mu = np.where(have > 0, (sums * (n > 0)[:, :, None]).sum(1) / np.maximum(have, 1.0), 0.0)
+    cross = sums[:, :, :, None] * mu[:, None, None, :]
+    centred = (products - cross - np.swapaxes(cross, 2, 3) + n[:, :, None, None] * (mu[:, None, :, None] * mu[:, None, None, :])) * both * (n > 0)[:, :, None, None]
+    sigma = centred.sum(1) / total[:, None, None] + ridge * eye
+    n_patterns = (n > 0).sum(1)
+    converged = np.zeros(c, bool)
+    live = np.nonzero(n_patterns >= 2)[0]
+
+    def inverses(s: np.ndarray, extra: float) -> np.ndarray:
+        """Inverses of the observed blocks, 0 elsewhere."""
+        full = s[:, None] * both + (1 - m)[:, :, None] * eye + extra * m[:, :, None] * eye
+        try:
+            return np.linalg.inv(full) * both
+        except np.linalg.LinAlgError:  # a column without spread
+            return np.linalg.pinv(full, hermitian=True) * both
+
     for _ in range(200):
-        sx, sxx = np.zeros(p), np.zeros((p, p))
-        for m, k, s, ss in zip(masks, n, sums, products):
-            o, u = np.nonzero(m)[0], np.nonzero(~m)[0]
-            b = np.zeros((p, len(o)))  # filled row = b x_o + a
-            b[o, np.arange(len(o))] = 1
-            a = np.zeros(p)
-            extra = np.zeros((p, p))
-            if len(u):
-                g = sigma[np.ix_(u, o)] @ np.linalg.inv(sigma[np.ix_(o, o)] + ridge * np.eye(len(o)))
-                b[u] = g
-                a[u] = mu[u] - g @ mu[o]
-                extra[np.ix_(u, u)] = sigma[np.ix_(u, u)] - g @ sigma[np.ix_(o, u)]
-            bs = b @ s[o]
-            sx += bs + k * a
-            sxx += b @ ss[np.ix_(o, o)] @ b.T + np.outer(bs, a) + np.outer(a, bs) + k * np.outer(a, a) + k * extra
-        mu2 = sx / total
-        sigma2 = sxx / total - np.outer(mu2, mu2)
-        sigma2 = (sigma2 + sigma2.T) / 2 + ridge * np.eye(p)
-        change = max(np.abs(mu2 - mu).max(), np.abs(sigma2 - sigma).max())
-        mu, sigma = mu2, sigma2
-        if change < 1e-8:
-            converged = True
+        if not len(live):
             break
-    d2, used = 0.0, 0
-    for m, k, s in zip(masks, n, sums):
-        o = np.nonzero(m)[0]
-        try:
-            inv = np.linalg.inv(sigma[np.ix_(o, o)])
-        except np.linalg.LinAlgError:
-            continue
-        diff = s[o] / k - mu[o]
-        d2 += k * float(diff @ inv @ diff)
-        used += len(o)
-    df = used - p
-    value = chi_square_sf(d2, df) if df > 0 else math.nan
-    return out | {"d2": d2, "df": df, "p_value": value, "converged": converged, "mcar": not value < 0.05}
-
-
-def linkage_em(levels: np.ndarray, weights: np.ndarray, n_levels: int = 5) -> dict:
-    """Two-class linkage model fitted by expectation maximisation to weighted rows of comparison levels."""
-    levels, w = np.asarray(levels, int), np.asarray(weights, float)
-    fields, total = levels.shape[1], w.sum()
-    pi = 0.05
-    m = np.tile(0.5 ** np.arange(n_levels) / (0.5 ** np.arange(n_levels)).sum(), (fields, 1))
-    u = np.full((fields, n_levels), 1.0 / n_levels)
-    before, converged, post = -math.inf, False, np.zeros(len(levels))
-    hot = np.stack([levels == k for k in range(n_levels)], axis=-1)  # rows, fields, levels
+        s, u, k = sigma[live], mu[live], n[live]
+        g = s[:, None] @ inverses(s, ridge)  # regression of all columns on the observed ones
+        fill = np.where(m[None, :, :, None] > 0, (eye * m[:, None, :])[None], g)
+        a = np.where(m[None] > 0, 0.0, u[:, None] - (g @ (u[:, None] * m)[..., None])[..., 0])
+        bs = (fill @ sums[live][..., None])[..., 0]
+        left = (1 - m)[:, :, None] * (1 - m)[:, None, :] * (s[:, None] - g @ (s[:, None] * m[:, :, None]))
+        sx = (bs + k[..., None] * a).sum(1)
+        ba = bs[..., :, None] * a[..., None, :]
+        sxx = (fill @ products[live] @ np.swapaxes(fill, 2, 3) + ba + np.swapaxes(ba, 2, 3) + k[..., None, None] * (a[..., :, None] * a[..., None, :] + left)).sum(1)
+        mu2 = sx / total[live][:, None]
+        sigma2 = sxx / total[live][:, None, None] - mu2[:, :, None] * mu2[:, None, :]
+        sigma2 = (sigma2 + np.swapaxes(sigma2, 1, 2)) / 2 + ridge * eye
+        change = np.maximum(np.abs(mu2 - u).max(1), np.abs(sigma2 - s).max((1, 2)))
+        mu[live], sigma[live] = mu2, sigma2
+        converged[live[change < 1e-8]] = True
+        live = live[change >= 1e-8]
+    diff = np.where(n[..., None] > 0, sums / np.maximum(n, 1.0)[..., None] - mu[:, None] * m, 0.0)
+    d2 = (n * (diff[..., None, :] @ inverses(sigma, 0.0) @ diff[..., :, None])[..., 0, 0]).sum(1)
+    df = ((n > 0) @ m.sum(1)).astype(int) - p
+    tested = (n_patterns >= 2) & (df > 0)
+    value = np.array([chi_square_sf(x, k) if t else math.nan for x, k, t in zip(d2, df, tested)])
+    return {"d2": np.where(n_patterns >= 2, d2, math.nan), "df": np.where(n_patterns >= 2, df, 0), "p_value": value, "n_patterns": n_patterns, "mcar": ~(value < 0.05), "converged": converged | (n_patterns < 2)}
+
+
+#: Comparison levels of a pair's three fields by the number of the triple.
+TRIPLES = np.stack(np.unravel_index(np.arange(125), (5, 5, 5)), axis=1)
+
+
+def linkage_fits(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(posterior of a match by triple (c, 125), share of matches (c)) of many data sets at once.
+
+    weights (c, 125): how many pairs show each triple of comparison levels. A model of two classes with fields that are
+    independent within a class is fitted by expectation maximisation; those that have converged rest.
+    """
+    hot = np.stack([TRIPLES[:, f][:, None] == np.arange(5) for f in range(3)], axis=1).reshape(125, 15).astype(float)
+    c = len(weights)
+    start = 0.5 ** np.arange(5) / (0.5 ** np.arange(5)).sum()
+    pi, m, u = np.full(c, 0.05), np.tile(np.tile(start, 3), (c, 1)), np.full((c, 15), 0.2)
+    before, post = np.full(c, -np.inf), np.full((c, 125), 0.05)
+    live = np.nonzero(weights.sum(1) > 0)[0]
+    log = lambda x: np.log(np.maximum(x, 1e-300))
     for _ in range(200):
-        f = np.arange(fields)
-        log = lambda x: np.log(np.maximum(x, 1e-300))
-        a = log(pi) + log(m)[f, levels].sum(1)
-        b = log(1 - pi) + log(u)[f, levels].sum(1)
-        both = np.logaddexp(a, b)
-        post = np.exp(a - both)
-        ll = float((w * both).sum())
-        yes, no = (w * post).sum(), (w * (1 - post)).sum()
-        pi = yes / total
-        m = ((w * post)[:, None, None] * hot).sum(0) / yes if yes > 0 else np.full((fields, n_levels), 1 / n_levels)
-        u = ((w * (1 - post))[:, None, None] * hot).sum(0) / no if no > 0 else np.full((fields, n_levels), 1 / n_levels)
-        if abs(ll - before) < 1e-8 * max(1.0, abs(ll)):
-            converged = True
+        if not len(live):
             break
-        before = ll
-    return {"pi": float(pi), "posterior": post, "converged": converged, "m": m, "u": u}
+        w = weights[live]
+        a = log(pi[live])[:, None] + log(m[live]) @ hot.T
+        b = log(1 - pi[live])[:, None] + log(u[live]) @ hot.T
+        either = np.logaddexp(a, b)
+        post[live] = np.exp(a - either)
+        ll = (w * either).sum(1)
+        wp, wq = w * post[live], w * (1 - post[live])
+        yes, no = wp.sum(1), wq.sum(1)
+        pi[live] = yes / w.sum(1)
+        m[live] = np.where(yes[:, None] > 0, wp @ hot / np.maximum(yes, 1e-300)[:, None], 0.2)
+        u[live] = np.where(no[:, None] > 0, wq @ hot / np.maximum(no, 1e-300)[:, None], 0.2)
+        done = np.abs(ll - before[live]) < 1e-8 * np.maximum(1.0, np.abs(ll))
+        before[live] = ll
+        live = live[~done]
+    return post, pi

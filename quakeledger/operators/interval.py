@@ -19,17 +19,21 @@ def interval_join(
     """Pairs of equal keys whose clocks (seconds) differ by at most ``tolerance``, as an equi-join on time buckets.
 
     With ``lat`` (left and right column) also latitudes no farther apart than ``km`` allows, by latitude bands in the key;
-    the caller adds the exact distance. The right side stands in its bucket's neighbours too, so a pair meets once. Null
+    the caller adds the exact distance. Buckets are four tolerances wide; the right side stands in all that its reach
+    touches, so a pair meets exactly once. Null
     clocks, latitudes and keys join nothing. Hot buckets are split.
     """
-    bucket = lambda c: F.floor(F.col(c) / tolerance)
-    around = lambda b: F.explode(F.sequence(b - 1, b + 1))
+    def place(df: DataFrame, c: str, reach: float, out: str, everywhere: bool) -> DataFrame:
+        """The bucket of a value; or all buckets that its reach touches, 1.5 on average."""
+        width = 4.0 * reach
+        at = F.floor(F.col(c) / width)
+        return df.withColumn(out, F.explode(F.sequence(F.floor((F.col(c) - reach) / width), F.floor((F.col(c) + reach) / width))) if everywhere else at)
+
     on = [*keys, "__bucket"]
-    left, right = left.withColumn("__bucket", bucket(at)), right.withColumn("__bucket", around(bucket(right_at)))
+    left, right = place(left, at, tolerance, "__bucket", False), place(right, right_at, tolerance, "__bucket", True)
     if lat:
         band = math.degrees(km / AUDIT_RADIUS_KM) * (1 + 1e-9)
-        left = left.withColumn("__band", F.floor(F.col(lat[0]) / band))
-        right = right.withColumn("__band", around(F.floor(F.col(lat[1]) / band)))
+        left, right = place(left, lat[0], band, "__band", False), place(right, lat[1], band, "__band", True)
         on.append("__band")
     got = split_join(left, right, on, left_id).where(F.abs(F.col(at) - F.col(right_at)) <= tolerance)
     return got.drop(*on[len(keys) :])

@@ -8,17 +8,19 @@ histogram, or sums by pattern).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quakeledger.functions.estimators import correlation_dimension, fit_omori, linkage_em, little_test, mann_kendall_z, mc_bootstrap_se, sen_slope
+from quakeledger.functions.estimators import correlation_dimension, fit_omori, linkage_fits, little_tests, mann_kendall_z, mc_bootstrap_se, sen_slope
 from quakeledger.functions.scalars import AUDIT_RADIUS_KM, aftershock_radius_km, comparison_level, haversine_km, leading_digit
 from quakeledger.functions.tails import binomial_lower, binomial_upper
 from quakeledger.operators.interval import hash_sample, interval_join, nearest_km, positive_gaps, ranked
-from quakeledger.runtime import fetch_bounded
+from quakeledger.runtime import checkpoint, fetch_bounded
 
 # Fixed values of the audit.
 DEPTH_KM, MAGNITUDE = (-5.0, 750.0), (-2.5, 9.5)
@@ -172,15 +174,26 @@ def i2_clipping(cat: DataFrame, b: DataFrame) -> DataFrame:
     return got.select("catalog_id", F.when(ok, score).alias("score"), F.coalesce(ok, F.lit(False)).alias("applicable"), F.col("n_above").alias("n_used"), "observed", predicted.alias("predicted"))
 
 
-def c2_mc_adequacy(cat: DataFrame) -> DataFrame:
-    """One minus the bootstrap error of mc over 0.3. The kernel gets each catalog's distinct magnitudes with counts."""
-    m = cat.where("magnitude IS NOT NULL").groupBy("catalog_id", "magnitude").agg(F.count("*").alias("c"))
+def mc_errors(mags: DataFrame) -> DataFrame:
+    """(catalog_id, n, sigma): R1, the bootstrap error of mc. mags: catalog_id, magnitude.
+
+    The kernel gets each catalog's magnitudes in steps of 0.01 with their counts, so a catalog's size doesn't matter.
+    """
+    m = mags.where("magnitude IS NOT NULL").groupBy("catalog_id", F.round("magnitude", 2).alias("v")).agg(F.count("*").alias("c"))
+    lists = m.groupBy("catalog_id").agg(F.array_sort(F.collect_list(F.struct("v", "c"))).alias("x"), F.sum("c").alias("n"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sigma = [mc_bootstrap_se(np.asarray(v, float), np.asarray(c, float)) for v, c in zip(b["v"], b["c"])]
+            yield pd.DataFrame({"catalog_id": b["catalog_id"], "n": b["n"], "sigma": pd.Series(sigma, index=b.index, dtype=float)})
+
+    got = lists.select("catalog_id", "n", F.col("x.v").alias("v"), F.col("x.c").alias("c")).mapInPandas(run, "catalog_id string, n long, sigma double")
+    return got.withColumn("sigma", F.nanvl("sigma", F.lit(None)))
 
-    def run(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("magnitude")
-        return pd.DataFrame({"catalog_id": [key[0]], "n": [int(x["c"].sum())], "sigma": [mc_bootstrap_se(x["magnitude"].to_numpy(), x["c"].to_numpy())]})
 
-    got = m.groupBy("catalog_id").applyInPandas(run, "catalog_id string, n long, sigma double").withColumn("sigma", F.nanvl("sigma", F.lit(None)))
+def c2_mc_adequacy(cat: DataFrame) -> DataFrame:
+    """One minus the bootstrap error of mc over 0.3."""
+    got = mc_errors(cat.select("catalog_id", "magnitude"))
     ok = (F.col("n") >= 30) & F.col("sigma").isNotNull()
     return got.select("catalog_id", F.when(ok, clip01(1.0 - F.col("sigma") / MC_TOLERANCE)).alias("score"), ok.alias("applicable"), F.col("n").alias("n_used"), "sigma")
 
@@ -253,16 +266,26 @@ def c1_little(cat: DataFrame) -> DataFrame:
     pairs = [(i, j) for i in range(5) for j in range(i, 5)]
     sums = rows.withColumn("mask", mask).groupBy("catalog_id", "mask").agg(F.count("*").alias("n"), *(F.sum(x[i]).alias(f"s{i}") for i in range(5)), *(F.sum(x[i] * x[j]).alias(f"q{i}{j}") for i, j in pairs))
 
-    def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("mask")
-        masks = (p["mask"].to_numpy()[:, None] >> np.arange(5) & 1).astype(bool)
-        q = np.zeros((len(p), 5, 5))
-        for i, j in pairs:
-            q[:, i, j] = q[:, j, i] = p[f"q{i}{j}"]
-        r = little_test(masks, p["n"].to_numpy(), p[[f"s{i}" for i in range(5)]].to_numpy(), q)
-        return pd.DataFrame([{"catalog_id": key[0], **{k: r[k] for k in ("d2", "df", "p_value", "n_patterns", "mcar")}}])
+    numbers = ["n", *(f"s{i}" for i in range(5)), *(f"q{i}{j}" for i, j in pairs)]
+    lists = sums.groupBy("catalog_id").agg(*(F.collect_list(c).alias(c) for c in ("mask", *numbers)))  # at most 32 patterns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            row = np.repeat(np.arange(len(b)), [len(x) for x in b["mask"]])
+            if not len(row):
+                continue
+            mask = np.concatenate(list(b["mask"])).astype(int)
+            flat = {c: np.concatenate([np.asarray(x, float) for x in b[c]]) for c in numbers}
+            n, s, q = np.zeros((len(b), 32)), np.zeros((len(b), 32, 5)), np.zeros((len(b), 32, 5, 5))
+            n[row, mask] = flat["n"]
+            for i in range(5):
+                s[row, mask, i] = flat[f"s{i}"]
+            for i, j in pairs:
+                q[row, mask, i, j] = q[row, mask, j, i] = flat[f"q{i}{j}"]
+            r = little_tests(n, s, q)
+            yield pd.DataFrame({"catalog_id": b["catalog_id"].to_numpy(), **{k: r[k] for k in ("d2", "df", "p_value", "n_patterns", "mcar")}})
 
-    return sums.groupBy("catalog_id").applyInPandas(run, "catalog_id string, d2 double, df long, p_value double, n_patterns long, mcar boolean")
+    return lists.mapInPandas(run, "catalog_id string, d2 double, df long, p_value double, n_patterns long, mcar boolean")
 
 
 # --- pairs ------------------------------------------------------------------------------------------------------------
@@ -309,7 +332,7 @@ CLUSTER_EVENTS = 20_000
 
 def a3_omori(cat: DataFrame) -> DataFrame:
     """Fits the decay of clusters of at least 5 aftershocks; at most 2 000 clusters of a catalog, chosen by hash."""
-    pairs = aftershock_pairs(cat)
+    pairs = checkpoint(aftershock_pairs(cat))
     sizes = pairs.groupBy("catalog_id", "main_id").agg(F.count("*").alias("size")).where("size >= 5")
     found = sizes.groupBy("catalog_id").agg(F.count("*").alias("n_found"))
     kept = hash_sample(sizes, "catalog_id", ["main_id"], MOST_CLUSTERS)
@@ -380,18 +403,24 @@ def i4_dedup(cat: DataFrame) -> DataFrame:
 
     The model sees each catalog's counts by level triple (at most 125 rows); the posteriors go back to the events.
     """
-    pairs = cross_source_pairs(cat)
-    triples = pairs.groupBy("catalog_id", "l1", "l2", "l3").agg(F.sum(F.col("own") * F.col("other")).alias("c"))
-
-    def run(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(["l1", "l2", "l3"]).reset_index(drop=True)
-        fit = linkage_em(x[["l1", "l2", "l3"]].to_numpy(), x["c"].to_numpy())
-        return x.assign(catalog_id=key[0], p=fit["posterior"])
-
-    post = triples.groupBy("catalog_id").applyInPandas(run, "catalog_id string, l1 int, l2 int, l3 int, c long, p double")
+    pairs = checkpoint(cross_source_pairs(cat))  # the few that are near; read twice
+    triple = (F.col("l1") * 25 + F.col("l2") * 5 + F.col("l3")).cast("int")
+    triples = pairs.groupBy("catalog_id", triple.alias("k")).agg(F.sum(F.col("own") * F.col("other")).alias("c"))
+    lists = triples.groupBy("catalog_id").agg(F.collect_list("k").alias("k"), F.collect_list("c").alias("c"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            row = np.repeat(np.arange(len(x)), [len(k) for k in x["k"]])
+            w = np.zeros((len(x), 125))
+            if len(row):
+                w[row, np.concatenate(list(x["k"])).astype(int)] = np.concatenate([np.asarray(c, float) for c in x["c"]])
+            yield pd.DataFrame({"catalog_id": x["catalog_id"].to_numpy(), "post": list(linkage_fits(w)[0])})
+
+    post = lists.mapInPandas(run, "catalog_id string, post array<double>")
+    pairs = pairs.join(post, "catalog_id").withColumn("p", F.get("post", triple)).drop("post")
     # One minus the product of (1 - p) over all counterparts, as a sum of logarithms.
     odds = F.sum(F.col("other") * F.log(F.greatest(F.lit(1e-300), 1.0 - F.col("p"))))
-    owners = pairs.join(post.drop("c"), ["catalog_id", "l1", "l2", "l3"]).groupBy("catalog_id", "e", "own").agg((1.0 - F.exp(odds)).alias("dup"))
+    owners = pairs.groupBy("catalog_id", "e", "own").agg((1.0 - F.exp(odds)).alias("dup"))
     dup = owners.groupBy("catalog_id").agg(F.sum(F.col("own") * F.col("dup")).alias("expected"))
     n_pairs = triples.groupBy("catalog_id").agg(F.sum("c").alias("n_pairs"))
     named = cat.where(F.coalesce(F.col("source"), F.lit("")) != "").groupBy("catalog_id", "source").agg(F.count("*")).groupBy("catalog_id").agg(F.count("*").alias("n_sources"))
@@ -407,11 +436,7 @@ def reference_mc(refs: DataFrame) -> DataFrame:
     """(source_id, mc, mc_se, is_default) of each reference source: fitted, not below 4.5; 4.5 and 0.3 where it can't be."""
     m = refs.where("magnitude IS NOT NULL").select(F.col("source_id").alias("catalog_id"), "magnitude")
 
-    def run(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("magnitude")
-        return pd.DataFrame({"catalog_id": [key[0]], "se": [mc_bootstrap_se(x["magnitude"].to_numpy(), x["c"].to_numpy())]})
-
-    se = m.groupBy("catalog_id", "magnitude").agg(F.count("*").alias("c")).groupBy("catalog_id").applyInPandas(run, "catalog_id string, se double")
+    se = mc_errors(m).select("catalog_id", F.col("sigma").alias("se"))
     got = refs.select(F.col("source_id").alias("catalog_id")).distinct().join(magnitude_bins(m), "catalog_id", "left").join(se, "catalog_id", "left")
     default = F.col("mc").isNull()
     return got.select(F.col("catalog_id").alias("source_id"), F.when(default, LEAST_REFERENCE_MC).otherwise(F.greatest("mc", F.lit(LEAST_REFERENCE_MC))).alias("mc"), F.when(default, DEFAULT_MC_ERROR).otherwise(F.col("se")).alias("mc_se"), default.alias("is_default"))
