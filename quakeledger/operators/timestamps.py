@@ -168,7 +168,7 @@ _DATES = (
     ("named", r"(?P<d>99?)[ -](?P<b>a{3,9})\.?[ -](?P<y>9999)", r"a| +|_"),
     ("named", r"(?P<b>a{3,9})\.? (?P<d>99?),? (?P<y>9999)", r"a| +|_"),
 )
-_CLOCK = r"(?P<H>99?):(?P<M>99)(?::(?P<S>99)(?:[.,](?P<f>9+))?)?(?: ?(?P<h>aa))?"
+_CLOCK = r"(?P<H>99?):(?P<M>99)(?::(?P<S>99)(?:[.,](?P<f>9+))?)?(?: ?(?P<h>aa)(?![a9/_]))?"
 _WHERE = r"(?: *(?P<off>[+-]99(?::?99)?)(?:\[(?P<in>[^\]]+)\])?| *\[(?P<in2>[^\]]+)\]| ?(?P<z>a[a9/_+-]*))?"
 _FORMS = [(kind, re.compile(rf"{date}(?P<sep>{sep}){_CLOCK}{_WHERE}")) for kind, date, sep in _DATES]
 _FORMS.append(("ymd", re.compile(rf"(?P<y>9999)(?P<m>99)(?P<d>99)(?P<sep>a?)(?P<H>99)(?P<M>99)(?P<S>99)(?:[.,](?P<f>9+))?(?P<h>)?{_WHERE}")))
