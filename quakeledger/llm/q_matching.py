@@ -12,7 +12,7 @@ from quakeledger.runtime import checkpoint, present, table
 
 HOUR = 3_600.0
 #: Whole hours by which a clock may be off, the seconds two clocks may differ otherwise, and the least evidence of a match.
-MOST_HOURS, MOST_SECONDS, LEAST_EVIDENCE = 13, 12.0, 5.0
+MOST_HOURS, MOST_SECONDS, LEAST_EVIDENCE = 13, 12.0, 3.0
 #: Of several candidates from one source (early and final solutions apart), those this close to the best are kept.
 NEAR_BEST = 2.5
 # Words of place texts that name no place.
@@ -92,7 +92,7 @@ def evidence() -> Column:
     hours = _hours_off(dt)
     clock = F.greatest(
         6.0 + tail(F.abs(dt), 2.0),
-        F.when((hours != 0) & (F.abs(hours) <= MOST_HOURS), 3.0 + tail(F.abs(dt - hours * HOUR), 2.0)),
+        F.when((hours != 0) & (F.abs(hours) <= MOST_HOURS), 2.0 + tail(F.abs(dt - hours * HOUR), 2.0)),
         F.when(F.pmod("t1", F.lit(60.0)) == 0, 3.0 + tail(F.greatest(F.lit(0.0), -dt, dt - 60.0), 2.0)),
         F.when(F.pmod("t2", F.lit(60.0)) == 0, 3.0 + tail(F.greatest(F.lit(0.0), F.abs(dt) - 30.0), 2.0)),
     )
