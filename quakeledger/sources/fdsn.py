@@ -2,7 +2,7 @@
 
 spark.dataSource.register(EventService); spark.read.format("event_service").option("url", ...).option("start", ...) ...
 Options: url, start, end (ISO times), min_magnitude, min_latitude, max_latitude, min_longitude, max_longitude (a box across
-the antimeridian is cut in two), max_rows, format (geojson or text of the service), fetch (module:function that takes a
+the antimeridian is cut in two), max_rows, format (geojson or quakeml), fetch (module:function that takes a
 URL and gives text; by default the network with retries).
 """
 
@@ -15,11 +15,14 @@ import urllib.parse
 import urllib.request
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
+from xml.etree import ElementTree
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "event_id string, origin_time timestamp, latitude double, longitude double, depth_km double, magnitude double, magnitude_type string"
 MOST_DEPTH, LEAST_WINDOW_S, MOST_REQUESTS = 24, 60.0, 500
+# Magnitude types that count as moment magnitudes.
+MOMENT_TYPES = ("mw", "mww", "mwc", "mwb", "mwp", "mw(mwp)")
 
 
 def fetch_with_retry(url: str, tries: int = 3, pause: float = 2.0, timeout: float = 15.0, get=None, sleep=time.sleep) -> str | None:
@@ -80,6 +83,38 @@ def parse_events(text: str) -> list[tuple]:
     return out
 
 
+def parse_quakeml(text: str) -> list[tuple]:
+    """Rows of a QuakeML answer: preferred origin or the first; preferred magnitude, the first moment magnitude or the largest."""
+    local = lambda e: e.tag.rpartition("}")[2]
+    kids = lambda e, name: [k for k in e if local(k) == name]
+
+    def value(e, name: str) -> str | None:
+        return next((v.text for k in kids(e, name) for v in kids(k, "value")), None)
+
+    def preferred(e, name: str, ref: str):
+        ids = [k.text for k in kids(e, ref)]
+        return next((k for k in kids(e, name) if ids and k.get("publicID") == ids[0]), None)
+
+    out = []
+    try:
+        events = [e for e in ElementTree.fromstring(text).iter() if local(e) == "event"]
+    except ElementTree.ParseError:
+        return []
+    for e in events:
+        try:
+            o = preferred(e, "origin", "preferredOriginID")
+            o = o if o is not None else kids(e, "origin")[0]
+            mags = [(float(value(m, "mag")), next((t.text for t in kids(m, "type")), None), m) for m in kids(e, "magnitude") if value(m, "mag")]
+            chosen = preferred(e, "magnitude", "preferredMagnitudeID")
+            m = next((x for x in mags if x[2] is chosen), None) or next((x for x in mags if (x[1] or "").lower() in MOMENT_TYPES), None) or max(mags, key=lambda x: x[0], default=(None, None, None))
+            at = datetime.fromisoformat(value(o, "time").replace("Z", "+00:00"))
+            depth = value(o, "depth")
+            out.append((e.get("publicID"), at if at.tzinfo else at.replace(tzinfo=timezone.utc), float(value(o, "latitude")), float(value(o, "longitude")), None if depth is None else float(depth) / 1000, m[0], m[1]))
+        except (IndexError, TypeError, ValueError, AttributeError):
+            continue  # an event without an origin or with an unreadable one
+    return out
+
+
 class EventService(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -104,7 +139,7 @@ class EventReader(DataSourceReader):
         return fetch_with_retry(url, get=get, pause=float(self.o.get("pause", 2.0)))
 
     def _url(self, what: str, start: datetime, end: datetime, box: tuple[float, float]) -> str:
-        q = {"format": "geojson", "starttime": start.isoformat(), "endtime": end.isoformat(), "minlongitude": box[0], "maxlongitude": box[1]}
+        q = {"format": "xml" if self.o.get("format") == "quakeml" else "geojson", "starttime": start.isoformat(), "endtime": end.isoformat(), "minlongitude": box[0], "maxlongitude": box[1]}
         names = {"min_magnitude": "minmagnitude", "min_latitude": "minlatitude", "max_latitude": "maxlatitude"}
         q |= {v: self.o[k] for k, v in names.items() if k in self.o}
         return f"{self.o['url'].rstrip('/')}/{what}?{urllib.parse.urlencode(q)}"
@@ -127,4 +162,9 @@ class EventReader(DataSourceReader):
 
     def read(self, partition: Window):
         if partition.url and (text := self._get(partition.url)):
-            yield from parse_events(text)
+            yield from (parse_quakeml if self.o.get("format") == "quakeml" else parse_events)(text)
+
+    def is_feasible(self) -> bool:
+        """Whether the service answers a small probe; a source that doesn't is left out of an audit."""
+        end = datetime.fromisoformat(self.o["end"])
+        return self._get(self._url("count", end - timedelta(days=1), end, boxes(float(self.o.get("min_longitude", -180)), float(self.o.get("max_longitude", 180)))[0])) is not None

@@ -106,5 +106,20 @@ def test_event_service(spark, monkeypatch):
     rows = [r for w in windows for r in reader.read(w)]
     assert len(windows) == 8 and sorted(r[0] for r in rows) == sorted(f"h{h}" for h in range(24))
     assert fdsn.boxes(170, 190) == [(170.0, 180.0), (-180.0, -170.0)] and fdsn.boxes(-10, 10) == [(-10, 10)]
+    assert reader.is_feasible()
+    xml = "<q xmlns='http://x'><event publicID='a'><origin publicID='o'><time><value>2020-01-01T00:00:00Z</value></time><latitude><value>1</value></latitude><longitude><value>2</value></longitude></origin><magnitude publicID='m'><mag><value>5</value></mag><type>mb</type></magnitude><magnitude publicID='n'><mag><value>4.5</value></mag><type>Mww</type></magnitude></event><event publicID='b'/></q>"
+    assert [(r[0], r[2], r[4], r[5], r[6]) for r in fdsn.parse_quakeml(xml)] == [("a", 1.0, None, 4.5, "Mww")] and fdsn.parse_quakeml("<") == []
     calls = []
     assert fdsn.fetch_with_retry("u", get=lambda u: calls.append(u) or 1 / 0, sleep=calls.append) is None and calls == ["u", 2.0, "u", 4.0, "u"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quakeledger import cli
+
+    lines = ["Date,Time,Lat,Lon,Depth,Mag"] + [f"2020-01-{1 + i % 28:02d},{i % 24:02d}:00:{i % 60:02d},{i % 7},{i % 11},{5 + i % 30} km,{3 + (i * 7 % 30) / 10} Mw" for i in range(200)] + ["broken"]
+    (tmp_path / "raw.csv").write_text("\n".join(lines))
+    assert cli.main(["prepare", str(tmp_path / "raw.csv"), str(tmp_path / "clean"), "--catalog", "mine"]) == 0
+    assert cli.main(["audit", str(tmp_path / "clean"), "--out", str(tmp_path / "out")]) == 0
+    said = capsys.readouterr().out
+    assert "1 lines" in said and "mine: " in said
+    assert json.loads(spark.read.text(str(tmp_path / "out/verdicts")).first()["value"])["n"] == 200
