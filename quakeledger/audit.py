@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quakeledger.operators import subtests as st
 from quakeledger.operators.decision import Thresholds, audit_verdicts
 from quakeledger.operators.interval import long_form
-from quakeledger.runtime import checkpoint
+from quakeledger.runtime import checkpoint, written
 
 
 @dataclass(frozen=True)
@@ -50,11 +50,11 @@ class Audit:
 
     def verdicts(self, cat: DataFrame) -> DataFrame:
         """One row for each catalog (see audit_verdicts). The catalog is materialised once and read by all sub-tests."""
-        cat = checkpoint(cat)
+        cat = written(cat)
         a6 = intrinsic = None
         if self.references is not None:
             votes = checkpoint(st.source_votes(cat, self.references))
             a6 = checkpoint(st.a6_external(votes))
-            intrinsic = checkpoint(cat.join(st.effective_records(votes, a6), ["catalog_id", "record_id"], "left_anti"))
+            intrinsic = written(cat.join(st.effective_records(votes, a6), ["catalog_id", "record_id"], "left_anti"))
         stats = st.row_stats(cat)
         return audit_verdicts(self.subtest_rows(cat, intrinsic), stats.select("catalog_id", "n"), st.gates(stats), a6, self.thresholds)

@@ -9,7 +9,7 @@ from quakeledger.audit import Audit
 from quakeledger.catalog import CATALOG_SQL, canonical, load, seconds
 from quakeledger.operators import subtests as st
 from quakeledger.operators.interval import densify, positive_gaps, ranked
-from quakeledger.runtime import present, table
+from quakeledger.runtime import present, table, written
 
 
 def catalog(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -76,9 +76,7 @@ def stage1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def subtest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sub-tests of all catalogs in long form."""
-    from quakeledger.runtime import checkpoint
-
-    return Audit(faults=faults(spark, sf_dir)).subtest_rows(checkpoint(catalog(spark, sf_dir))).withColumn("score", F.round("score", 6))
+    return Audit(faults=faults(spark, sf_dir)).subtest_rows(written(catalog(spark, sf_dir))).withColumn("score", F.round("score", 6))
 
 
 T4 = ("origin_time", "latitude", "longitude", "magnitude")
@@ -99,12 +97,12 @@ QUERIES = {
     "a6_matches": lambda s, d: st.reference_matches(bulletin(s, d, *T4), references(s, d)),
     "a6_votes": lambda s, d: _votes(s, d).where("n_queried > 0").withColumn("weighted", F.round("weighted", 6)),
     "a6_external": lambda s, d: _r(st.a6_external(_votes(s, d)), "n_stratum", "n_corroborated", "n_eligible", "confirmed"),
-    "p4_tsunami": lambda s, d: _r(st.p4_tsunami(_stats(s, d)), "n_used", "n_violations"),
-    "p5_rupture": lambda s, d: _r(st.share_kept(_stats(s, d), "p5"), "n_used", "n_violations"),
-    "p6_moment": lambda s, d: _r(st.share_kept(_stats(s, d), "p6"), "n_used", "n_violations"),
-    "p7_timestamps": lambda s, d: _r(st.p7_timestamps(catalog(s, d, "origin_time")), "n_used", "n_repeated"),
-    "p8_proximity": lambda s, d: _r(st.p8_proximity(catalog(s, d, "latitude", "longitude"), faults(s, d)), "n_used", "mean_km"),
-    "p9_intensity": lambda s, d: _r(st.share_kept(_stats(s, d), "p9"), "n_used", "n_violations"),
+    "subtest_p4_tsunami": lambda s, d: _r(st.p4_tsunami(_stats(s, d)), "n_used", "n_violations"),
+    "subtest_p5_rupture": lambda s, d: _r(st.share_kept(_stats(s, d), "p5"), "n_used", "n_violations"),
+    "subtest_p6_moment": lambda s, d: _r(st.share_kept(_stats(s, d), "p6"), "n_used", "n_violations"),
+    "subtest_p7_timestamps": lambda s, d: _r(st.p7_timestamps(catalog(s, d, "origin_time")), "n_used", "n_repeated"),
+    "subtest_p8_proximity": lambda s, d: _r(st.p8_proximity(catalog(s, d, "latitude", "longitude"), faults(s, d)), "n_used", "mean_km"),
+    "subtest_p9_intensity": lambda s, d: _r(st.share_kept(_stats(s, d), "p9"), "n_used", "n_violations"),
     "c1_missingness": lambda s, d: _r(st.c1_missingness(_stats(s, d)), "n_used"),
     "c1_little": lambda s, d: st.c1_little(catalog(s, d, "origin_time", "latitude", "longitude", "depth_km", "magnitude")).select("catalog_id", F.round("d2", 4).alias("d2"), "df", F.round("p_value", 6).alias("p_value"), "n_patterns", "mcar"),
     "c2_mc_adequacy": lambda s, d: _r(st.c2_mc_adequacy(catalog(s, d, "magnitude")), "n_used", "sigma"),
@@ -174,14 +172,14 @@ SQL = {
       SELECT catalog_id, round(CASE WHEN n < 2 THEN 1e0 ELSE 1e0 - coalesce(n_flagged, 0) / n END, 6) AS score, true AS applicable, coalesce(n_flagged, 0) AS n_flagged FROM (SELECT catalog_id, count(*) AS n FROM cat GROUP BY 1) LEFT JOIN fl USING (catalog_id)""",
     "a6_source_mc": "WITH " + _REF[2:] + ", cat AS (SELECT source_id AS catalog_id, magnitude FROM ref)" + _MC + "SELECT s.source_id, round(CASE WHEN mc IS NULL THEN 4.5e0 ELSE greatest(mc, 4.5e0) END, 6) AS mc, mc IS NULL AS is_default FROM (SELECT DISTINCT source_id FROM ref) s LEFT JOIN mc ON mc.catalog_id = s.source_id",
     "a6_matches": "WITH cat AS (SELECT DISTINCT network AS catalog_id, report_id AS record_id, epoch_us(origin_time) / 1e6 AS t, CASE WHEN isfinite(latitude) THEN latitude END AS latitude, CASE WHEN isfinite(longitude) THEN longitude END AS longitude, CASE WHEN isfinite(magnitude) THEN magnitude END AS magnitude FROM local_bulletin)" + _MATCH + " SELECT * FROM hit",
-    "p4_tsunami": _CAT + """SELECT catalog_id, round(CASE WHEN known > 0 THEN CASE WHEN n = 0 THEN 1e0 ELSE 1e0 - k / n END END, 6) AS score, known > 0 AS applicable, n AS n_used, k AS n_violations FROM (
+    "subtest_p4_tsunami": _CAT + """SELECT catalog_id, round(CASE WHEN known > 0 THEN CASE WHEN n = 0 THEN 1e0 ELSE 1e0 - k / n END END, 6) AS score, known > 0 AS applicable, n AS n_used, k AS n_violations FROM (
       SELECT catalog_id, count(tsunami_flag) AS known, count(*) FILTER (tsunami_flag > 0.5e0) AS n, count(*) FILTER (tsunami_flag > 0.5e0 AND magnitude IS NOT NULL AND depth_km IS NOT NULL AND NOT (magnitude >= 6.5e0 AND depth_km <= 100)) AS k FROM cat GROUP BY catalog_id)""",
-    "p5_rupture": _share("rupture_length_km IS NOT NULL AND magnitude IS NOT NULL", """abs(log10(greatest(rupture_length_km, 1e-6)) - (CASE mechanism WHEN 'strike-slip' THEN -3.55e0 + 0.74e0 * magnitude WHEN 'reverse' THEN -2.86e0 + 0.63e0 * magnitude
+    "subtest_p5_rupture": _share("rupture_length_km IS NOT NULL AND magnitude IS NOT NULL", """abs(log10(greatest(rupture_length_km, 1e-6)) - (CASE mechanism WHEN 'strike-slip' THEN -3.55e0 + 0.74e0 * magnitude WHEN 'reverse' THEN -2.86e0 + 0.63e0 * magnitude
       WHEN 'normal' THEN -2.01e0 + 0.50e0 * magnitude ELSE -3.22e0 + 0.69e0 * magnitude END)) > 3e0 * CASE mechanism WHEN 'strike-slip' THEN 0.23e0 WHEN 'reverse' THEN 0.20e0 WHEN 'normal' THEN 0.21e0 ELSE 0.22e0 END"""),
-    "p6_moment": _share("seismic_moment_n_m > 0 AND magnitude IS NOT NULL", "abs((2e0 / 3e0) * log10(seismic_moment_n_m) - 6.07e0 - magnitude) > 0.3e0"),
-    "p7_timestamps": _CAT + """SELECT catalog_id, round(CASE WHEN n >= 2 THEN d / n END, 6) AS score, n >= 2 AS applicable, n AS n_used, n - d AS n_repeated FROM (
+    "subtest_p6_moment": _share("seismic_moment_n_m > 0 AND magnitude IS NOT NULL", "abs((2e0 / 3e0) * log10(seismic_moment_n_m) - 6.07e0 - magnitude) > 0.3e0"),
+    "subtest_p7_timestamps": _CAT + """SELECT catalog_id, round(CASE WHEN n >= 2 THEN d / n END, 6) AS score, n >= 2 AS applicable, n AS n_used, n - d AS n_repeated FROM (
       SELECT catalog_id, count(origin_time) AS n, count(DISTINCT origin_time) AS d FROM cat WHERE origin_time IS NOT NULL GROUP BY catalog_id)""",
-    "p9_intensity": _share("mmi IS NOT NULL AND station_distance_km IS NOT NULL AND magnitude IS NOT NULL", "abs((mmi + 3.29e0 + 0.0206e0 * station_distance_km) / 1.68e0 - magnitude) > 0.75e0"),
+    "subtest_p9_intensity": _share("mmi IS NOT NULL AND station_distance_km IS NOT NULL AND magnitude IS NOT NULL", "abs((mmi + 3.29e0 + 0.0206e0 * station_distance_km) / 1.68e0 - magnitude) > 0.75e0"),
     "c1_missingness": _CAT + """SELECT catalog_id, round(1e0 - ((1e0 - count(origin_time) / count(*)) + (1e0 - count(latitude) / count(*)) + (1e0 - count(longitude) / count(*)) + (1e0 - count(depth_km) / count(*)) + (1e0 - count(magnitude) / count(*))) / 5e0, 6) AS score,
       true AS applicable, count(*) AS n_used FROM cat GROUP BY catalog_id""",
     "c3_coverage": _CAT + f""", r AS (SELECT * FROM cat WHERE latitude IS NOT NULL AND longitude IS NOT NULL AND t IS NOT NULL),

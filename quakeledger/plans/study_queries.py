@@ -17,7 +17,7 @@ from quakeledger.operators import studies
 from quakeledger.operators.subtests import a6_external
 from quakeledger.plans.audit_queries import bulletin, catalog, faults, references
 from quakeledger.plans.audit_queries import T4, _stats, _votes
-from quakeledger.runtime import checkpoint, ensure_checkpoint_dir, table
+from quakeledger.runtime import ensure_checkpoint_dir, table, written
 from quakeledger.sources import files
 from quakeledger.streaming.incremental import daily_gate_counts, read_deliveries, run_to_end
 
@@ -127,7 +127,7 @@ def ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corrupted_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gate counts and b-values of all catalogs in six corruptions, by variant."""
-    v = checkpoint(gen.corrupted_variants(load(spark, sf_dir)).withColumn("t", seconds()))
+    v = written(gen.corrupted_variants(load(spark, sf_dir)).withColumn("t", seconds()))
     return _r(studies.b_value_shift(v))
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,31 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_written: list[tuple] = []
+
+
+def _remove_written() -> None:
+    for spark, folder in _written:
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # the session has ended before
+            return
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage like a checkpoint, and readers get only their columns.
+
+    The table is removed when the program ends.
+    """
+    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    if not _written:
+        atexit.register(_remove_written)
+    _written.append((df.sparkSession, folder))
+    return df.sparkSession.read.parquet(folder)
+
+
 def fetch_bounded(df: DataFrame, most: int, what: str) -> list:
     """Rows of a table that must be small; raises instead of flooding the driver when it is not."""
     rows = df.limit(most + 1).collect()
