@@ -175,7 +175,7 @@ def candidate_pairs(records: DataFrame, possible: Callable, sub: Column, part_re
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(other))
     first, second = F.when(F.col("side") == 1, F.col("own")).otherwise(F.col("other")), F.when(F.col("side") == 1, F.col("other")).otherwise(F.col("own"))
     parts = dealt.select(F.xxhash64("window", "piece", first, second).alias("part"), "side", "id", "at", "tokens")
-    parts = parts.repartition("part").sortWithinPartitions("part")
+    parts = parts.repartition("part").sortWithinPartitions("part", "side", "id")  # in one order, so a task done again walks alike
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
