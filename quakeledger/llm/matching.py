@@ -2,8 +2,9 @@
 
 A graph joins records, their attributes and the attributes' tokens. Its tokens belong to overlapping windows, so the graph
 falls into parts that a task can hold: each part is walked at random, skip-gram vectors of its records are trained on
-the walks with negative sampling, and records meet in the buckets of several tables of random hyperplanes. An exact
-check of the attributes decides, and the cosine of the vectors is calibrated to a confidence.
+the walks with negative sampling, and records meet in the buckets of several tables of random hyperplanes. Buckets get
+narrower as a part gets fuller and so lose pairs; records therefore also meet in all sub-windows that they share, which
+loses none. An exact check of the attributes decides, and the cosine of the vectors is calibrated to a confidence.
 """
 
 from __future__ import annotations
@@ -112,15 +113,39 @@ def bucket_keys(v: np.ndarray, part: np.ndarray, size: np.ndarray, seed: int = 3
     return (signs * used[:, None, :] * (1 << np.arange(16))).sum(2)
 
 
-def block_pairs(b: pd.DataFrame, possible: Callable) -> pd.DataFrame:
-    """(id1, id2, cosine) of a block of whole parts: pairs of sides 1 and 2 of a part that share a bucket and are possible.
+#: Pairs of a table of buckets that are looked at together.
+SLICE = 2_000_000
 
-    b: part, side, id, at, tokens. Buckets of a table are joined in slices of bounded size.
+
+def _met(one: np.ndarray, two: np.ndarray, key1: np.ndarray, key2: np.ndarray, at: np.ndarray, possible: Callable) -> Iterator[np.ndarray]:
+    """Pairs of rows (one, two) with equal keys that are possible, as one * len(at) + two, in slices of bounded size."""
+    order = np.argsort(key2, kind="stable")
+    two, key2 = two[order], key2[order]
+    low, high = np.searchsorted(key2, key1, "left"), np.searchsorted(key2, key1, "right")
+    size = high - low
+    cuts = np.unique(np.concatenate([np.searchsorted(np.cumsum(size), np.arange(0, size.sum() + 1, SLICE)), [len(one)]]))
+    for a, z in zip(np.concatenate([[0], cuts]), cuts):
+        k = size[a:z]
+        if not k.sum():
+            continue
+        i = np.repeat(one[a:z], k)
+        j = two[np.repeat(low[a:z], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)]
+        ok = possible(at[i], at[j])
+        yield i[ok] * len(at) + j[ok]
+
+
+def block_pairs(b: pd.DataFrame, possible: Callable, exact: bool = True) -> pd.DataFrame:
+    """(id1, id2, cosine) of a block of whole parts: pairs of sides 1 and 2 of a part that meet and are possible.
+
+    b: part, side, id, at, tokens, subs. Records meet in a bucket of a table or in a sub-window (subs) of their part; since
+    possible pairs share a sub-window, all of those with tokens are found. exact=False leaves the sub-windows out, to
+    measure what the buckets find alone.
     """
     part, side, ids, at = (b[c].to_numpy() for c in ("part", "side", "id", "at"))
     parts, part = np.unique(part, return_inverse=True)
     n = len(b)
-    rec = np.repeat(np.arange(n), [len(x) for x in b["tokens"]])
+    lengths = np.array([len(x) for x in b["tokens"]], dtype=int)
+    rec = np.repeat(np.arange(n), lengths)
     names = np.concatenate([np.asarray(x, np.int64) for x in b["tokens"]]) if n else np.zeros(0, np.int64)
     names = mixed(names.view(np.uint64) ^ mixed(parts.view(np.uint64), 7)[part[rec]], 8)
     tokens, tok, count = np.unique(names, return_inverse=True, return_counts=True)
@@ -132,29 +157,23 @@ def block_pairs(b: pd.DataFrame, possible: Callable) -> pd.DataFrame:
     v = skip_gram(r, c, visits, n, tokens[used], seeds)
     keys = bucket_keys(v, part, np.bincount(part)[part])
     live = (v != 0).any(1)
-    out = []
+    one, two = np.nonzero(live & (side == 1))[0], np.nonzero(live & (side == 2))[0]
+    out = [np.zeros(0, int)]
     for table in range(TABLES):
         key = part * 65_536 + keys[:, table]
-        one, two = np.nonzero(live & (side == 1))[0], np.nonzero(live & (side == 2))[0]
-        two = two[np.argsort(key[two], kind="stable")]
-        low, high = np.searchsorted(key[two], key[one], "left"), np.searchsorted(key[two], key[one], "right")
-        size = high - low
-        cuts = np.unique(np.concatenate([np.searchsorted(np.cumsum(size), np.arange(0, size.sum() + 1, 2_000_000)), [len(one)]]))
-        for a, z in zip(np.concatenate([[0], cuts]), cuts):
-            k = size[a:z]
-            if not k.sum():
-                continue
-            i = np.repeat(one[a:z], k)
-            j = two[np.repeat(low[a:z], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)]
-            ok = possible(at[i], at[j])
-            out.append(np.stack([i[ok], j[ok]]))
-    found = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), int)
-    i, j = found
+        out.extend(_met(one, two, key[one], key[two], at, possible))
+    if exact:
+        row = np.repeat(np.arange(n), [len(x) for x in b["subs"]])
+        subs = np.unique(np.concatenate([np.asarray(x, np.int64) for x in b["subs"]]), return_inverse=True)[1] if n else np.zeros(0, int)
+        key = part[row] * (int(subs.max(initial=0)) + 1) + subs
+        one, two = (lengths[row] > 0) & (side[row] == 1), (lengths[row] > 0) & (side[row] == 2)
+        out.extend(_met(row[one], row[two], key[one], key[two], at, possible))
+    i, j = np.divmod(np.unique(np.concatenate(out)), max(1, n))
     return pd.DataFrame({"id1": ids[i], "id2": ids[j], "cosine": (v[i] * v[j]).sum(1).astype(float)})
 
 
-def candidate_pairs(records: DataFrame, possible: Callable, sub: Column, part_records: int = PART_RECORDS) -> DataFrame:
-    """(id1, id2, cosine) for pairs of sides 1 and 2 met in a bucket, each once, with its largest cosine.
+def candidate_pairs(records: DataFrame, possible: Callable, sub: Column, part_records: int = PART_RECORDS, exact: bool = True) -> DataFrame:
+    """(id1, id2, cosine) for possible pairs of sides 1 and 2 that share a window, each once, with its largest cosine.
 
     records: side (1 or 2), id, at, window, tokens; a record stands in each of its windows. sub: the sub-windows
     (an array of numbers) in which a record of a large window stands as well, made so that possible pairs share one.
@@ -163,7 +182,7 @@ def candidate_pairs(records: DataFrame, possible: Callable, sub: Column, part_re
     and no pair is lost. Counts are pre-aggregated; what is large is joined back, by broadcast while it is small.
     """
     hot = records.groupBy("window").agg(F.count("*").alias("n")).where(F.col("n") > part_records).select("window", F.lit(True).alias("large"))
-    cut = records.join(hot, "window", "left").withColumn("piece", F.explode(F.when(F.col("large"), sub).otherwise(F.array(F.lit(-1))))).drop("large")
+    cut = records.join(hot, "window", "left").withColumn("piece", F.explode(F.when(F.col("large"), sub).otherwise(F.array(F.lit(-1)))))
     half = part_records // 2
     still = (
         cut.groupBy("window", "piece").agg(F.count_if(F.col("side") == 1).alias("n1"), F.count_if(F.col("side") == 2).alias("n2")).where(F.col("n1") + F.col("n2") > part_records)
@@ -174,7 +193,7 @@ def candidate_pairs(records: DataFrame, possible: Callable, sub: Column, part_re
     other = F.sequence(F.lit(0), F.when(F.col("side") == 1, F.col("p2")).otherwise(F.col("p1")) - 1)
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(other))
     first, second = F.when(F.col("side") == 1, F.col("own")).otherwise(F.col("other")), F.when(F.col("side") == 1, F.col("other")).otherwise(F.col("own"))
-    parts = dealt.select(F.xxhash64("window", "piece", first, second).alias("part"), "side", "id", "at", "tokens")
+    parts = dealt.select(F.xxhash64("window", "piece", first, second).alias("part"), "side", "id", "at", "tokens", F.when(F.col("large"), F.array("piece")).otherwise(sub).alias("subs"))
     parts = parts.repartition("part").sortWithinPartitions("part", "side", "id")  # in one order, so a task done again walks alike
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,10 +210,10 @@ def candidate_pairs(records: DataFrame, possible: Callable, sub: Column, part_re
                     held = [whole]
                     break
                 end = int(ends[min(np.searchsorted(ends, BLOCK_RECORDS), len(ends) - 1)])
-                yield block_pairs(whole.iloc[:end], possible)
+                yield block_pairs(whole.iloc[:end], possible, exact)
                 held, n = [whole.iloc[end:]], len(whole) - end
         if n:
-            yield block_pairs(pd.concat(held, ignore_index=True), possible)
+            yield block_pairs(pd.concat(held, ignore_index=True), possible, exact)
 
     pairs = parts.mapInPandas(run, "id1 long, id2 long, cosine double")
     return pairs.groupBy("id1", "id2").agg(F.max("cosine").alias("cosine"))

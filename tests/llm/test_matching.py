@@ -51,6 +51,22 @@ def test_a_hot_window_is_dealt_into_blocks(spark):
     assert {(r["id1"], r["id2"]) for r in got} == {(i, j) for i in range(120) for j in range(120)}
 
 
+def test_a_full_window_loses_no_possible_pair(spark):
+    # 4,000 records of one window (9 bits): twins share one token, of each other and of hundreds besides.
+    rng = random.Random(5)
+    rows = []
+    for i in range(2_000):
+        t = rng.uniform(0, 86_000)
+        shared = rng.randrange(8)
+        rows += [(s, i, t + (s - 1), [shared, *(100 + rng.randrange(200) for _ in range(4))]) for s in (1, 2)]
+    got = {(r["id1"], r["id2"]) for r in _run(spark, rows)}
+    t1, t2 = (np.array([t for s, _, t, _ in rows if s == side]) for side in (1, 2))
+    i, j = np.nonzero(np.abs(t1[:, None] - t2[None, :]) <= 5)
+    phase = lambda t: np.floor(t % 3_600 / 600)
+    alike = phase(t1[i]) == phase(t2[j])  # _run's sub-windows do not overlap
+    assert set(zip(i[alike].tolist(), j[alike].tolist())) <= got
+
+
 def test_empty_and_without_tokens(spark):
     assert _run(spark, []) == [] and _run(spark, [(1, 1, 0.0, []), (2, 1, 0.0, [])]) == []
 
