@@ -20,14 +20,24 @@ def fit_omori(days: np.ndarray) -> dict:
     none = {"p": math.nan, "c": math.nan, "k": math.nan, "n": n, "degenerate": True}
     if n < 5 or t[0] >= t[-1]:
         return none
-    edges = np.geomspace(t[0], t[-1], min(30, max(5, n // 3)) + 1)
-    counts = np.histogram(t, edges)[0]
+    edges = omori_edges(n, t[0], t[-1])
+    far = np.abs(np.arange(1, n + 1) / n - t / t[-1]).max()
+    return fit_binned(n, edges, np.histogram(t, edges)[0], far)
+
+
+def omori_edges(n: int, first: float, last: float) -> np.ndarray:
+    """Edges of the at most 30 geometric bins of n times; a bin holds its lower edge, the last one both."""
+    return np.geomspace(first, last, min(30, max(5, n // 3)) + 1)
+
+
+def fit_binned(n: int, edges: np.ndarray, counts: np.ndarray, far: float) -> dict:
+    """fit_omori from the counts of all n times in their bins and their distance from uniform."""
     full = counts > 0
     if full.sum() < 3:
-        return none
+        return {"p": math.nan, "c": math.nan, "k": math.nan, "n": n, "degenerate": True}
     mid, w = ((edges[1:] + edges[:-1]) / 2)[full], counts[full].astype(float)
     y = np.log(w / np.maximum(np.diff(edges)[full], 1e-9))
-    c = np.geomspace(1e-3, max(1.0, t[-1] / 10), 25)
+    c = np.geomspace(1e-3, max(1.0, edges[-1] / 10), 25)
     x = np.log(mid[None, :] + c[:, None])
     mx, my = (x * w).sum(1) / w.sum(), (y * w).sum() / w.sum()
     dx, dy = x - mx[:, None], y - my
@@ -36,7 +46,6 @@ def fit_omori(days: np.ndarray) -> dict:
     sse = (w * (y - level[:, None] - slope[:, None] * x) ** 2).sum(1)
     best = int(np.argmin(sse))
     p = -slope[best]
-    far = np.abs(np.arange(1, n + 1) / n - t / t[-1]).max()
     root = math.sqrt(n)
     flat = far < 1.358 / (root + 0.12 + 0.11 / root)
     return {"p": float(p), "c": float(c[best]), "k": math.exp(min(700.0, level[best])), "n": n, "degenerate": bool(not math.isfinite(p) or p <= 0 or flat)}

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quakeledger.functions.estimators import correlation_dimension, fit_omori, linkage_fits, little_tests, mann_kendall_z, mc_bootstrap_se, sen_slope
+from quakeledger.functions.estimators import correlation_dimension, fit_binned, fit_omori, linkage_fits, little_tests, mann_kendall_z, mc_bootstrap_se, omori_edges, sen_slope
 from quakeledger.functions.scalars import AUDIT_RADIUS_KM, aftershock_radius_km, comparison_level, haversine_km, leading_digit
 from quakeledger.functions.tails import binomial_lower, binomial_upper
 from quakeledger.operators.interval import hash_sample, interval_join, nearest_km, positive_gaps, ranked
@@ -326,24 +326,70 @@ def aftershock_pairs(cat: DataFrame, least: float = 5.5, days: float = 30.0) ->
     return pairs.where(inside).select("catalog_id", F.col("record_id_1").alias("main_id"), (dt / 86_400.0).alias("dt"))
 
 
-#: Aftershocks of a cluster that are fitted; more are sampled by hash.
+#: Aftershocks of a cluster that a task fits from the rows; larger ones are first reduced by aggregation, with the same result.
 CLUSTER_EVENTS = 20_000
+#: Equal slices of a large cluster's bin, in each of which times are ranked.
+SLICES = 64
+
+
+def large_fits(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(catalog_id, main_id, p, degenerate) of clusters (with size, low, high: their first and last dt), from all their rows.
+
+    A cluster is reduced to the counts of its bins and its distance from uniform. For that each distinct time is ranked
+    within its slice of a bin; the slices before it, few to a cluster, give the rest of its rank. Clusters are large and
+    so few enough to be broadcast.
+    """
+    key = ["catalog_id", "main_id"]
+
+    def edged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            yield x.assign(edges=[omori_edges(n, a, z).tolist() for n, a, z in zip(x["size"], x["low"], x["high"])])
+
+    spread = clusters.where("low < high").select(*key, "size", "low", "high").mapInPandas(edged, "catalog_id string, main_id long, size long, low double, high double, edges array<double>")
+    spread = checkpoint(spread)
+    times = pairs.join(F.broadcast(spread.select(*key)), key).groupBy(*key, "dt").agg(F.count("*").alias("c")).join(F.broadcast(spread), key)
+    inner = F.slice("edges", 2, F.size("edges") - 2)
+    times = times.withColumn("bin", F.size(F.filter(inner, lambda e: e <= F.col("dt"))))
+    lower, upper = F.get("edges", F.col("bin")), F.get("edges", F.col("bin") + 1)
+    part = F.least(F.lit(SLICES - 1), F.greatest(F.lit(0), F.floor((F.col("dt") - lower) / (upper - lower) * SLICES))).cast("int")
+    times = checkpoint(times.withColumn("part", part).select(*key, "size", "high", "dt", "c", "bin", "part"))
+    sums = times.groupBy(*key, "bin", "part").agg(F.sum("c").alias("held"))
+    before = F.sum("held").over(Window.partitionBy(*key).orderBy("bin", "part").rowsBetween(Window.unboundedPreceding, -1))
+    sums = checkpoint(sums.withColumn("before", F.coalesce(before, F.lit(0))))
+    upto = F.sum("c").over(Window.partitionBy(*key, "bin", "part").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0))
+    ranks = times.withColumn("upto", upto).join(F.broadcast(sums), [*key, "bin", "part"]).withColumn("rank", F.col("before") + F.col("upto"))
+    off = lambda rank: F.abs(rank / F.col("size") - F.col("dt") / F.col("high"))
+    far = ranks.groupBy(*key).agg(F.max(F.greatest(off(F.col("rank")), off(F.col("rank") - F.col("c") + 1))).alias("far"))
+    counts = sums.groupBy(*key, "bin").agg(F.sum("held").alias("n")).groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("held"))
+    bins = F.transform(F.sequence(F.lit(0), F.size("edges") - 2), lambda k: F.coalesce(F.element_at("held", k), F.lit(0)))
+    figures = spread.join(far, key).join(counts, key).select(*key, "size", "edges", "far", bins.alias("counts"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            fits = [fit_binned(int(n), np.asarray(e), np.asarray(c), far) for n, e, c, far in zip(x["size"], x["edges"], x["counts"], x["far"])]
+            yield x[key].assign(p=[f["p"] for f in fits], degenerate=[f["degenerate"] for f in fits])
+
+    schema = "catalog_id string, main_id long, p double, degenerate boolean"
+    flat = clusters.where("low >= high").select(*key, F.lit(float("nan")).alias("p"), F.lit(True).alias("degenerate"))
+    return figures.mapInPandas(run, schema).unionByName(flat)
 
 
 def a3_omori(cat: DataFrame) -> DataFrame:
     """Fits the decay of clusters of at least 5 aftershocks; at most 2 000 clusters of a catalog, chosen by hash."""
     pairs = checkpoint(aftershock_pairs(cat))
-    sizes = pairs.groupBy("catalog_id", "main_id").agg(F.count("*").alias("size")).where("size >= 5")
+    sizes = pairs.groupBy("catalog_id", "main_id").agg(F.count("*").alias("size"), F.min("dt").alias("low"), F.max("dt").alias("high")).where("size >= 5")
     found = sizes.groupBy("catalog_id").agg(F.count("*").alias("n_found"))
-    kept = hash_sample(sizes, "catalog_id", ["main_id"], MOST_CLUSTERS)
-    share = F.pmod(F.xxhash64("main_id", "dt"), F.lit(1_000_003)) / 1_000_003.0
-    members = pairs.join(kept, ["catalog_id", "main_id"]).where((F.col("size") <= CLUSTER_EVENTS) | (share * F.col("size") < CLUSTER_EVENTS))
+    kept = checkpoint(hash_sample(sizes, "catalog_id", ["main_id"], MOST_CLUSTERS))
+    members = pairs.join(kept.where(F.col("size") <= CLUSTER_EVENTS), ["catalog_id", "main_id"])
 
     def run(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         f = fit_omori(x["dt"].to_numpy())
         return pd.DataFrame([{"catalog_id": key[0], "main_id": key[1], "p": f["p"], "degenerate": f["degenerate"]}])
 
     fits = members.groupBy("catalog_id", "main_id").applyInPandas(run, "catalog_id string, main_id long, p double, degenerate boolean")
+    large = kept.where(F.col("size") > CLUSTER_EVENTS)
+    if large.limit(1).count():
+        fits = fits.unionByName(large_fits(pairs, large))
     good = ~F.col("degenerate")
     got = fits.groupBy("catalog_id").agg(F.count("*").alias("n_fits"), F.count_if(good).alias("n_valid"), F.avg(F.when(good, 1.0 - F.least(F.lit(1.0), F.abs(F.col("p") - 1.2) / 1.2))).alias("fit")).join(found, "catalog_id")
     score = 0.5 * F.col("n_valid") / F.col("n_fits") + 0.5 * F.coalesce("fit", F.lit(0.0))

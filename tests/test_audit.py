@@ -1,10 +1,12 @@
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quakeledger.audit import Audit
 from quakeledger.catalog import canonical, seconds
+from quakeledger.functions.estimators import fit_omori
 from quakeledger.operators import generators as gen
 from quakeledger.operators import studies
 from quakeledger.operators import subtests as st
@@ -140,3 +142,21 @@ def test_one_to_one_takes_the_nearest(spark):
     assert got == {(2, 11), (1, 12)}
     assert studies.one_to_one(a.limit(0), b).count() == 0
     assert near_pairs(a, None, "id", "latitude", "longitude", 1.0).count() == 3
+
+
+def test_large_clusters_are_fitted_from_all_rows(spark, monkeypatch):
+    # Decaying times with ties, uniform ones, and times that are all equal, each after one large shock.
+    rng = np.random.default_rng(4)
+    days = {"decay": np.round(0.01 * (3_000 ** rng.uniform(0, 1, 900)), 3), "even": rng.uniform(0.5, 29, 400), "equal": np.full(60, 3.0)}
+    rows = []
+    for c, times in days.items():
+        rows += [(c, 1, 0, 10.0, 10.0, 5.0, 8.0, "x")] + [(c, 2 + i, float(d), 10.0 + i * 1e-5, 10.0, 5.0, 4.0, "x") for i, d in enumerate(times)]
+    cat = make(spark, rows)
+    monkeypatch.setattr(st, "CLUSTER_EVENTS", 50)
+    got = {r["catalog_id"]: r for r in st.a3_omori(cat).collect()}
+    pairs = st.aftershock_pairs(cat).toPandas()
+    for c in days:
+        fit = fit_omori(pairs[pairs["catalog_id"] == c]["dt"].to_numpy())
+        score = 0.0 if fit["degenerate"] else 0.5 + 0.5 * (1 - min(1.0, abs(fit["p"] - 1.2) / 1.2))
+        assert got[c]["n_valid"] == (not fit["degenerate"]) and got[c]["score"] == pytest.approx(score, abs=1e-12)
+    assert got["decay"]["n_valid"] == 1 and got["even"]["n_valid"] == got["equal"]["n_valid"] == 0
