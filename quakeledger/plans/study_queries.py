@@ -143,9 +143,23 @@ def agencies_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return studies.merged(a, b, studies.one_to_one(a, b)).select("id", F.round("t", 3).alias("t"), "magnitude")
 
 
+#: Replicates of R2.
+REPLICATES = 100
+
+
 def uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R2: the spread of every network's verdict over resampled replicates, all audited in one plan."""
-    return _r(studies.uncertainty(Audit().verdicts(gen.resampled(bulletin(spark, sf_dir), replicates=10))))
+    """R2: the spread of the verdict of every network and catalog over 100 replicates, each held against what it is audited with.
+
+    Networks have the references and faults of audit_referenced, catalogs the faults of audit; all replicates of a table are
+    audited in one plan, and a table's result is written before the next one's plan is made.
+    """
+    near = faults(spark, sf_dir)
+    tables = {"local_bulletin": (bulletin(spark, sf_dir), references(spark, sf_dir)), "event_records": (catalog(spark, sf_dir), None)}
+    out = None
+    for name, (rows, refs) in tables.items():
+        got = written(studies.uncertainty(Audit(refs, near).verdicts(gen.resampled(rows, replicates=REPLICATES))).select(F.lit(name).alias("table"), "*"))
+        out = got if out is None else out.unionByName(got)
+    return _r(out)
 
 
 def stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:

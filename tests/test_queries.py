@@ -4,8 +4,9 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from quakeledger.plans import registry
+from quakeledger.plans import registry, study_queries
 from quakeledger.streaming.incremental import daily_gate_counts
 from tools.compare import canonical
 
@@ -32,3 +33,22 @@ def test_late_state_is_dropped_only_on_request(spark):
     schema = "catalog_id string, record_id long, origin_time timestamp_ntz, ingested_at timestamp_ntz, latitude double, longitude double, depth_km double, magnitude double"
     rows = spark.createDataFrame([], schema)
     assert daily_gate_counts(rows).count() == 0
+
+
+@pytest.mark.skipif(not DATA.is_dir(), reason="the test data are not here")
+def test_uncertainty_audits_a_hundred_replicates_of_both_tables(spark, monkeypatch):
+    asked = []
+
+    class Spy:
+        def __init__(self, references=None, faults=None):
+            self.given = (references is not None, faults is not None)
+
+        def verdicts(self, cat):
+            asked.append((self.given, cat))
+            return cat.groupBy("catalog_id").agg(F.lit(0.5).alias("trust"), F.lit(False).alias("fired"), F.lit("ADMIT").alias("decision"))
+
+    monkeypatch.setattr(study_queries, "Audit", Spy)
+    got = study_queries.uncertainty(spark, str(DATA)).groupBy("table").agg(F.max("n_replicates").alias("n"), F.count("*").alias("catalogs")).collect()
+    assert {r["table"]: r["n"] for r in got} == {"local_bulletin": 100, "event_records": 100}
+    assert [given for given, _ in asked] == [(True, True), (False, True)]
+    assert "record_id" in asked[1][1].columns and all(r["catalogs"] > 1 for r in got)
