@@ -99,10 +99,31 @@ def fill_deficits(groups: DataFrame, held: dict[str, int], targets=TARGETS, seed
 
 
 class ComponentTable:
-    """Components and their splits, kept as Parquet under a folder; each update writes the next version."""
+    """Components and their splits, kept as Parquet under a folder; each update writes the next version.
+
+    Opening a folder takes up its latest complete version: one whose marker, written after its members and groups, is
+    there. What an update that broke off has left is passed over, and no version is written over. One writer at a time.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.version = spark, folder.rstrip("/"), 0
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.version = max(self._versions("complete"), default=0)
+
+    def _fs(self, path: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _versions(self, what: str) -> list[int]:
+        """The numbers of the versions under a subfolder."""
+        fs, path = self._fs(f"{self.folder}/{what}")
+        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        return [int(x[1:]) for x in names if x[:1] == "v" and x[1:].isdigit()]
+
+    def _commit(self, version: int) -> None:
+        fs, path = self._fs(self._path("complete", version))
+        if not fs.createNewFile(path):
+            raise FileExistsError(f"version {version} of {self.folder} is there already")
+        self.version = version
 
     def _path(self, what: str, version: int | None = None) -> str:
         return f"{self.folder}/{what}/v{self.version if version is None else version}"
@@ -142,8 +163,8 @@ class ComponentTable:
             kept.unionByName(fresh).join(records.withColumn("now", F.lit(True)), "name", "left")
             .select("name", "group_id", (F.col("listed") | F.coalesce("now", F.lit(False))).alias("listed"))
         )
-        nxt = self.version + 1
-        members.write.mode("overwrite").parquet(self._path("members", nxt))
+        nxt = max(self.version, *(max(self._versions(what), default=0) for what in ("members", "groups", "complete"))) + 1
+        members.write.mode("errorifexists").parquet(self._path("members", nxt))
         members = self.spark.read.parquet(self._path("members", nxt))
         sizes = members.groupBy("group_id").agg(F.sum(F.col("listed").cast("long")).alias("n"))
         before = (
@@ -156,5 +177,5 @@ class ComponentTable:
         settled = state.where(F.col("low").isNotNull()).select("group_id", "n", F.when(conflict, F.lit(QUARANTINE)).otherwise(F.col("low")).alias("split"), status.alias("status"))
         held = {r["split"]: r["n"] for r in settled.groupBy("split").agg(F.sum("n").alias("n")).collect()}  # one row a split
         new = fill_deficits(state.where(F.col("low").isNull()).select("group_id", "n"), held, targets)
-        settled.unionByName(new.withColumn("status", F.lit("new"))).write.mode("overwrite").parquet(self._path("groups", nxt))
-        self.version = nxt
+        settled.unionByName(new.withColumn("status", F.lit("new"))).write.mode("errorifexists").parquet(self._path("groups", nxt))
+        self._commit(nxt)

@@ -72,6 +72,24 @@ def test_updates_keep_grow_merge_and_quarantine(spark, tmp_path):
     assert {r["group_id"]: r["split"] for r in store.groups().collect()} == {g: r["split"] for g, r in after.items()}
 
 
+def test_an_opened_folder_goes_on_from_its_latest_complete_version(spark, tmp_path):
+    names = lambda xs: spark.createDataFrame([(x,) for x in xs], "name string")
+    links = lambda xs: spark.createDataFrame(xs, "a string, b string")
+    folder = str(tmp_path / "store")
+    first = ComponentTable(spark, folder)
+    first.update(names([f"d{i:03d}" for i in range(100)]), links([]))
+    before = {r["group_id"]: r["split"] for r in first.groups().collect()}
+    again = ComponentTable(spark, folder)
+    assert again.version == 1 and {r["group_id"]: r["split"] for r in again.groups().collect()} == before
+    a, b = next((x, y) for x in sorted(before) for y in sorted(before) if x < y and before[x] != before[y])
+    again.members().write.parquet(f"{folder}/members/v2")  # an update broke off here
+    again.update(names(["new"]), links([("new", a), ("new", b)]))
+    after = {r["group_id"]: r for r in ComponentTable(spark, folder).groups().collect()}
+    assert again.version == 3 and after[a]["split"] == QUARANTINE and after[a]["status"] == "conflict"
+    assert all(after[g]["split"] == before[g] for g in before if g not in (a, b))
+    assert {r["group_id"]: r["split"] for r in first.groups().collect()} == before
+
+
 def test_compared_name(spark):
     got = spark.createDataFrame([("  Real--A b\t",), ("__",), (None,)], "x string").select(compared_name(F.col("x")).alias("y")).collect()
     assert [r["y"] for r in got] == ["real_a_b", None, None]
