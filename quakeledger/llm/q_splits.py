@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quakeledger.llm.splits import ComponentTable, connected_components
+from quakeledger.llm.splits import ComponentTable
 from quakeledger.runtime import ensure_checkpoint_dir, table
 
 
@@ -34,28 +34,28 @@ def adversarial_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
     return rows.select(F.col("a").alias("name")), rows.select("a", F.nullif(base, F.lit("")).alias("b")).where("b IS NOT NULL")
 
 
-def _all_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    (n1, e1), (n2, e2) = manifest_links(spark, sf_dir), adversarial_links(spark, sf_dir)
-    return n1.unionByName(n2).where("name IS NOT NULL").distinct(), e1.unionByName(e2)
-
-
 def _component_table(spark: SparkSession) -> ComponentTable:
     return ComponentTable(spark, f"{ensure_checkpoint_dir(spark)}/components-{uuid.uuid4().hex}")
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> ComponentTable:
+    """The component table after corpus_manifest and, as an update, adversarial_corpus_manifest."""
+    store = _component_table(spark)
+    store.update(*manifest_links(spark, sf_dir))
+    store.update(*adversarial_links(spark, sf_dir))
+    return store
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each dataset whose related set holds at least two datasets, with the set's first name."""
-    names, edges = _all_links(spark, sf_dir)
-    labels = connected_components(edges).join(names.select("name", F.lit(1).alias("listed")), "name", "left")
-    many = labels.groupBy("root").agg(F.sum("listed").alias("n")).where("n >= 2").select("root")
-    return labels.where("listed = 1").join(many, "root").select(F.col("name").alias("dataset_id"), F.col("root").alias("group_id"))
+    """Each dataset whose related set holds at least two datasets, with the set's first name, from the stored components."""
+    members = _stored(spark, sf_dir).members().where("listed").select("name", "group_id")
+    many = members.groupBy("group_id").agg(F.count("*").alias("n")).where("n >= 2").select("group_id")
+    return members.join(many, "group_id").select(F.col("name").alias("dataset_id"), "group_id")
 
 
 def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every dataset's split; corpus_manifest comes first, adversarial_corpus_manifest as an update of the stored components."""
-    store = _component_table(spark)
-    store.update(*manifest_links(spark, sf_dir))
-    store.update(*adversarial_links(spark, sf_dir))
+    store = _stored(spark, sf_dir)
     groups = store.groups().select("group_id", "split", "status")
     return store.members().where("listed").join(groups, "group_id").select(F.col("name").alias("dataset_id"), "group_id", "split", "status")
 

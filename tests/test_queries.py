@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from quakeledger.llm import q_splits
 from quakeledger.plans import registry, study_queries
 from quakeledger.streaming.incremental import daily_gate_counts
 from tools.compare import canonical
@@ -52,3 +53,22 @@ def test_uncertainty_audits_a_hundred_replicates_of_both_tables(spark, monkeypat
     assert {r["table"]: r["n"] for r in got} == {"local_bulletin": 100, "event_records": 100}
     assert [given for given, _ in asked] == [(True, True), (False, True)]
     assert "record_id" in asked[1][1].columns and all(r["catalogs"] > 1 for r in got)
+
+
+@pytest.mark.skipif(not DATA.is_dir(), reason="the test data are not here")
+def test_related_sets_come_from_the_updated_component_table(spark, monkeypatch):
+    stores = []
+
+    class Spy(q_splits.ComponentTable):
+        def __init__(self, *given):
+            super().__init__(*given)
+            stores.append(self)
+
+    monkeypatch.setattr(q_splits, "ComponentTable", Spy)
+    got = canonical(q_splits.p2_found(spark, str(DATA)).toPandas())
+    con = duckdb.connect()
+    for name in ("corpus_manifest", "adversarial_corpus_manifest"):
+        con.execute(f"create view {name} as select * from '{DATA}/{name}.parquet'")
+    want = canonical(con.execute(q_splits.P2_FOUND_SQL).df())
+    assert list(got.columns) == list(want.columns) and got.equals(want)
+    assert [s.version for s in stores] == [2]
