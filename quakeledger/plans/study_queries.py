@@ -17,7 +17,7 @@ from quakeledger.operators import studies
 from quakeledger.operators.subtests import a6_external
 from quakeledger.plans.audit_queries import bulletin, catalog, faults, references
 from quakeledger.plans.audit_queries import T4, _stats, _votes
-from quakeledger.runtime import ensure_checkpoint_dir, table, written
+from quakeledger.runtime import checkpoint, ensure_checkpoint_dir, fetch_bounded, table, written
 from quakeledger.sources import files
 from quakeledger.streaming.incremental import daily_gate_counts, read_deliveries, run_to_end
 
@@ -126,21 +126,21 @@ def ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corrupted_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gate counts and b-values of all catalogs in six corruptions, by variant."""
-    v = written(gen.corrupted_variants(load(spark, sf_dir)).withColumn("t", seconds()))
+    """Gate counts and b-values of all catalogs in six corruptions at three severities, by variant."""
+    v = written(gen.corrupted_variants(load(spark, sf_dir), severities=("low", "medium", "high")).withColumn("t", seconds()))
     return _r(studies.b_value_shift(v))
 
 
-def _agencies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    r = references(spark, sf_dir).where("t IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL AND magnitude IS NOT NULL")
-    side = lambda s: r.where(F.col("source_id") == s).select(F.col("ref_id").alias("id"), "t", "latitude", "longitude", "magnitude")
-    return side("gorvane"), side("tilmark")
-
-
 def agencies_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two reference agencies matched one to one, and their union without the second's duplicates."""
-    a, b = _agencies(spark, sf_dir)
-    return studies.merged(a, b, studies.one_to_one(a, b)).select("id", F.round("t", 3).alias("t"), "magnitude")
+    """All reference sources merged, in the order of their names: each is matched one to one with the union so far, which it joins without its duplicates."""
+    r = references(spark, sf_dir).where("t IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL AND magnitude IS NOT NULL")
+    r = checkpoint(r.select(F.coalesce("source_id", F.lit("")).alias("source"), F.col("ref_id").alias("id"), "t", "latitude", "longitude", "magnitude"))
+    names = [x["source"] for x in fetch_bounded(r.select("source").distinct().orderBy("source"), 1_000, "the list of reference sources")]
+    out = r.drop("source").limit(0)
+    for name in names:
+        own = r.where(F.col("source") == name).drop("source")
+        out = checkpoint(studies.merged(out, own, studies.one_to_one(out, own)) if name != names[0] else own)
+    return out.select("id", F.round("t", 3).alias("t"), "magnitude")
 
 
 #: Replicates of R2.

@@ -72,3 +72,17 @@ def test_related_sets_come_from_the_updated_component_table(spark, monkeypatch):
     want = canonical(con.execute(q_splits.P2_FOUND_SQL).df())
     assert list(got.columns) == list(want.columns) and got.equals(want)
     assert [s.version for s in stores] == [2]
+
+
+def test_all_sources_are_merged_pairwise(spark, monkeypatch):
+    # Three sources report event 0, two of them event 1; 2 and 3 are far apart and stand in the last one alone.
+    rows = [(i, s, t, 10.0, 10.0, 5.0) for i, s, t in ((1, "a", 0.0), (2, "b", 1.0), (3, "c", 2.0), (4, "b", 9_000.0), (5, "c", 9_001.0), (6, "c", 50_000.0), (7, "c", 90_000.0))]
+    refs = spark.createDataFrame(rows, "ref_id long, source_id string, t double, latitude double, longitude double, magnitude double")
+    monkeypatch.setattr(study_queries, "references", lambda s, d: refs)
+    assert sorted(r["id"] for r in study_queries.agencies_merged(spark, "").collect()) == [1, 4, 6, 7]
+
+
+@pytest.mark.skipif(not DATA.is_dir(), reason="the test data are not here")
+def test_b_values_are_compared_at_three_severities(spark):
+    got = study_queries.corrupted_audit(spark, str(DATA)).select("kind", "severity").distinct().collect()
+    assert len({r["kind"] for r in got}) == 6 and len({r["severity"] for r in got}) == 3 and len(got) == 18
