@@ -1,10 +1,13 @@
 """Matching records of two tables without a common key.
 
-A graph joins records, their attributes and the attributes' tokens. Its tokens belong to overlapping windows, so the graph
-falls into parts that a task can hold: each part is walked at random, skip-gram vectors of its records are trained on
-the walks with negative sampling, and records meet in the buckets of several tables of random hyperplanes. Buckets get
-narrower as a part gets fuller and so lose pairs; records therefore also meet in all sub-windows that they share, which
-loses none. An exact check of the attributes decides, and the cosine of the vectors is calibrated to a confidence.
+A graph joins records with the tokens of their attributes. It is walked at random, skip-gram vectors of its records are
+trained on the walks with negative sampling, and records of the two sides meet where they share a bucket in one of
+several tables of random hyperplanes. An exact check of the attributes reranks what has met, and the cosines of the
+vectors are calibrated to confidences.
+
+The graph is walked and trained in parts, runs of consecutive days with about PART_RECORDS records each, whatever the
+size of the tables: a day is one of a token's ingredients, the parts hold many of them, and the number of hyperplanes
+goes with a part's records. So buckets are as narrow, and recall is the same, in small tables and in large ones.
 """
 
 from __future__ import annotations
@@ -13,18 +16,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
-DIMENSIONS = 64
+from quakeledger.runtime import checkpoint
+
+DIMENSIONS = 32
 #: Random walks from each record, and steps from record to token to record in each.
-WALKS, HOPS = 24, 3
-#: Rounds of training, learning rate, negative contexts a record and round.
-ROUNDS, RATE, NEGATIVES = 3, 0.5, 4
+WALKS, HOPS = 16, 2
+#: Rounds of training over all walks, learning rate, negatives of a round, visits of a token in a round, steepness of the log odds.
+ROUNDS, RATE, NEGATIVES, VISITS, STEEP = 6, 3.0, 64, 4, 3.0
 #: Tables of hyperplanes, and records that a bucket gets on average.
-TABLES, PER_BUCKET = 16, 8
-#: Records of one part held together, at most; parts of fewer records are worked on together up to this number.
-PART_RECORDS, BLOCK_RECORDS = 8_000, 4_000
+TABLES, PER_BUCKET = 32, 16
+#: Records of a part, on average; parts of more (crowded days) are divided by the clock and then dealt into blocks.
+PART_RECORDS = 6_000
+DAY = 86_400
 _SPLIT = 0x9E3779B97F4A7C15
 
 
@@ -37,6 +44,14 @@ def mixed(x: np.ndarray, salt: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def combined(*columns: np.ndarray) -> np.ndarray:
+    """One hash for rows of whole numbers."""
+    out = np.zeros(len(columns[0]), np.uint64)
+    for i, c in enumerate(columns):
+        out = mixed(out ^ mixed(np.asarray(c).astype(np.int64).view(np.uint64), i + 1), 40 + i)
+    return out
+
+
 def uniform(x: np.ndarray, salt: int) -> np.ndarray:
     """Numbers in [0, 1) that depend on x and salt alone, so that a task done again gives the same."""
     return (mixed(x, salt) >> np.uint64(11)).astype(np.float64) / 2.0**53
@@ -48,80 +63,85 @@ def sign_vectors(x: np.ndarray) -> np.ndarray:
     return (bits[..., :DIMENSIONS].astype(np.float32) * 2 - 1) / np.float32(DIMENSIONS**0.5)
 
 
-def _summed(groups: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of rows by group; groups ascend."""
-    out = np.zeros((n, values.shape[1]), np.float32)
-    if len(groups):
-        at = np.nonzero(np.r_[True, groups[1:] != groups[:-1]])[0]
-        out[groups[at]] = np.add.reduceat(values, at, axis=0)
-    return out
+def walk_contexts(rec: np.ndarray, tok: np.ndarray, n_rec: int, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(records, contexts): the records with tokens, and for each the tokens that its WALKS walks of HOPS hops visit.
 
-
-def walk_contexts(rec: np.ndarray, tok: np.ndarray, n_rec: int, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(record, token, visits) of WALKS walks of HOPS hops from each record of a graph with edges (rec, tok).
-
-    A record steps to one of its tokens, in proportion to one over the root of the token's records; a token steps to
-    any of its records. Edges ascend by record. Tokens of one record lead nowhere and must be left out beforehand.
+    The graph has edges (rec, tok), which ascend by record. A record steps to one of its tokens, in proportion to one over
+    the token's records; a token steps to any of its records. Tokens of one record lead nowhere and must be left out
+    beforehand.
     """
     n_tok = int(tok.max()) + 1 if len(tok) else 0
     by_tok = np.argsort(tok, kind="stable")
     count = np.bincount(tok, minlength=n_tok)
     start = np.concatenate([[0], np.cumsum(count)])
-    cum = np.cumsum(1.0 / np.sqrt(count[tok]))
+    cum = np.cumsum(1.0 / count[tok])
     first = np.searchsorted(rec, np.arange(n_rec + 1))
     base = np.concatenate([[0.0], cum])[first]
-    walkers = np.repeat(np.nonzero(np.diff(first))[0], WALKS)
-    salt = mixed(seeds[walkers].view(np.uint64) ^ mixed(np.tile(np.arange(WALKS, dtype=np.uint64), len(walkers) // WALKS), 5), 6)
+    records = np.nonzero(np.diff(first))[0]
+    walkers = np.repeat(records, WALKS)
+    salt = mixed(seeds[walkers].view(np.uint64) ^ mixed(np.tile(np.arange(WALKS, dtype=np.uint64), len(records)), 5), 6)
     at, seen = walkers, []
     for hop in range(HOPS):
         edge = np.searchsorted(cum, base[at] + uniform(salt, 10 + hop) * (base[at + 1] - base[at]), side="right")
         t = tok[np.clip(edge, first[at], first[at + 1] - 1)]
-        seen.append(t)
+        seen.append(t.reshape(len(records), WALKS))
         at = rec[by_tok[start[t] + (uniform(salt, 20 + hop) * count[t]).astype(np.int64)]]
-    pair, visits = np.unique(np.tile(walkers, HOPS) * max(1, n_tok) + np.concatenate(seen), return_counts=True)
-    return pair // max(1, n_tok), pair % max(1, n_tok), visits
+    return records, np.concatenate(seen, axis=1) if len(records) else np.zeros((0, WALKS * HOPS), np.int64)
+
+
+def _toward(own: np.ndarray, other: np.ndarray, seen: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """The gradient of the log odds of each row's seen rows of ``other`` against the rows of noise."""
+    near = np.take(other, seen, axis=0)
+    pull = 1 / (1 + np.exp(STEEP * np.matmul(near, own[:, :, None])[:, :, 0]))
+    push = 1 / (1 + np.exp(-STEEP * (own @ noise.T)))
+    return np.matmul(pull[:, None, :], near)[:, 0] / np.float32(seen.shape[1]) - push @ noise / np.float32(len(noise))
 
 
-def skip_gram(rec: np.ndarray, ctx: np.ndarray, visits: np.ndarray, n_rec: int, tokens: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """Vectors of length 1 for records from their visited contexts, trained with negative sampling; 0 without contexts.
+def skip_gram(contexts: np.ndarray, tokens: np.ndarray, seeds: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Vectors of length 1 for records from the contexts (n, visits) of their walks, trained with negative sampling.
 
-    Contexts start at random vectors made from their tokens, records at the mean of their contexts; both are moved by
-    gradient steps on the log odds of visited against random contexts.
+    tokens and seeds name the contexts and the records. Both start at random vectors, the records' much shorter. In each
+    round a record moves along the gradient of the log odds of its visited contexts against NEGATIVES tokens drawn by
+    their visits to the power of 3/4; a context along that of VISITS of its visits, drawn anew, against as many
+    records. The result depends on names alone, so that a task done again gives the same. rounds=0 leaves the start.
     """
-    u = sign_vectors(tokens)
-    w = (visits / np.bincount(rec, visits, minlength=n_rec)[rec]).astype(np.float32)[:, None]
-    v = _summed(rec, w * u[ctx], n_rec)
-    order = np.argsort(ctx, kind="stable")
-    share = np.maximum(np.bincount(ctx, w[:, 0], minlength=len(u)), 1e-9)[:, None].astype(np.float32)
-    for k in range(ROUNDS):
-        pull = w / (1 + np.exp(4 * (v[rec] * u[ctx]).sum(1, keepdims=True)))
-        noise = sign_vectors(mixed(seeds.view(np.uint64), 30 + k)[:, None] + np.arange(NEGATIVES, dtype=np.uint64))
-        push = 1 / (1 + np.exp(-4 * np.einsum("nd,nkd->nk", v, noise))) - 0.5
-        dv = _summed(rec, pull * u[ctx], n_rec) - np.einsum("nk,nkd->nd", push.astype(np.float32), noise) / NEGATIVES
-        du = _summed(ctx[order], (pull * v[rec])[order], len(u)) / share
-        v, u = v + RATE * dv, u + RATE * du
-    v[np.bincount(rec, minlength=n_rec) == 0] = 0
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-
-
-def bucket_keys(v: np.ndarray, part: np.ndarray, size: np.ndarray, seed: int = 3) -> np.ndarray:
-    """(n, TABLES) bucket numbers: the signs of as many random projections as leave PER_BUCKET records of the part in a bucket."""
-    bits = np.clip(np.ceil(np.log2(np.maximum(size, 1) / PER_BUCKET)), 0, 16).astype(np.int64)
-    planes = np.random.default_rng(seed).standard_normal((DIMENSIONS, TABLES * 16)).astype(np.float32)
-    signs = (v @ planes > 0).reshape(len(v), TABLES, 16)
-    used = np.arange(16) < bits[:, None]
-    return (signs * used[:, None, :] * (1 << np.arange(16))).sum(2)
+    n, n_tok = len(contexts), len(tokens)
+    u, v = sign_vectors(tokens), sign_vectors(mixed(seeds.view(np.uint64), 2)) * np.float32(0.05)
+    if not n:
+        return v
+    flat = contexts.ravel()
+    order = np.argsort(flat, kind="stable") // contexts.shape[1]
+    count = np.bincount(flat, minlength=n_tok)
+    start = np.concatenate([[0], np.cumsum(count)[:-1]])
+    visited = (count > 0)[:, None]
+    weight = np.cumsum(count**0.75)
+    name = mixed(seeds[:1].view(np.uint64), 4) ^ np.arange(NEGATIVES, dtype=np.uint64)
+    ticket = mixed(tokens[:, None], 5) ^ np.arange(VISITS, dtype=np.uint64)
+    for k in range(rounds):
+        drawn = np.minimum(np.searchsorted(weight, uniform(name, 30 + k) * weight[-1], side="right"), n_tok - 1)
+        visits = order[np.minimum(start[:, None] + (uniform(ticket, 50 + k) * count[:, None]).astype(np.int64), len(order) - 1)]
+        others = (uniform(name, 70 + k) * n).astype(np.int64)
+        dv, du = _toward(v, u, contexts, u[drawn]), _toward(u, v, visits, v[others])
+        v, u = v + np.float32(RATE) * dv, u + np.float32(RATE) * du * visited
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), np.float32(1e-9))
+
+
+def bucket_keys(v: np.ndarray, seed: int = 3) -> np.ndarray:
+    """(n, TABLES) bucket numbers: the signs of as many random projections as leave PER_BUCKET records in a bucket."""
+    bits = int(np.clip(np.round(np.log2(max(1, len(v)) / PER_BUCKET)), 1, 24))
+    planes = np.random.default_rng(seed).standard_normal((DIMENSIONS, TABLES * bits)).astype(np.float32)
+    return ((v @ planes > 0).reshape(len(v), TABLES, bits) * (1 << np.arange(bits))).sum(2)
 
 
 #: Pairs of a table of buckets that are looked at together.
 SLICE = 2_000_000
 
 
-def _met(one: np.ndarray, two: np.ndarray, key1: np.ndarray, key2: np.ndarray, at: np.ndarray, possible: Callable) -> Iterator[np.ndarray]:
+def _met(one: np.ndarray, two: np.ndarray, key: np.ndarray, at: np.ndarray, possible: Callable) -> Iterator[np.ndarray]:
     """Pairs of rows (one, two) with equal keys that are possible, as one * len(at) + two, in slices of bounded size."""
-    order = np.argsort(key2, kind="stable")
-    two, key2 = two[order], key2[order]
-    low, high = np.searchsorted(key2, key1, "left"), np.searchsorted(key2, key1, "right")
+    two = two[np.argsort(key[two], kind="stable")]
+    sorted_keys = key[two]
+    low, high = np.searchsorted(sorted_keys, key[one], "left"), np.searchsorted(sorted_keys, key[one], "right")
     size = high - low
     cuts = np.unique(np.concatenate([np.searchsorted(np.cumsum(size), np.arange(0, size.sum() + 1, SLICE)), [len(one)]]))
     for a, z in zip(np.concatenate([[0], cuts]), cuts):
@@ -134,113 +154,133 @@ def _met(one: np.ndarray, two: np.ndarray, key1: np.ndarray, key2: np.ndarray, a
         yield i[ok] * len(at) + j[ok]
 
 
-def block_pairs(b: pd.DataFrame, possible: Callable, exact: bool = True) -> pd.DataFrame:
-    """(id1, id2, cosine) of a block of whole parts: pairs of sides 1 and 2 of a part that meet and are possible.
+def part_vectors(b: pd.DataFrame, tokens: Callable, rounds: int = ROUNDS) -> np.ndarray:
+    """The records' vectors of one part (0 for a record that shares no token with the other side).
 
-    b: part, side, id, at, tokens, subs. Records meet in a bucket of a table or in a sub-window (subs) of their part; since
-    possible pairs share a sub-window, all of those with tokens are found. exact=False leaves the sub-windows out, to
-    measure what the buckets find alone.
+    tokens(b) gives (row, token) of the graph's edges. A token that only one side has can join nothing and is left out.
     """
-    part, side, ids, at = (b[c].to_numpy() for c in ("part", "side", "id", "at"))
-    parts, part = np.unique(part, return_inverse=True)
-    n = len(b)
-    lengths = np.array([len(x) for x in b["tokens"]], dtype=int)
-    rec = np.repeat(np.arange(n), lengths)
-    names = np.concatenate([np.asarray(x, np.int64) for x in b["tokens"]]) if n else np.zeros(0, np.int64)
-    names = mixed(names.view(np.uint64) ^ mixed(parts.view(np.uint64), 7)[part[rec]], 8)
-    tokens, tok, count = np.unique(names, return_inverse=True, return_counts=True)
-    linked = count[tok] > 1
-    rec, tok = rec[linked], tok[linked]
+    n, side = len(b), b["side"].to_numpy()
+    rec, name = tokens(b)
+    names, tok = np.unique(name, return_inverse=True)
+    linked = (np.bincount(tok, side[rec] == 1, minlength=len(names)) > 0) & (np.bincount(tok, side[rec] == 2, minlength=len(names)) > 0)
+    keep = linked[tok]
+    edge = np.unique(rec[keep] * max(1, len(names)) + tok[keep])
+    rec, tok = edge // max(1, len(names)), edge % max(1, len(names))
     used, tok = np.unique(tok, return_inverse=True)
-    seeds = mixed(ids.astype(np.int64).view(np.uint64), 9) ^ mixed(side.astype(np.uint64), 10)
-    r, c, visits = walk_contexts(rec, tok, n, seeds)
-    v = skip_gram(r, c, visits, n, tokens[used], seeds)
-    keys = bucket_keys(v, part, np.bincount(part)[part])
+    seeds = combined(b["id"].to_numpy(), side)
+    walkers, contexts = walk_contexts(rec, tok, n, seeds)
+    v = np.zeros((n, DIMENSIONS), np.float32)
+    v[walkers] = skip_gram(contexts, names[used], seeds[walkers], rounds)
+    return v
+
+
+def part_pairs(b: pd.DataFrame, tokens: Callable, possible: Callable, rerank: Callable, rounds: int = ROUNDS) -> pd.DataFrame:
+    """(id1, id2, cosine, ...) of one part: pairs of sides 1 and 2 that meet in a bucket and pass ``rerank``.
+
+    possible(at, at) is a cheap necessary condition; rerank(one, two) takes the attributes of both and gives, for the
+    pairs it keeps, their rows and further columns. met is the number of possible pairs that met.
+    """
+    v = part_vectors(b, tokens, rounds)
+    keys, at, side = bucket_keys(v), b["at"].to_numpy(), b["side"].to_numpy()
     live = (v != 0).any(1)
     one, two = np.nonzero(live & (side == 1))[0], np.nonzero(live & (side == 2))[0]
     out = [np.zeros(0, int)]
     for table in range(TABLES):
-        key = part * 65_536 + keys[:, table]
-        out.extend(_met(one, two, key[one], key[two], at, possible))
-    if exact:
-        row = np.repeat(np.arange(n), [len(x) for x in b["subs"]])
-        subs = np.unique(np.concatenate([np.asarray(x, np.int64) for x in b["subs"]]), return_inverse=True)[1] if n else np.zeros(0, int)
-        key = part[row] * (int(subs.max(initial=0)) + 1) + subs
-        one, two = (lengths[row] > 0) & (side[row] == 1), (lengths[row] > 0) & (side[row] == 2)
-        out.extend(_met(row[one], row[two], key[one], key[two], at, possible))
-    i, j = np.divmod(np.unique(np.concatenate(out)), max(1, n))
-    return pd.DataFrame({"id1": ids[i], "id2": ids[j], "cosine": (v[i] * v[j]).sum(1).astype(float)})
-
-
-def candidate_pairs(records: DataFrame, possible: Callable, sub: Column, part_records: int = PART_RECORDS, exact: bool = True) -> DataFrame:
-    """(id1, id2, cosine) for possible pairs of sides 1 and 2 that share a window, each once, with its largest cosine.
-
-    records: side (1 or 2), id, at, window, tokens; a record stands in each of its windows. sub: the sub-windows
-    (an array of numbers) in which a record of a large window stands as well, made so that possible pairs share one.
-    Windows of more than ``part_records`` records are divided into these; sub-windows that are still larger are dealt into
-    blocks: each side into pieces, every piece of one meeting every piece of the other. So no part exceeds the bound,
-    and no pair is lost. Counts are pre-aggregated; what is large is joined back, by broadcast while it is small.
+        out.extend(_met(one, two, keys[:, table], at, possible))
+    i, j = np.divmod(np.unique(np.concatenate(out)), max(1, len(b)))
+    kept, columns = rerank(b.iloc[i].reset_index(drop=True), b.iloc[j].reset_index(drop=True))
+    i, j, ids = i[kept], j[kept], b["id"].to_numpy()
+    return pd.DataFrame({"id1": ids[i], "id2": ids[j], "cosine": (v[i] * v[j]).sum(1).astype(float), **columns})
+
+
+def dealt_into_parts(records: DataFrame, reach: float, period: int, width: int, phase_reach: float, part_records: int = PART_RECORDS) -> DataFrame:
+    """records (side, id, at, ...) with ``part``: two records that can match stand in one part together.
+
+    Side 1 stands in the part of its day; side 2 also in the parts that lie within ``reach`` seconds. A day of more than
+    ``part_records`` records is a part of its own and is divided by the clock's place in a ``period``, in pieces of
+    ``width`` seconds whose neighbours within phase_reach side 2 joins as well; what is still larger is dealt into blocks,
+    each piece of side 1 meeting each of side 2, so nothing is capped. The table of days has a row a day at most, which
+    the calendar bounds; it is joined by broadcast only while it is small.
     """
-    hot = records.groupBy("window").agg(F.count("*").alias("n")).where(F.col("n") > part_records).select("window", F.lit(True).alias("large"))
-    cut = records.join(hot, "window", "left").withColumn("piece", F.explode(F.when(F.col("large"), sub).otherwise(F.array(F.lit(-1)))))
+    day = F.floor(F.col("at") / DAY).alias("day")
+    days = records.groupBy(day).agg(F.count("*").alias("n"))
+    crowded = F.col("n") > part_records
+    along = Window.orderBy("day")  # over pre-aggregated days
+    before = F.sum(F.when(crowded, 0).otherwise(F.col("n"))).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    days = days.withColumn("part", F.when(crowded, -2 - F.abs(F.col("day")) * 2 - (F.col("day") < 0).cast("long")).otherwise(F.floor(F.coalesce(before, F.lit(0)) / part_records)))
+    beside = lambda f, step: F.when(f("day").over(along) == F.col("day") + step, f("part").over(along))
+    days = checkpoint(days.select("day", "part", beside(F.lag, -1).alias("left"), beside(F.lead, 1).alias("right")))
+    got = records.withColumn("day", F.floor(F.col("at") / DAY)).join(days, "day")
+    two, inside = F.col("side") == 2, F.col("at") - F.col("day") * DAY
+    homes = F.array("part", F.when(two & (inside < reach), F.col("left")), F.when(two & (inside >= DAY - reach), F.col("right")))
+    got = got.withColumn("part", F.explode(F.array_distinct(F.array_compact(homes)))).drop("day", "left", "right")
+    if days.where("part < 0").limit(1).count() == 0:
+        return got
+    k = lambda s: F.floor(F.pmod(F.col("at") + s, F.lit(float(period))) / width).cast("int")
+    pieces = F.when(F.col("part") >= 0, F.array(F.lit(-1))).when(two, F.array_distinct(F.array(k(0.0), k(-phase_reach), k(phase_reach)))).otherwise(F.array(k(0.0)))
+    cut = got.withColumn("piece", F.explode(pieces))
     half = part_records // 2
-    still = (
-        cut.groupBy("window", "piece").agg(F.count_if(F.col("side") == 1).alias("n1"), F.count_if(F.col("side") == 2).alias("n2")).where(F.col("n1") + F.col("n2") > part_records)
-        .select("window", "piece", F.ceil(F.greatest("n1", F.lit(1)) / half).cast("int").alias("p1"), F.ceil(F.greatest("n2", F.lit(1)) / half).cast("int").alias("p2"))
-    )
-    dealt = cut.join(still, ["window", "piece"], "left").withColumn("p1", F.coalesce("p1", F.lit(1))).withColumn("p2", F.coalesce("p2", F.lit(1)))
-    own = F.pmod(F.xxhash64("id", F.lit(4)), F.when(F.col("side") == 1, F.col("p1")).otherwise(F.col("p2")))
-    other = F.sequence(F.lit(0), F.when(F.col("side") == 1, F.col("p2")).otherwise(F.col("p1")) - 1)
-    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(other))
-    first, second = F.when(F.col("side") == 1, F.col("own")).otherwise(F.col("other")), F.when(F.col("side") == 1, F.col("other")).otherwise(F.col("own"))
-    parts = dealt.select(F.xxhash64("window", "piece", first, second).alias("part"), "side", "id", "at", "tokens", F.when(F.col("large"), F.array("piece")).otherwise(sub).alias("subs"))
-    parts = parts.repartition("part").sortWithinPartitions("part", "side", "id")  # in one order, so a task done again walks alike
+    many = lambda s: F.ceil(F.greatest(F.count_if(F.col("side") == s), F.lit(1)) / half).cast("int")
+    still = cut.where("part < 0").groupBy("part", "piece").agg(many(1).alias("p1"), many(2).alias("p2"), F.count("*").alias("n")).where(F.col("n") > part_records)
+    dealt = cut.join(still.drop("n"), ["part", "piece"], "left").withColumn("p1", F.coalesce("p1", F.lit(1))).withColumn("p2", F.coalesce("p2", F.lit(1)))
+    own = F.pmod(F.xxhash64("id", F.lit(4)), F.when(two, F.col("p2")).otherwise(F.col("p1")))
+    others = F.sequence(F.lit(0), F.when(two, F.col("p1")).otherwise(F.col("p2")) - 1)
+    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(others))
+    first, second = F.when(two, F.col("other")).otherwise(F.col("own")), F.when(two, F.col("own")).otherwise(F.col("other"))
+    part = F.when(F.col("part") >= 0, F.col("part")).otherwise(F.xxhash64("part", "piece", first, second))
+    return dealt.withColumn("part", part).drop("piece", "p1", "p2", "own", "other")
+
+
+def matched_pairs(parts: DataFrame, tokens: Callable, possible: Callable, rerank: Callable, columns: str, rounds: int = ROUNDS) -> DataFrame:
+    """(id1, id2, cosine, ``columns``) of the pairs of each part (see part_pairs). A pair of two parts comes out of each.
+
+    Parts are dealt to tasks by one shuffle and sorted, so that a task done again walks alike; a task holds one part at
+    a time. Records without any token match nothing; an empty table gives an empty result.
+    """
+    parts = parts.repartition("part").sortWithinPartitions("part", "side", "id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
-        n = 0
         for b in batches:
-            held.append(b)
-            n += len(b)
-            while n > BLOCK_RECORDS:
-                whole = pd.concat(held, ignore_index=True)
-                part = whole["part"].to_numpy()
-                ends = np.nonzero(part[1:] != part[:-1])[0] + 1  # where parts end for certain
-                if not len(ends):
-                    held = [whole]
-                    break
-                end = int(ends[min(np.searchsorted(ends, BLOCK_RECORDS), len(ends) - 1)])
-                yield block_pairs(whole.iloc[:end], possible, exact)
-                held, n = [whole.iloc[end:]], len(whole) - end
-        if n:
-            yield block_pairs(pd.concat(held, ignore_index=True), possible, exact)
-
-    pairs = parts.mapInPandas(run, "id1 long, id2 long, cosine double")
-    return pairs.groupBy("id1", "id2").agg(F.max("cosine").alias("cosine"))
+            p = b["part"].to_numpy()
+            ends = [*(np.nonzero(p[1:] != p[:-1])[0] + 1), len(p)]
+            start = 0
+            for end in ends:
+                piece = b.iloc[start:end]
+                if held and len(piece) and held[-1]["part"].iloc[0] != piece["part"].iloc[0]:
+                    yield part_pairs(pd.concat(held, ignore_index=True), tokens, possible, rerank, rounds)
+                    held = []
+                if len(piece):
+                    held.append(piece)
+                start = end
+        if held:
+            yield part_pairs(pd.concat(held, ignore_index=True), tokens, possible, rerank, rounds)
+
+    return parts.mapInPandas(run, f"id1 long, id2 long, cosine double, {columns}")
 
 
 #: Pairs a calibration is fitted on.
 CALIBRATED_ON = 50_000
 
 
-def calibrate(scored: DataFrame, cos: str, evidence: str, sure: str) -> tuple[float, float, float]:
-    """(a, b, c) of confidence = 1 / (1 + exp(-(a cos + b evidence + c))), by logistic regression.
+def calibrate(labelled: DataFrame, cosine: str, label: str) -> tuple[float, float]:
+    """(a, b) of confidence = 1 / (1 + exp(-(a cosine + b))), by logistic regression.
 
-    Fitted on at most CALIBRATED_ON pairs of lowest hash among those whose label ``sure`` isn't null (1: all attributes
-    agree closely; 0: they can't be one event). Without pairs of both labels the evidence alone counts (0, 1, 0).
+    Fitted on at most CALIBRATED_ON pairs of lowest hash among those with a label (1 or 0). Labels must not come from
+    the cosine. Without pairs of both labels nothing is known and (0, 0) gives one half.
     """
-    sample = scored.where(F.col(sure).isNotNull()).select(F.col(cos).alias("x"), F.col(evidence).alias("e"), F.col(sure).cast("double").alias("y"), F.xxhash64("id1", "id2").alias("h"))
+    sample = labelled.where(F.col(label).isNotNull()).select(F.col(cosine).alias("x"), F.col(label).cast("double").alias("y"), F.xxhash64("id1", "id2").alias("h"))
     got = sample.orderBy("h").limit(CALIBRATED_ON).toPandas()
     y = got["y"].to_numpy()
     if not len(y) or y.min() == y.max():
-        return 0.0, 1.0, 0.0
-    x = np.column_stack([got["x"], got["e"], np.ones(len(got))])
-    w = np.zeros(3)
+        return 0.0, 0.0
+    x = np.column_stack([got["x"], np.ones(len(got))])
+    w = np.zeros(2)
     for _ in range(50):  # Newton steps with a ridge
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1.0 * np.eye(3)
-        step = np.linalg.solve(h, x.T @ (y - p) - 1.0 * w)
+        h = (x * (p * (1 - p))[:, None]).T @ x + np.eye(2)
+        step = np.linalg.solve(h, x.T @ (y - p) - w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
-    return float(w[0]), float(w[1]), float(w[2])
+    return float(w[0]), float(w[1])
