@@ -26,7 +26,7 @@ DIMENSIONS = 32
 #: Random walks from each record, and steps from record to token to record in each.
 WALKS, HOPS = 16, 2
 #: Rounds of training over all walks, learning rate, negatives of a round, visits of a token in a round, steepness of the log odds.
-ROUNDS, RATE, NEGATIVES, VISITS, STEEP = 6, 3.0, 64, 4, 3.0
+ROUNDS, RATE, NEGATIVES, VISITS, STEEP = 6, 3.0, 32, 4, 3.0
 #: Tables of hyperplanes, and records that a bucket gets on average.
 TABLES, PER_BUCKET = 32, 16
 #: Records of a part, on average; parts of more (crowded days) are divided by the clock and then dealt into blocks.
@@ -89,12 +89,22 @@ def walk_contexts(rec: np.ndarray, tok: np.ndarray, n_rec: int, seeds: np.ndarra
     return records, np.concatenate(seen, axis=1) if len(records) else np.zeros((0, WALKS * HOPS), np.int64)
 
 
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b in slabs so small that the linear algebra library stays on the task's own core."""
+    rows = max(1, 200_000 // max(1, b.size))
+    out = np.empty((len(a), b.shape[1]), np.float32)
+    whole = len(a) - len(a) % rows
+    np.matmul(a[:whole].reshape(-1, rows, a.shape[1]), b, out=out[:whole].reshape(-1, rows, b.shape[1]))
+    out[whole:] = a[whole:] @ b
+    return out
+
+
 def _toward(own: np.ndarray, other: np.ndarray, seen: np.ndarray, noise: np.ndarray) -> np.ndarray:
     """The gradient of the log odds of each row's seen rows of ``other`` against the rows of noise."""
     near = np.take(other, seen, axis=0)
     pull = 1 / (1 + np.exp(STEEP * np.matmul(near, own[:, :, None])[:, :, 0]))
-    push = 1 / (1 + np.exp(-STEEP * (own @ noise.T)))
-    return np.matmul(pull[:, None, :], near)[:, 0] / np.float32(seen.shape[1]) - push @ noise / np.float32(len(noise))
+    push = 1 / (1 + np.exp(-STEEP * _product(own, np.ascontiguousarray(noise.T))))
+    return np.matmul(pull[:, None, :], near)[:, 0] / np.float32(seen.shape[1]) - _product(push, noise) / np.float32(len(noise))
 
 
 def skip_gram(contexts: np.ndarray, tokens: np.ndarray, seeds: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
@@ -130,14 +140,14 @@ def bucket_keys(v: np.ndarray, seed: int = 3) -> np.ndarray:
     """(n, TABLES) bucket numbers: the signs of as many random projections as leave PER_BUCKET records in a bucket."""
     bits = int(np.clip(np.round(np.log2(max(1, len(v)) / PER_BUCKET)), 1, 24))
     planes = np.random.default_rng(seed).standard_normal((DIMENSIONS, TABLES * bits)).astype(np.float32)
-    return ((v @ planes > 0).reshape(len(v), TABLES, bits) * (1 << np.arange(bits))).sum(2)
+    return ((_product(v, planes) > 0).reshape(len(v), TABLES, bits) * (1 << np.arange(bits))).sum(2)
 
 
 #: Pairs of a table of buckets that are looked at together.
 SLICE = 2_000_000
 
 
-def _met(one: np.ndarray, two: np.ndarray, key: np.ndarray, at: np.ndarray, possible: Callable) -> Iterator[np.ndarray]:
+def _met(one: np.ndarray, two: np.ndarray, key: np.ndarray, at: np.ndarray, reach: float, possible: Callable) -> Iterator[np.ndarray]:
     """Pairs of rows (one, two) with equal keys that are possible, as one * len(at) + two, in slices of bounded size."""
     two = two[np.argsort(key[two], kind="stable")]
     sorted_keys = key[two]
@@ -150,6 +160,8 @@ def _met(one: np.ndarray, two: np.ndarray, key: np.ndarray, at: np.ndarray, poss
             continue
         i = np.repeat(one[a:z], k)
         j = two[np.repeat(low[a:z], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)]
+        ok = np.nonzero(np.abs(at[j] - at[i]) <= reach)[0]
+        i, j = i[ok], j[ok]
         ok = possible(at[i], at[j])
         yield i[ok] * len(at) + j[ok]
 
@@ -174,10 +186,10 @@ def part_vectors(b: pd.DataFrame, tokens: Callable, rounds: int = ROUNDS) -> np.
     return v
 
 
-def part_pairs(b: pd.DataFrame, tokens: Callable, possible: Callable, rerank: Callable, rounds: int = ROUNDS) -> pd.DataFrame:
+def part_pairs(b: pd.DataFrame, tokens: Callable, reach: float, possible: Callable, rerank: Callable, rounds: int = ROUNDS) -> pd.DataFrame:
     """(id1, id2, cosine, ...) of one part: pairs of sides 1 and 2 that meet in a bucket and pass ``rerank``.
 
-    possible(at, at) is a cheap necessary condition; rerank(one, two) takes the attributes of both and gives, for the
+    reach is the most that ``at`` may differ, possible(at, at) a cheap necessary condition beside it; rerank(one, two) takes the attributes of both and gives, for the
     pairs it keeps, their rows and further columns. met is the number of possible pairs that met.
     """
     v = part_vectors(b, tokens, rounds)
@@ -186,7 +198,7 @@ def part_pairs(b: pd.DataFrame, tokens: Callable, possible: Callable, rerank: Ca
     one, two = np.nonzero(live & (side == 1))[0], np.nonzero(live & (side == 2))[0]
     out = [np.zeros(0, int)]
     for table in range(TABLES):
-        out.extend(_met(one, two, keys[:, table], at, possible))
+        out.extend(_met(one, two, keys[:, table], at, reach, possible))
     i, j = np.divmod(np.unique(np.concatenate(out)), max(1, len(b)))
     kept, columns = rerank(b.iloc[i].reset_index(drop=True), b.iloc[j].reset_index(drop=True))
     i, j, ids = i[kept], j[kept], b["id"].to_numpy()
@@ -231,7 +243,7 @@ def dealt_into_parts(records: DataFrame, reach: float, period: int, width: int,
     return dealt.withColumn("part", part).drop("piece", "p1", "p2", "own", "other")
 
 
-def matched_pairs(parts: DataFrame, tokens: Callable, possible: Callable, rerank: Callable, columns: str, rounds: int = ROUNDS) -> DataFrame:
+def matched_pairs(parts: DataFrame, tokens: Callable, reach: float, possible: Callable, rerank: Callable, columns: str, rounds: int = ROUNDS) -> DataFrame:
     """(id1, id2, cosine, ``columns``) of the pairs of each part (see part_pairs). A pair of two parts comes out of each.
 
     Parts are dealt to tasks by one shuffle and sorted, so that a task done again walks alike; a task holds one part at
@@ -248,13 +260,13 @@ def matched_pairs(parts: DataFrame, tokens: Callable, possible: Callable, rerank
             for end in ends:
                 piece = b.iloc[start:end]
                 if held and len(piece) and held[-1]["part"].iloc[0] != piece["part"].iloc[0]:
-                    yield part_pairs(pd.concat(held, ignore_index=True), tokens, possible, rerank, rounds)
+                    yield part_pairs(pd.concat(held, ignore_index=True), tokens, reach, possible, rerank, rounds)
                     held = []
                 if len(piece):
                     held.append(piece)
                 start = end
         if held:
-            yield part_pairs(pd.concat(held, ignore_index=True), tokens, possible, rerank, rounds)
+            yield part_pairs(pd.concat(held, ignore_index=True), tokens, reach, possible, rerank, rounds)
 
     return parts.mapInPandas(run, f"id1 long, id2 long, cosine double, {columns}")
 

@@ -161,8 +161,9 @@ def met_pairs(spark: SparkSession, sf_dir: str, rerank=strong, columns: str = ""
     """Pairs that meet in a bucket and are kept by ``rerank``: id1, id2, cosine, evidence, source, early."""
     reports, refs = _sides(spark, sf_dir)
     both = checkpoint(reports.unionByName(refs).where("at IS NOT NULL"))
-    parts = dealt_into_parts(both, MOST_HOURS * HOUR + MOST_SECONDS, int(HOUR), SUB, 60 + MOST_SECONDS)
-    return matched_pairs(parts, tokens, clocks_can_agree, rerank, f"evidence double, source string, early boolean{columns}", rounds)
+    reach = MOST_HOURS * HOUR + MOST_SECONDS
+    parts = dealt_into_parts(both, reach, int(HOUR), SUB, 60 + MOST_SECONDS)
+    return matched_pairs(parts, tokens, reach, clocks_can_agree, rerank, f"evidence double, source string, early boolean{columns}", rounds)
 
 
 def _best(pairs: DataFrame) -> DataFrame:
