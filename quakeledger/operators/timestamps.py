@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 US = 1_000_000
 DAY_US = 86_400 * US
-LAST_YEAR = 2100
+#: Tables reach this year. Beyond it a zone follows the rule at the end of its file, which gives two years that begin on
+#: the same weekday and are of one length the same clock; CYCLE holds years of all kinds, in which only the rules hold.
+LAST_YEAR, CYCLE = 2140, range(2101, 2129)
 FAR = 2**62
 
 # --- zone transition tables -------------------------------------------------------------------------------------------
@@ -43,6 +45,8 @@ class Zone:
 
     def instants(self, local: np.ndarray, name: str | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(UTC, shown) of clock times: the earlier where shown twice; with a name, only periods of that abbreviation."""
+        shift = _to_cycle(local)
+        local = local - shift
         out, found = np.zeros(len(local), np.int64), np.zeros(len(local), bool)
         allowed = np.array([name is None or n == name for n in self.names])
         ends = np.append(self.starts[1:], FAR)
@@ -52,7 +56,26 @@ class Zone:
             t = local - self.offsets[i]
             hit = ~found & allowed[i] & (t >= self.starts[i]) & (t < ends[i])
             out[hit], found[hit] = t[hit], True
-        return out, found
+        return out + shift * found, found
+
+
+def _to_cycle(local: np.ndarray) -> np.ndarray:
+    """Microseconds by which clock times after CYCLE are moved back to its year of the same kind; 0 for all others."""
+    year = local.astype("datetime64[us]").astype("datetime64[Y]").astype(np.int64) + 1970
+    late = year >= CYCLE.stop
+    if not late.any():
+        return np.zeros(len(local), np.int64)
+
+    def start(y: np.ndarray) -> np.ndarray:
+        return (y - 1970).astype("datetime64[Y]").astype("datetime64[D]").astype(np.int64)
+
+    def kind(y: np.ndarray) -> np.ndarray:
+        return start(y) % 7 * 2 + (start(y + 1) - start(y) - 365)
+
+    same = np.zeros(14, np.int64)
+    years = np.array(CYCLE)
+    same[kind(years)] = years
+    return np.where(late, (start(year) - start(same[kind(year)])) * DAY_US, 0)
 
 
 def _zone_bytes(name: str) -> bytes | None:
@@ -83,6 +106,46 @@ def _transition_times(data: bytes) -> list[int]:
     return list(struct.unpack_from(f">{times}{'q' if width == 8 else 'l'}", data, at))
 
 
+_RULE = re.compile(r"(?:<[^>]+>|[A-Za-z]+)(?P<std>[-+0-9:]+)(?:<[^>]+>|[A-Za-z]+)(?P<dst>[-+0-9:]+)?,(?P<on>[^,/]+)(?:/(?P<on_at>[^,]+))?,(?P<off>[^,/]+)(?:/(?P<off_at>.+))?")
+
+
+def _clock_seconds(text: str) -> int:
+    """[+-]h[:mm[:ss]] in seconds."""
+    parts = [int(x) for x in text.lstrip("+-").split(":")]
+    return (-1 if text.startswith("-") else 1) * sum(x * u for x, u in zip(parts, (3600, 60, 1)))
+
+
+def rule_cuts(footer: str) -> list[int]:
+    """The seconds since 1970 at which a rule (std offset dst[offset],start[/time],end[/time]) changes a zone's clock, 1970 to LAST_YEAR.
+
+    Days are Mm.w.d (the w-th weekday d of month m, 5 the last), Jn (1 to 365, no 29 February) or n (0 to 365). A footer
+    without a rule gives none.
+    """
+    m = _RULE.fullmatch(footer)
+    if not m:
+        return []
+    std = _clock_seconds(m["std"])
+    dst = _clock_seconds(m["dst"]) if m["dst"] else std - 3600
+    years = np.arange(1970, LAST_YEAR + 1)
+
+    def days(rule: str) -> np.ndarray:
+        if rule[0] == "M":
+            month, week, weekday = (int(x) for x in rule[1:].split("."))
+            first = _month_starts(years, np.full(len(years), month))
+            day = first + (weekday - (first + 4)) % 7 + 7 * (week - 1)  # 1970-01-01 was a Thursday
+            return np.where(day >= _month_starts(years, np.full(len(years), month + 1)), day - 7, day)
+        first = _month_starts(years, np.ones(len(years), np.int64))
+        if rule[0] == "J":
+            n = int(rule[1:])
+            leap = _month_starts(years + 1, np.ones(len(years), np.int64)) - first == 366
+            return first + n - 1 + (leap & (n >= 60))
+        return first + int(rule)
+
+    on = days(m["on"]) * 86_400 + _clock_seconds(m["on_at"] or "2") + std
+    off = days(m["off"]) * 86_400 + _clock_seconds(m["off_at"] or "2") + dst
+    return sorted(on.tolist() + off.tolist())
+
+
 @lru_cache(maxsize=None)
 def build_zone(name: str) -> Zone | None:
     """A zone's periods up to LAST_YEAR; None for an unknown name."""
@@ -96,16 +159,8 @@ def build_zone(name: str) -> Zone | None:
     low, high = -int(1.9e9 * 32), int((datetime(LAST_YEAR + 1, 1, 1, tzinfo=timezone.utc) - epoch).total_seconds())
     low = int((datetime(1, 1, 3, tzinfo=timezone.utc) - epoch).total_seconds())
     cuts = [s for s in _transition_times(data) if low < s < high]
-    at = cuts[-1] if cuts else 0
-    while at < high:  # what the file gives as a rule only
-        to = min(at + 20 * 86_400, high)
-        if state(at) != state(to):
-            a, b = at, to
-            while b - a > 1:
-                mid = (a + b) // 2
-                a, b = (mid, b) if state(mid) == state(at) else (a, mid)
-            cuts.append(b)
-        at = to
+    footer = data.rstrip(b"\n").rpartition(b"\n")[2].decode("ascii", "replace")
+    cuts += [s for s in rule_cuts(footer) if (cuts[-1] if cuts else 0) < s < high]
     starts, offsets, names = [-FAR], [], []
     offset, label = state(low)
     offsets.append(offset // timedelta(microseconds=1))
@@ -160,6 +215,16 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(t, r"""\A(["'])\s*(.*?)\s*\1\z""", "$2")
 
 
+LONGEST = 200
+
+
+def folded(text: Column) -> Column:
+    """Fractions of more than 18 digits cut to 18, the last one saying whether anything is left; runs of blanks to two."""
+    t = F.regexp_replace(text, r"(?<f>[.,][0-9]{17})[0-9]*[1-9][0-9]*", "${f}1")
+    t = F.regexp_replace(t, r"([.,][0-9]{17})0{2,}(?![0-9])", "$10")
+    return F.regexp_replace(t, " {3,}", "  ")
+
+
 _DATES = (
     ("ymd", r"(?P<y>9999)-(?P<m>99)-(?P<d>99)", r"a| +|_|"),
     ("ymd", r"(?P<y>9999)/(?P<m>99?)/(?P<d>99?)", r"a| +|_"),
@@ -309,17 +374,19 @@ STATUS = {0: "instant", 1: "no instant in this shape", 2: "no such date or time"
 
 
 def normalise(
-    rows: DataFrame, keep: tuple[str, ...], text: str, zone: str, date_order: str, tables: dict[str, Zone] | None = None
+    rows: DataFrame, keep: tuple[str, ...], text: str, zone: str, date_order: str, tables: dict[str, Zone] | None = None, version: str | None = None
 ) -> DataFrame:
     """keep + (mask, origin_us, status): each text's instant in microseconds since 1970 UTC, or why there is none.
 
     A zone, offset or abbreviation in the text decides, else the row's zone; a clock time shown twice is the earlier
-    one; one that its zone never shows is refused (4). Null and blank texts, and very long ones, are shapes without an
+    one; one that its zone never shows is refused (4). Null and blank texts are shapes without an
     instant (1). A null or unknown zone refuses only the texts that need it (3); a null date order only dates in
     numbers with the year last (2). Digits finer than microseconds are cut off. One narrow pass, no shuffle.
     """
     if clash := {"mask", "origin_us", "status"} & set(keep):
         raise ValueError(f"columns {sorted(clash)} are named twice")
+    if version is not None and version != (at_hand := zone_version()):
+        raise ValueError(f"the zone database is of version {at_hand}, not {version}")
     spark = rows.sparkSession
     known = spark.sparkContext.broadcast(zone_tables() if tables is None else tables)
     layouts: dict[str, Layout | None] = {}
@@ -343,8 +410,9 @@ def normalise(
             out["status"] = status.astype(np.int32)
             yield out
 
-    clean = trimmed(F.col(text))
-    short = F.when(F.length(clean) <= 80, clean)  # no written instant is longer; what is has a null mask
+    # Once folded no instant is longer than its date, clock, 19 digits and the longest zone's name; what is has no mask.
+    clean = folded(trimmed(F.col(text)))
+    short = F.when(F.length(clean) <= LONGEST, clean)
     got = rows.select(*keep, short.alias("__text"), F.col(zone).alias("__zone"), F.col(date_order).alias("__order")).withColumn("mask", shape_mask(F.col("__text")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in got.select(*keep).schema) + ", mask string, origin_us long, status int"
     return got.mapInPandas(run, schema)

@@ -6,7 +6,7 @@ from zoneinfo import ZoneInfo
 import numpy as np
 import pytest
 
-from quakeledger.operators.timestamps import build_zone, layout_of, normalise, zone_tables
+from quakeledger.operators.timestamps import build_zone, layout_of, normalise, zone_tables, zone_version
 
 ZONES = ("UTC", "America/New_York", "Australia/Lord_Howe", "Asia/Kathmandu", "Europe/Athens", "Atlantic/Azores")
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
@@ -102,3 +102,42 @@ def test_masks():
     assert layout_of(re.sub("[0-9]", "9", "12:30:00")) is None
     assert layout_of("a" * 40) is None
     assert len(zone_tables()) > 300
+
+
+def test_many_digits_late_years_and_long_texts(spark):
+    rows = [
+        (1, "2020-01-01T00:00:00." + "0" * 70 + "Z", 1577836800000000), (2, "2020-01-01T00:00:00.123456" + "9" * 200 + "Z", 1577836800123456),
+        (3, "2150-07-01 12:00:00", 5695977600000000), (4, "2150-01-15 12:00:00", 5681559600000000 + 86400000000 * 0), (5, "2020-01-01" + " " * 300 + "05:00:00", 1577872800000000),
+        (6, "2020-01-01T24:00:00." + "0" * 30 + "1Z", None), (7, "x" * 100_000, None), (8, "2400-02-29 12:00:00", None),
+    ]
+    df = spark.createDataFrame([(i, t, "America/New_York", "mdy") for i, t, _ in rows], "id long, t string, z string, o string")
+    got = {r["id"]: (r["origin_us"], r["status"]) for r in normalise(df, ("id",), "t", "z", "o").collect()}
+    from datetime import datetime, timezone
+
+    expected = dict((i, us) for i, _, us in rows)
+    expected[4] = int(datetime(2150, 1, 15, 17, tzinfo=timezone.utc).timestamp()) * 10**6
+    expected[8] = int(datetime(2400, 2, 29, 17, tzinfo=timezone.utc).timestamp()) * 10**6
+    assert {i: us for i, (us, _) in got.items()} == expected
+    assert got[7][1] == 1 and got[6][1] == 2
+
+
+def test_late_years_follow_the_zone_everywhere():
+    from datetime import datetime, timedelta
+    from zoneinfo import ZoneInfo
+
+    for name in ("America/New_York", "Europe/Berlin", "Australia/Sydney", "Africa/Casablanca", "America/Santiago", "Asia/Tokyo", "Africa/Cairo"):
+        zone, local, want = build_zone(name), [], []
+        for y in (2099, 2128, 2129, 2150, 2199, 2200, 2300, 2400):
+            for day in range(0, 365, 5):
+                t = datetime(y, 1, 1, 12) + timedelta(days=day)
+                local.append(round((t - datetime(1970, 1, 1)).total_seconds()) * 10**6)
+                want.append(round((t.replace(tzinfo=ZoneInfo(name)).astimezone(ZoneInfo("UTC")).replace(tzinfo=None) - datetime(1970, 1, 1)).total_seconds()) * 10**6)
+        got, shown = zone.instants(np.array(local))
+        assert shown.all() and got.tolist() == want, name
+
+
+def test_only_the_named_version_of_the_zones_is_used(spark):
+    df = spark.createDataFrame([], "id long, t string, z string, o string")
+    assert normalise(df, ("id",), "t", "z", "o", version=zone_version()).collect() == []
+    with pytest.raises(ValueError, match="version"):
+        normalise(df, ("id",), "t", "z", "o", version="1900a")
