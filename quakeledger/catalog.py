@@ -21,18 +21,19 @@ SCHEMA = T.StructType(
 )
 
 
-def canonical(rows: DataFrame) -> DataFrame:
+def canonical(rows: DataFrame, repeated: bool = True) -> DataFrame:
     """rows in the canonical columns; NaN and infinities become NULL, absent optional columns are all NULL.
 
-    A record delivered again (same values, whatever its other columns say) counts once. A missing required column is an
-    error. t is the time in seconds since 1970.
+    A record delivered again (same record_id and values, whatever its other columns say) counts once, unless repeated is
+    False: then no record is delivered twice and nothing is looked for. A missing required column is an error.
     """
     if missing := [c for c in ("catalog_id", "record_id", *REQUIRED) if c not in rows.columns]:
         raise ValueError(f"required columns are missing: {missing}")
     out = [F.col("catalog_id").cast("string").alias("catalog_id"), F.col("record_id").cast("long").alias("record_id"), F.col("origin_time").cast("timestamp_ntz").alias("origin_time")]
     out += [(present(F.col(c).cast("double")) if c in rows.columns else F.lit(None).cast("double")).alias(c) for c in NUMBERS]
     out += [(F.col(c).cast("string") if c in rows.columns else F.lit(None).cast("string")).alias(c) for c in TEXTS]
-    return rows.select(*out).dropDuplicates()
+    got = rows.select(*out)
+    return got.dropDuplicates() if repeated else got
 
 
 def seconds(c: str = "origin_time"):

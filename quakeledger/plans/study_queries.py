@@ -225,6 +225,6 @@ SQL = {
     "enrich_by_identifier": _CAT + """, k AS (SELECT lower(trim(event_uid_source)) AS uid, max(depth_km) AS found FROM cat WHERE depth_km IS NOT NULL AND regexp_matches(lower(trim(event_uid_source)), '[1-9]') GROUP BY 1)
       SELECT catalog_id, record_id, found AS depth_km FROM cat JOIN k ON uid = lower(trim(event_uid_source)) WHERE depth_km IS NULL""",
     "top_unmeasured": _CAT + "SELECT catalog_id, record_id, magnitude, row_number() OVER (PARTITION BY catalog_id ORDER BY magnitude DESC, record_id) AS rn FROM cat WHERE magnitude >= 5 AND seismic_moment_n_m IS NULL QUALIFY rn <= 300",
-    "rows_chosen": _CAT + "SELECT catalog_id, count(*) AS n, CAST(greatest(1, round(count(*) * 0.45e0)) AS BIGINT) AS k FROM (SELECT DISTINCT catalog_id, record_id, magnitude FROM cat) GROUP BY catalog_id",
+    "rows_chosen": _CAT + "SELECT catalog_id, count(*) AS n, CAST(greatest(1, round_even(count(*) * 0.45e0, 0)) AS BIGINT) AS k FROM (SELECT DISTINCT catalog_id, record_id, magnitude FROM cat) GROUP BY catalog_id",
     "stream_daily_gates": _CAT + f"SELECT catalog_id, CAST(CAST(origin_time AS DATE) AS VARCHAR) AS day, count(*) AS n, count(*) FILTER ({_OOB[0]}) AS p1_k, count(*) FILTER ({_OOB[1]}) AS p2_k, count(*) FILTER ({_OOB[2]}) AS p3_k FROM cat GROUP BY ALL",
 }

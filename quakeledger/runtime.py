@@ -16,12 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: what the cluster set, else (local runs only) a temporary one."""
+    """The shared checkpoint folder: what the cluster set, else, in local runs only, a temporary one; elsewhere an error."""
     sc = spark.sparkContext
     set_already = sc._jsc.sc().getCheckpointDir()
     if set_already.isDefined():
         return set_already.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quakeledger-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

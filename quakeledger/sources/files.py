@@ -9,32 +9,47 @@ from pyspark.sql import functions as F
 
 from quakeledger.catalog import NUMBERS, REQUIRED, SCHEMA, TEXTS, canonical
 from quakeledger.functions.scalars import clean_text, number_or_null, parse_depth, parse_magnitude, parse_time
+from quakeledger.runtime import written
 
 
-def read_csv(spark: SparkSession, path, catalog_of: Column | None = None) -> DataFrame:
+def _quote_spans_lines(spark: SparkSession, path) -> bool:
+    """Whether a line of the files holds an odd number of quotes, as it does where a quoted field goes on in the next line."""
+    line = F.col("value")
+    return bool(spark.read.text(path).where((F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1).limit(1).count())
+
+
+def read_csv(spark: SparkSession, path, catalog_of: Column | None = None, multi_line: bool | None = None) -> DataFrame:
     """Canonical CSV files (a path, list or glob) as one catalog table; blank and unreadable values become null.
 
     catalog_id is the column of that name, else ``catalog_of``, else the file's name without its ending. record_id is
-    the column of that name, else a hash of the row. A missing required column or an empty input is an error.
+    the column of that name; without it every row is a record of its own, equal rows too, and gets a number that is its
+    own within the table read (write the table where the numbers must last). Rows with the same record_id and values
+    count once. A missing required column or an empty input is an error.
+
+    Files are read in parts, each by a task of its own, unless a quoted field spans lines: then a file is one task.
+    Whether one does is looked up in the text unless multi_line says so.
     """
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
+    multi_line = _quote_spans_lines(spark, path) if multi_line is None else multi_line
+    raw = spark.read.csv(path, header=True, multiLine=multi_line, escape='"', inferSchema=False)
     if missing := [c for c in REQUIRED if c not in raw.columns]:
         raise ValueError(f"required columns are missing: {missing}")
     if not raw.head(1):
         raise ValueError(f"{path} has no rows")
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[A-Za-z]+)*$", 1)
     cid = F.col("catalog_id") if "catalog_id" in raw.columns else (catalog_of if catalog_of is not None else name)
-    rid = F.col("record_id").try_cast("long") if "record_id" in raw.columns else F.xxhash64(*raw.columns)
+    numbered = "record_id" in raw.columns
+    rid = F.col("record_id").try_cast("long") if numbered else F.monotonically_increasing_id()
     out = [cid.alias("catalog_id"), rid.alias("record_id"), parse_time("origin_time").alias("origin_time")]
     out += [number_or_null(c).alias(c) for c in NUMBERS if c in raw.columns] + [F.nullif(F.trim(c), F.lit("")).alias(c) for c in TEXTS if c in raw.columns]
-    return canonical(raw.select(*out))
+    return canonical(raw.select(*out), repeated=numbered)
 
 
 def read_raw_csv(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
     """(rows as text with trimmed headers, faulty lines) of a messy CSV: lines that don't fit the header are set apart."""
     head = spark.read.csv(path, header=True, inferSchema=False, ignoreLeadingWhiteSpace=True)
     schema = ", ".join(f"`{c.strip()}` string" for c in head.columns) + ", `__faulty` string"
-    got = spark.read.csv(path, header=True, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord="__faulty", ignoreLeadingWhiteSpace=True, enforceSchema=True).cache()
+    got = spark.read.csv(path, header=True, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord="__faulty", ignoreLeadingWhiteSpace=True, enforceSchema=True)
+    got = written(got)  # the reader can't give the faulty lines alone
     return got.where("__faulty IS NULL").drop("__faulty"), got.where("__faulty IS NOT NULL").select("__faulty")
 
 
@@ -50,6 +65,7 @@ HEADERS = {
     "rupture_length_km": ("rupture_length_km", "rupture_length"), "rupture_area_km2": ("rupture_area_km2", "rupture_area"),
     "rupture_displacement_m": ("rupture_displacement_m", "displacement"), "azimuthal_gap_deg": ("azimuthal_gap_deg", "gap", "azimuthal_gap"),
 }
+# Header spellings of dates and of clock times that stand apart.
 DATE_HEADERS = ("date", "date_utc", "utc_date", "event_date", "eventdate", "origin_date", "occurrence_date", "quake_date")
 TIME_HEADERS = ("time", "time_utc", "utc_time", "origin_time_of_day", "occurrence_time", "quake_time", "hour")
 
@@ -82,7 +98,7 @@ def prepare(raw: DataFrame, catalog_id: str | Column, overrides: dict[str, str]
     """A raw text table in canonical columns: headers detected (overrides win), values parsed, rows with gaps kept.
 
     Depths in miles become km; magnitudes may carry their type ("5.6 Mw"), an explicit non-blank type wins. Required
-    columns that can't be found are an error that lists them. record_id is a hash of the row.
+    columns that can't be found are an error that lists them. Every row is a record of its own, numbered as in read_csv.
     """
     found, pair = detect_columns(raw.columns)
     found |= overrides or {}
@@ -99,7 +115,7 @@ def prepare(raw: DataFrame, catalog_id: str | Column, overrides: dict[str, str]
         if c not in out:
             out[c] = number_or_null(text(c)) if c in NUMBERS else F.nullif(text(c), F.lit(""))
     cid = F.lit(catalog_id) if isinstance(catalog_id, str) else catalog_id
-    return canonical(raw.select(cid.alias("catalog_id"), F.xxhash64(*(F.col(f"`{c}`") for c in raw.columns)).alias("record_id"), *(v.alias(k) for k, v in out.items())))
+    return canonical(raw.select(cid.alias("catalog_id"), F.monotonically_increasing_id().alias("record_id"), *(v.alias(k) for k, v in out.items())), repeated=False)
 
 
 def earthquakes_only(raw: DataFrame, column: str = "Type") -> DataFrame:

@@ -109,6 +109,8 @@ def test_event_service(spark, monkeypatch):
     assert reader.is_feasible()
     xml = "<q xmlns='http://x'><event publicID='a'><origin publicID='o'><time><value>2020-01-01T00:00:00Z</value></time><latitude><value>1</value></latitude><longitude><value>2</value></longitude></origin><magnitude publicID='m'><mag><value>5</value></mag><type>mb</type></magnitude><magnitude publicID='n'><mag><value>4.5</value></mag><type>Mww</type></magnitude></event><event publicID='b'/></q>"
     assert [(r[0], r[2], r[4], r[5], r[6]) for r in fdsn.parse_quakeml(xml)] == [("a", 1.0, None, 4.5, "Mww")] and fdsn.parse_quakeml("<") == []
+    assert fdsn.compact_box([179.0, -179.0, 178.0], 1.0) == (177.0, 182.0) and fdsn.compact_box([], 1) == (-180.0, 180.0)
+    assert fdsn.compact_box([-120.0, -115.0], 0.5) == (-120.5, -114.5)
     calls = []
     assert fdsn.fetch_with_retry("u", get=lambda u: calls.append(u) or 1 / 0, sleep=calls.append) is None and calls == ["u", 2.0, "u", 4.0, "u"]
 
@@ -123,3 +125,72 @@ def test_command_line(spark, tmp_path, capsys):
     said = capsys.readouterr().out
     assert "1 lines" in said and "mine: " in said
     assert json.loads(spark.read.text(str(tmp_path / "out/verdicts")).first()["value"])["n"] == 200
+
+
+def _hourly(limit, fail=lambda start, end: False, total=False):
+    """A stand-in for a service with an event an hour on one day, that gives at most ``limit`` events."""
+    import json
+    import urllib.parse
+    from datetime import datetime
+
+    def get(url):
+        q = dict(urllib.parse.parse_qsl(url.partition("?")[2]))
+        a, b = (datetime.fromisoformat(q[k]) for k in ("starttime", "endtime"))
+        if fail(a, b):
+            raise OSError("no answer")
+        hours = [h for h in range(24) if a <= datetime(2020, 1, 1, h, 30) < b]
+        if "/count" in url:
+            return str(len(hours))
+        f = [{"id": f"h{h}", "properties": {"time": f"2020-01-01T{h:02d}:30:00Z", "lat": 1.0, "lon": 2.0, "mag": 4.0}} for h in hours]
+        return json.dumps({"metadata": {"totalCount": min(len(hours), limit)}, "features": f[: int(q.get("limit", limit))]})
+
+    return get
+
+
+def _read(monkeypatch, get, **options):
+    import sys
+    import types
+
+    module = types.ModuleType("hourly_service")
+    module.get = get
+    monkeypatch.setitem(sys.modules, "hourly_service", module)
+    reader = fdsn.EventReader({"url": "http://x", "start": "2020-01-01", "end": "2020-01-02", "max_rows": "5", "fetch": "hourly_service:get", "pause": "0"} | options)
+    return reader, lambda: sorted(r[0] for w in reader.partitions() for r in reader.read(w))
+
+
+@pytest.mark.parametrize("counts", ["endpoint", "total", "none"])
+def test_services_give_all_events_whatever_they_count(monkeypatch, counts):
+    reader, rows = _read(monkeypatch, _hourly(5), counts=counts)
+    assert reader.is_feasible() and rows() == sorted(f"h{h}" for h in range(24))
+
+
+def test_a_window_that_fails_is_halved_and_then_an_error(monkeypatch):
+    from datetime import timedelta
+
+    _, rows = _read(monkeypatch, _hourly(50, lambda a, b: b - a > timedelta(hours=3)), counts="none")
+    assert rows() == sorted(f"h{h}" for h in range(24))
+    for counts in ("endpoint", "total", "none"):
+        reader, rows = _read(monkeypatch, _hourly(5, lambda a, b: True), counts=counts)
+        assert not reader.is_feasible()
+        with pytest.raises(fdsn.Incomplete):
+            rows()
+
+
+def test_equal_rows_of_a_file_without_ids_stay(spark, tmp_path):
+    from quakeledger.catalog import seconds
+    from quakeledger.operators import subtests as st
+
+    line = "2020-01-{:02d}T00:00:00,{},{},10,4.5"
+    lines = [line.format(1 + i % 28, i % 50, i % 90) for i in range(60)] + [line.format(1, 0, 0)] * 30
+    (tmp_path / "dup.csv").write_text("origin_time,latitude,longitude,depth_km,magnitude\n" + "\n".join(lines))
+    cat = files.read_csv(spark, str(tmp_path / "dup.csv")).withColumn("t", seconds())
+    assert cat.count() == 90 and cat.select("record_id").distinct().count() == 90
+    a5, p7 = st.a5_duplicates(cat).first(), st.p7_timestamps(cat).first()
+    assert a5["n_flagged"] == 31 and abs(a5["score"] - (1 - 31 / 90)) < 1e-9
+    assert abs(p7["score"] - 28 / 90) < 1e-9
+
+
+def test_a_field_that_spans_lines_is_read_whole(spark, tmp_path):
+    (tmp_path / "m.csv").write_text('origin_time,latitude,longitude,depth_km,magnitude,source\n2020-01-01,1,2,3,4,"a\nb"\n2020-01-02,1,2,3,4,c\n')
+    got = sorted(r["source"] for r in files.read_csv(spark, str(tmp_path / "m.csv")).collect())
+    assert got == ["a\nb", "c"]
