@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -13,6 +14,10 @@ from quakeledger.operators.interval import long_form
 from quakeledger.runtime import checkpoint, written
 
 
+#: Jobs submitted at a time by one audit.
+SIDE_BY_SIDE = 5
+
+
 @dataclass(frozen=True)
 class Audit:
     """What an audit compares with: reference events (source_id, t, latitude, longitude, magnitude), fault points, settings."""
@@ -22,20 +27,29 @@ class Audit:
     reference_dimension: float | None = None
     thresholds: Thresholds = Thresholds()
 
-    def subtest_rows(self, cat: DataFrame, intrinsic: DataFrame | None = None) -> DataFrame:
+    def subtest_rows(self, cat: DataFrame, intrinsic: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
         """Long rows (catalog_id, test, score, applicable, n_used) of all sub-tests; A1-A5 on ``intrinsic``."""
         own = cat if intrinsic is None else intrinsic
-        stats = checkpoint(st.row_stats(cat))
-        b = checkpoint(st.b_values(cat))
-        tests = {
-            "A1": st.a1_benford(own), "A2": st.a2_gutenberg_richter(b if intrinsic is None else st.b_values(own)), "A3": st.a3_omori(own),
-            "A4": st.a4_fractal(own, self.reference_dimension), "A5": st.a5_duplicates(own),
-            "P4": st.p4_tsunami(stats), "P5": st.share_kept(stats, "p5"), "P6": st.share_kept(stats, "p6"), "P7": st.p7_timestamps(cat), "P9": st.share_kept(stats, "p9"),
-            "C1": st.c1_missingness(stats), "C2": st.c2_mc_adequacy(cat), "C3": st.c3_coverage(cat), "C4": st.c4_strata(cat),
-            "I1": st.i1_drift(cat), "I2": st.i2_clipping(cat, b), "I3": st.i3_revision(stats), "I4": st.i4_dedup(cat), "I5": st.i5_ks(cat),
-        }
-        if self.faults is not None:
-            tests["P8"] = st.p8_proximity(cat, self.faults)
+        stats = checkpoint(st.row_stats(cat)) if stats is None else stats
+        # What several tests share is made first; tests that materialise parts of their own then do so side by side.
+        with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+            a3, a5, i4, p8, shared = (
+                pool.submit(f) for f in (
+                    lambda: st.a3_omori(own), lambda: st.a5_duplicates(own), lambda: st.i4_dedup(cat),
+                    lambda: None if self.faults is None else st.p8_proximity(cat, self.faults),
+                    lambda: (checkpoint(st.b_values(cat)), st.magnitude_ranks(cat)),
+                )
+            )
+            b, ranks = shared.result()
+            tests = {
+                "A1": st.a1_benford(own), "A2": st.a2_gutenberg_richter(b if intrinsic is None else st.b_values(own)), "A3": a3.result(),
+                "A4": st.a4_fractal(own, self.reference_dimension), "A5": a5.result(),
+                "P4": st.p4_tsunami(stats), "P5": st.share_kept(stats, "p5"), "P6": st.share_kept(stats, "p6"), "P7": st.p7_timestamps(cat), "P9": st.share_kept(stats, "p9"),
+                "C1": st.c1_missingness(stats), "C2": st.c2_mc_adequacy(cat), "C3": st.c3_coverage(cat), "C4": st.c4_strata(cat),
+                "I1": st.i1_drift(cat, ranks), "I2": st.i2_clipping(cat, b), "I3": st.i3_revision(stats), "I4": i4.result(), "I5": st.i5_ks(cat, ranks),
+            }
+            if self.faults is not None:
+                tests["P8"] = p8.result()
         out = None
         for name, df in tests.items():
             rows = long_form(df, name, F.col("score"), F.col("applicable"), F.col("n_used"))
@@ -56,5 +70,5 @@ class Audit:
             votes = checkpoint(st.source_votes(cat, self.references))
             a6 = checkpoint(st.a6_external(votes))
             intrinsic = written(cat.join(st.effective_records(votes, a6), ["catalog_id", "record_id"], "left_anti"))
-        stats = st.row_stats(cat)
-        return audit_verdicts(self.subtest_rows(cat, intrinsic), stats.select("catalog_id", "n"), st.gates(stats), a6, self.thresholds)
+        stats = checkpoint(st.row_stats(cat))
+        return audit_verdicts(self.subtest_rows(cat, intrinsic, stats), stats.select("catalog_id", "n"), st.gates(stats), a6, self.thresholds)

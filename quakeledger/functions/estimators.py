@@ -55,9 +55,8 @@ def correlation_dimension(xy: np.ndarray) -> float:
     """Slope of the log correlation sum over the middle of 20 radii between the 1st and 30th percentile of distances."""
     if len(xy) < 20:
         return math.nan
-    i, j = np.triu_indices(len(xy), 1)
-    d = np.sqrt(((xy[i] - xy[j]) ** 2).sum(1))
-    d = np.sort(d[d > 0])
+    d = np.sort(np.concatenate([np.hypot(*(xy[i + 1 :] - xy[i]).T) for i in range(len(xy) - 1)]))
+    d = d[d > 0]
     if len(d) < 10:
         return math.nan
     low, high = np.percentile(d, [1, 30])
@@ -80,7 +79,7 @@ def mann_kendall_z(v: np.ndarray) -> tuple[float, float]:
     n = len(v)
     if n < 4:
         return math.nan, math.nan
-    s = float(sum(np.sign(v[i + 1 :] - v[i]).sum() for i in range(n - 1)))
+    s = float(sum(int((v[i + 1 :] > v[i]).sum()) - int((v[i + 1 :] < v[i]).sum()) for i in range(n - 1)))
     ties = np.unique(v, return_counts=True)[1].astype(float)
     var = (n * (n - 1) * (2 * n + 5) - (ties * (ties - 1) * (2 * ties + 5)).sum()) / 18
     return s, 0.0 if var <= 0 or s == 0 else (s - math.copysign(1, s)) / math.sqrt(var)
@@ -88,10 +87,13 @@ def mann_kendall_z(v: np.ndarray) -> tuple[float, float]:
 
 def sen_slope(x: np.ndarray, y: np.ndarray) -> float:
     """Median slope of all pairs with different x."""
-    i, j = np.triu_indices(len(x), 1)
-    dx = x[j] - x[i]
-    ok = dx != 0
-    return float(np.median((y[j] - y[i])[ok] / dx[ok])) if ok.any() else math.nan
+    slopes = []
+    for i in range(len(x) - 1):
+        dx = x[i + 1 :] - x[i]
+        ok = dx != 0
+        slopes.append((y[i + 1 :] - y[i])[ok] / dx[ok])
+    slopes = np.concatenate(slopes) if slopes else np.zeros(0)
+    return float(np.median(slopes)) if len(slopes) else math.nan
 
 
 def max_curvature_mc(values: np.ndarray, counts: np.ndarray, width: float = 0.1) -> float:

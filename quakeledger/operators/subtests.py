@@ -19,8 +19,8 @@ from pyspark.sql import Window
 from quakeledger.functions.estimators import correlation_dimension, fit_binned, fit_omori, linkage_fits, little_tests, mann_kendall_z, mc_bootstrap_se, omori_edges, sen_slope
 from quakeledger.functions.scalars import AUDIT_RADIUS_KM, aftershock_radius_km, comparison_level, haversine_km, leading_digit
 from quakeledger.functions.tails import binomial_lower, binomial_upper
-from quakeledger.operators.interval import hash_sample, interval_join, nearest_km, positive_gaps, ranked
-from quakeledger.runtime import checkpoint, fetch_bounded
+from quakeledger.operators.interval import exact_median, hash_sample, interval_join, nearest_km, positive_gaps, ranked
+from quakeledger.runtime import checkpoint, fetch_bounded, spread
 
 # Fixed values of the audit.
 DEPTH_KM, MAGNITUDE = (-5.0, 750.0), (-2.5, 9.5)
@@ -187,7 +187,7 @@ def mc_errors(mags: DataFrame) -> DataFrame:
             sigma = [mc_bootstrap_se(np.asarray(v, float), np.asarray(c, float)) for v, c in zip(b["v"], b["c"])]
             yield pd.DataFrame({"catalog_id": b["catalog_id"], "n": b["n"], "sigma": pd.Series(sigma, index=b.index, dtype=float)})
 
-    got = lists.select("catalog_id", "n", F.col("x.v").alias("v"), F.col("x.c").alias("c")).mapInPandas(run, "catalog_id string, n long, sigma double")
+    got = spread(lists.select("catalog_id", "n", F.col("x.v").alias("v"), F.col("x.c").alias("c")), "catalog_id").mapInPandas(run, "catalog_id string, n long, sigma double")
     return got.withColumn("sigma", F.nanvl("sigma", F.lit(None)))
 
 
@@ -224,10 +224,15 @@ def c4_strata(cat: DataFrame, least: int = 30) -> DataFrame:
     return cells.groupBy("catalog_id", "n").agg(F.count("*").alias("n_strata"), F.count_if(F.col("c") >= least).alias("n_sufficient")).select("catalog_id", (F.col("n_sufficient") / F.col("n_strata")).alias("score"), F.lit(True).alias("applicable"), F.col("n").alias("n_used"), "n_strata", "n_sufficient")
 
 
-def i5_ks(cat: DataFrame) -> DataFrame:
-    """One minus the two-sample statistic between the earlier and the later half of the magnitudes (the odd one is late)."""
+def magnitude_ranks(cat: DataFrame) -> DataFrame:
+    """The magnitudes of each catalog with their ranks in order of time (rn, n), which I1 and I5 share."""
     rows = cat.where("magnitude IS NOT NULL AND t IS NOT NULL").select("catalog_id", "record_id", "t", "magnitude")
-    halves = ranked(rows, "catalog_id", ["t", "record_id"]).withColumn("early", F.col("rn") <= F.floor(F.col("n") / 2))
+    return ranked(rows, "catalog_id", ["t", "record_id"])
+
+
+def i5_ks(cat: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
+    """One minus the two-sample statistic between the earlier and the later half of the magnitudes (the odd one is late)."""
+    halves = (magnitude_ranks(cat) if ranks is None else ranks).withColumn("early", F.col("rn") <= F.floor(F.col("n") / 2))
     by_value = halves.groupBy("catalog_id", "n", "magnitude").agg(F.count_if("early").alias("a"), F.count_if(~F.col("early")).alias("b"))
     run = Window.partitionBy("catalog_id").orderBy("magnitude")
     gap = F.abs(F.sum("a").over(run) / F.floor(F.col("n") / 2) - F.sum("b").over(run) / (F.col("n") - F.floor(F.col("n") / 2)))
@@ -235,22 +240,23 @@ def i5_ks(cat: DataFrame) -> DataFrame:
     return got.select("catalog_id", (1.0 - F.col("d")).alias("score"), F.lit(True).alias("applicable"), F.col("n").alias("n_used"))
 
 
-def i1_drift(cat: DataFrame) -> DataFrame:
+def i1_drift(cat: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
     """Trend of the magnitudes in order of time, on at most 2 000 evenly spaced ranks of each catalog."""
-    rows = cat.where("magnitude IS NOT NULL AND t IS NOT NULL").select("catalog_id", "record_id", "t", "magnitude")
-    got = ranked(rows, "catalog_id", ["t", "record_id"]).where("n >= 30")
+    got = (magnitude_ranks(cat) if ranks is None else ranks).where("n >= 30")
     # Rank r (from 0) is taken if it is the floor of i (n - 1) / (k - 1) for some i, which the smallest such i decides.
     k, r, n = TREND_POINTS, F.col("rn") - 1, F.col("n")
     i = F.ceil(r * (k - 1) / (n - 1))
     taken = (n <= k) | (F.floor(i * (n - 1) / (k - 1)) == r)
 
-    def run(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(["t", "record_id"])
-        m, t = x["magnitude"].to_numpy(), x["t"].to_numpy() / 86_400.0
-        s, z = mann_kendall_z(m)
-        return pd.DataFrame({"catalog_id": [key[0]], "n": [int(x["n"].iloc[0])], "s": [s], "z": [z], "slope": [sen_slope(t, m) * 3_652.5]})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            trends = [mann_kendall_z(np.asarray(m)) for m in b["m"]]
+            slopes = [sen_slope(np.asarray(t) / 86_400.0, np.asarray(m)) * 3_652.5 for t, m in zip(b["t"], b["m"])]
+            yield b[["catalog_id", "n"]].assign(s=[s for s, _ in trends], z=[z for _, z in trends], slope=slopes)
 
-    fit = got.where(taken).groupBy("catalog_id").applyInPandas(run, "catalog_id string, n long, s double, z double, slope double").withColumn("slope", F.nanvl("slope", F.lit(None)))
+    series = got.where(taken).groupBy("catalog_id", "n").agg(F.array_sort(F.collect_list(F.struct("rn", "t", "magnitude"))).alias("x"))
+    series = series.select("catalog_id", "n", F.col("x.t").alias("t"), F.col("x.magnitude").alias("m"))
+    fit = spread(series, "catalog_id").mapInPandas(run, "catalog_id string, n long, s double, z double, slope double").withColumn("slope", F.nanvl("slope", F.lit(None)))
     score = F.when(F.abs("z") > 1.96, clip01(1.0 - F.abs("slope") / DRIFT_TOLERANCE)).otherwise(1.0)
     return fit.select("catalog_id", F.when(F.col("slope").isNotNull(), score).alias("score"), F.col("slope").isNotNull().alias("applicable"), F.col("n").alias("n_used"), "s", "z", "slope")
 
@@ -285,7 +291,7 @@ def c1_little(cat: DataFrame) -> DataFrame:
             r = little_tests(n, s, q)
             yield pd.DataFrame({"catalog_id": b["catalog_id"].to_numpy(), **{k: r[k] for k in ("d2", "df", "p_value", "n_patterns", "mcar")}})
 
-    return lists.mapInPandas(run, "catalog_id string, d2 double, df long, p_value double, n_patterns long, mcar boolean")
+    return spread(lists, "catalog_id").mapInPandas(run, "catalog_id string, d2 double, df long, p_value double, n_patterns long, mcar boolean")
 
 
 # --- pairs ------------------------------------------------------------------------------------------------------------
@@ -318,14 +324,19 @@ def aftershock_pairs(cat: DataFrame, least: float = 5.5, days: float = 30.0) ->
     cols = ["catalog_id", "record_id", "t", "latitude", "longitude", "magnitude"]
     rows = cat.where(" AND ".join(f"{c} IS NOT NULL" for c in cols)).select(*cols)
     mains = rows.where(F.col("magnitude") >= least).select("catalog_id", *(F.col(c).alias(f"{c}_1") for c in cols[1:]))
-    # At magnitude 9.5 the radius is 145 km; bands of latitude for a wrong, larger magnitude are the exact check's matter.
+    # At the largest valid magnitude the radius is 145 km, so pairs also share a band of latitude. The few mainshocks of a
+    # wrong, larger magnitude reach farther and are joined by time alone.
     span = days * 86_400.0
-    pairs = interval_join(rows, mains, ["catalog_id"], "t", span, "t_1", "record_id")
+    valid = F.col("magnitude_1") <= MAGNITUDE[1]
+    pairs = interval_join(rows, mains.where(valid), ["catalog_id"], "t", span, "t_1", "record_id", ("latitude", "latitude_1"), AFTERSHOCK_KM)
+    pairs = pairs.unionByName(interval_join(rows, mains.where(~valid), ["catalog_id"], "t", span, "t_1", "record_id"))
     dt = F.col("t") - F.col("t_1")
     inside = (dt > 0) & (dt <= span) & (F.col("magnitude") < F.col("magnitude_1")) & (haversine_km("latitude", "longitude", "latitude_1", "longitude_1") <= aftershock_radius_km("magnitude_1"))
     return pairs.where(inside).select("catalog_id", F.col("record_id_1").alias("main_id"), (dt / 86_400.0).alias("dt"))
 
 
+#: More than the radius at the largest valid magnitude.
+AFTERSHOCK_KM = 146.0
 #: Aftershocks of a cluster that a task fits from the rows; larger ones are first reduced by aggregation, with the same result.
 CLUSTER_EVENTS = 20_000
 #: Equal slices of a large cluster's bin, in each of which times are ranked.
@@ -382,11 +393,13 @@ def a3_omori(cat: DataFrame) -> DataFrame:
     kept = checkpoint(hash_sample(sizes, "catalog_id", ["main_id"], MOST_CLUSTERS))
     members = pairs.join(kept.where(F.col("size") <= CLUSTER_EVENTS), ["catalog_id", "main_id"])
 
-    def run(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        f = fit_omori(x["dt"].to_numpy())
-        return pd.DataFrame([{"catalog_id": key[0], "main_id": key[1], "p": f["p"], "degenerate": f["degenerate"]}])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            fits = [fit_omori(np.asarray(x)) for x in b["dt"]]
+            yield b[["catalog_id", "main_id"]].assign(p=[f["p"] for f in fits], degenerate=[f["degenerate"] for f in fits])
 
-    fits = members.groupBy("catalog_id", "main_id").applyInPandas(run, "catalog_id string, main_id long, p double, degenerate boolean")
+    lists = members.groupBy("catalog_id", "main_id").agg(F.collect_list("dt").alias("dt"))  # at most CLUSTER_EVENTS each
+    fits = spread(lists, "catalog_id", "main_id").mapInPandas(run, "catalog_id string, main_id long, p double, degenerate boolean")
     large = kept.where(F.col("size") > CLUSTER_EVENTS)
     if large.limit(1).count():
         fits = fits.unionByName(large_fits(pairs, large))
@@ -396,28 +409,48 @@ def a3_omori(cat: DataFrame) -> DataFrame:
     return cat.select("catalog_id").distinct().join(got, "catalog_id", "left").select("catalog_id", score.alias("score"), F.col("n_fits").isNotNull().alias("applicable"), F.col("n_found").alias("n_used"), "n_valid")
 
 
-def projected_km(cat: DataFrame) -> DataFrame:
+def projection_centres(cat: DataFrame) -> DataFrame:
+    """(catalog_id, n, pivot, lat0, lon0): each catalog's places, the circular mean of their longitudes and their exact medians,
+
+    longitudes unwrapped around the pivot.
+    """
+    rows = cat.where("latitude IS NOT NULL AND longitude IS NOT NULL").select("catalog_id", "latitude", "longitude")
+    mean = lambda f: F.avg(f(F.radians("longitude")))
+    pivot = checkpoint(rows.groupBy("catalog_id").agg(F.count("*").alias("n"), F.degrees(F.atan2(mean(F.sin), mean(F.cos))).alias("pivot")))
+    both = F.array(F.struct(F.lit("lat0").alias("axis"), F.col("latitude").alias("x")), F.struct(F.lit("lon0").alias("axis"), unwrapped("longitude", "pivot").alias("x")))
+    long = rows.join(pivot, "catalog_id").select("catalog_id", F.explode(both).alias("a")).select("catalog_id", "a.*")
+    medians = exact_median(long, ["catalog_id", "axis"], "x").groupBy("catalog_id").pivot("axis", ["lat0", "lon0"]).agg(F.first("median"))
+    return pivot.join(medians, "catalog_id")
+
+
+def unwrapped(lon: str, around: str) -> Column:
+    """A longitude within 180 degrees of another one."""
+    return F.pmod(F.col(lon) - F.col(around) + 180.0, F.lit(360.0)) - 180.0 + F.col(around)
+
+
+def projected_km(cat: DataFrame, centres: DataFrame | None = None) -> DataFrame:
     """(catalog_id, record_id, x_km, y_km): places on a local plane around the median place, longitudes unwrapped."""
-    rows = cat.where("latitude IS NOT NULL AND longitude IS NOT NULL").select("catalog_id", "record_id", "latitude", "longitude")
-    pivot = rows.groupBy("catalog_id").agg(F.percentile_approx("latitude", 0.5, 1_000_000).alias("lat0"), F.degrees(F.atan2(F.avg(F.sin(F.radians("longitude"))), F.avg(F.cos(F.radians("longitude"))))).alias("pivot"))
-    wrap = lambda c, at: F.pmod(c - at + 180.0, F.lit(360.0)) - 180.0 + at
-    rows = rows.join(pivot, "catalog_id").withColumn("u", wrap(F.col("longitude"), F.col("pivot")))
-    middle = rows.groupBy("catalog_id").agg(F.percentile_approx("u", 0.5, 1_000_000).alias("lon0"))
-    rows = rows.join(middle, "catalog_id")
-    x = AUDIT_RADIUS_KM * F.radians(wrap(F.col("longitude"), F.col("lon0")) - F.col("lon0")) * F.cos(F.radians("lat0"))
+    centres = projection_centres(cat) if centres is None else centres
+    rows = cat.where("latitude IS NOT NULL AND longitude IS NOT NULL").select("catalog_id", "record_id", "latitude", "longitude").join(centres, "catalog_id")
+    x = AUDIT_RADIUS_KM * F.radians(unwrapped("longitude", "lon0") - F.col("lon0")) * F.cos(F.radians("lat0"))
     return rows.select("catalog_id", "record_id", x.alias("x_km"), (AUDIT_RADIUS_KM * F.radians(F.col("latitude") - F.col("lat0"))).alias("y_km"))
 
 
 def a4_fractal(cat: DataFrame, reference: float | None = None) -> DataFrame:
     """Correlation dimension of at most 1 500 places of each catalog, chosen by hash; 1 is full credit, 2 none."""
-    places = projected_km(cat)
-    counts = places.groupBy("catalog_id").agg(F.count("*").alias("n")).where("n >= 50")
-
-    def run(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("record_id")
-        return pd.DataFrame({"catalog_id": [key[0]], "dimension": [correlation_dimension(x[["x_km", "y_km"]].to_numpy())]})
+    centres = checkpoint(projection_centres(cat).where("n >= 50"))
+    counts = centres.select("catalog_id", "n")
 
-    fit = hash_sample(places.join(counts, "catalog_id").drop("n"), "catalog_id", ["record_id"], DIMENSION_POINTS).groupBy("catalog_id").applyInPandas(run, "catalog_id string, dimension double").withColumn("dimension", F.nanvl("dimension", F.lit(None)))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            fits = [correlation_dimension(np.column_stack([np.asarray(x), np.asarray(y)])) for x, y in zip(b["x"], b["y"])]
+            yield b[["catalog_id"]].assign(dimension=pd.Series(fits, index=b.index, dtype=float))
+
+    located = cat.where("latitude IS NOT NULL AND longitude IS NOT NULL").select("catalog_id", "record_id", "latitude", "longitude")
+    drawn = projected_km(hash_sample(located.join(counts.select("catalog_id"), "catalog_id"), "catalog_id", ["record_id"], DIMENSION_POINTS), centres)
+    lists = drawn.groupBy("catalog_id").agg(F.array_sort(F.collect_list(F.struct("record_id", "x_km", "y_km"))).alias("p"))
+    lists = lists.select("catalog_id", F.col("p.x_km").alias("x"), F.col("p.y_km").alias("y"))
+    fit = spread(lists, "catalog_id").mapInPandas(run, "catalog_id string, dimension double").withColumn("dimension", F.nanvl("dimension", F.lit(None)))
     score = clip01(2.0 - F.col("dimension")) if reference is None else clip01(1.0 - F.abs(F.col("dimension") - reference) / 0.5)
     got = fit.join(counts, "catalog_id")
     return got.select("catalog_id", score.alias("score"), F.col("dimension").isNotNull().alias("applicable"), F.col("n").alias("n_used"), "dimension")
@@ -462,7 +495,7 @@ def i4_dedup(cat: DataFrame) -> DataFrame:
                 w[row, np.concatenate(list(x["k"])).astype(int)] = np.concatenate([np.asarray(c, float) for c in x["c"]])
             yield pd.DataFrame({"catalog_id": x["catalog_id"].to_numpy(), "post": list(linkage_fits(w)[0])})
 
-    post = lists.mapInPandas(run, "catalog_id string, post array<double>")
+    post = spread(lists, "catalog_id").mapInPandas(run, "catalog_id string, post array<double>")
     pairs = pairs.join(post, "catalog_id").withColumn("p", F.get("post", triple)).drop("post")
     # One minus the product of (1 - p) over all counterparts, as a sum of logarithms.
     odds = F.sum(F.col("other") * F.log(F.greatest(F.lit(1e-300), 1.0 - F.col("p"))))

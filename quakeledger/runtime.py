@@ -34,6 +34,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """df dealt to all cores by its columns. For rows that are few and small but dear to work on: left to itself Spark
+
+    would put them into one task.
+    """
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    return df.repartition(n, *columns)
+
+
 _written: list[tuple] = []
 
 
