@@ -16,6 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quakeledger.operators.skew import split_join
+from quakeledger.runtime import checkpoint, written
+
 TABLE_SIZE = 0xE0200
 #: Bytes of text worked on at once (about 60 times as many are used for it); a longer text is worked on whole.
 PIECE_BYTES = 1_000_000
@@ -206,22 +209,22 @@ def with_one_form(docs: DataFrame, text: str, out: str, keep: tuple[str, ...]) -
     return got.mapInArrow(run, schema)
 
 
-def lookalike_pairs(docs: DataFrame, key: str, text: str, part_rows: int = 2_000) -> DataFrame:
+def lookalike_pairs(docs: DataFrame, key: str, text: str, part_rows: int = 4_000) -> DataFrame:
     """(doc_id_a < doc_id_b) of non-empty texts that differ in their characters but have one form, each pair once.
 
-    Texts are represented by 128-bit digests, so no text is shuffled. Only forms with at least two spellings take part,
-    found by a pre-aggregated minimum and maximum. Forms with more than ``part_rows`` texts are cut into parts, the
-    left side dealt among them and the right side repeated, so that a form with a third of all texts spreads over many
-    tasks. Identical texts are no pair; null and empty texts take no part; an empty table gives an empty result.
+    Texts are represented by 128-bit digests, which are written once; no text is shuffled. Spellings are paired first:
+    only forms with at least two take part, and texts of one spelling, however many, are never compared. Then each
+    spelling's texts join its pairs. All joins split what has more than ``part_rows`` rows, so that a spelling with a
+    third of all texts spreads over many tasks. Identical texts are no pair; null and empty texts take no part; an empty table gives an empty result.
     """
     form = with_one_form(docs.where((F.col(text) != "") & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text")), "text", "form", ("id",))
-    rows = form.select("id", F.unhex(F.md5("form")).alias("form"), F.unhex(F.md5("text")).alias("raw")).dropDuplicates()
-    several = (
-        rows.groupBy("form").agg(F.min("raw").alias("low"), F.max("raw").alias("high"), F.count("*").alias("n")).where("low < high")
-        .select("form", F.ceil(F.col("n") / part_rows).cast("int").alias("parts"))
-    )
-    rows = rows.join(several, "form")
-    left = rows.select("form", "raw", "id", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
-    right = rows.select("form", F.col("raw").alias("raw_b"), F.col("id").alias("id_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    near = left.join(right, ["form", "part"]).where((F.col("id") < F.col("id_b")) & (F.col("raw") != F.col("raw_b")))
-    return near.select(F.col("id").alias("doc_id_a"), F.col("id_b").alias("doc_id_b")).dropDuplicates()
+    rows = written(form.select("id", F.unhex(F.md5("form")).alias("form"), F.unhex(F.md5("text")).alias("raw")))
+    several = rows.groupBy("form").agg(F.min("raw").alias("low"), F.max("raw").alias("high")).where("low < high").select("form")
+    members = checkpoint(rows.join(several, "form").dropDuplicates())
+    spellings = members.select("form", "raw").distinct()
+    other = spellings.select("form", F.col("raw").alias("raw_b"))
+    pairs = checkpoint(split_join(spellings, other, ["form"], "raw", part_rows).where("raw < raw_b").select("raw", "raw_b"))
+    left = split_join(members.select("raw", "id"), pairs, ["raw"], "id", part_rows).select("id", "raw_b")
+    right = members.select(F.col("raw").alias("raw_b"), F.col("id").alias("id_b"))
+    near = split_join(left, right, ["raw_b"], "id", part_rows)
+    return near.select(F.least("id", "id_b").alias("doc_id_a"), F.greatest("id", "id_b").alias("doc_id_b"))

@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quakeledger.runtime import checkpoint, fetch_bounded
+from quakeledger.runtime import checkpoint, fetch_bounded, spread
 
 BLOCK_TOKENS = 512
 SHARD_TOKENS = 4_000_000
-#: Shards over all sources; beyond that the shards grow.
+#: Shards over all sources, whose quotas pass through the driver. From 80 thousand million tokens on shards grow instead of
+#: getting more: which blocks are chosen then depends on the total too, but shares, caps and repeats do not.
 MOST_SHARDS = 20_000
 
 
@@ -54,7 +55,7 @@ def reachable_seats(shares: np.ndarray, caps: np.ndarray) -> int:
     return int(math.floor(min(caps[have] / s) + 1e-9))
 
 
-def mix(docs: DataFrame, key: str, source: str, tokens: str, targets: DataFrame, total_tokens: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = 8) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, key: str, source: str, tokens: str, targets: DataFrame, total_tokens: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = 8, most_shards: int = MOST_SHARDS) -> tuple[DataFrame, DataFrame]:
     """(chosen, report) for targets (source, target_share, max_repeats).
 
     Each source's documents are laid end to end in seeded order, in shards of about SHARD_TOKENS tokens, and cut into
@@ -75,7 +76,7 @@ def mix(docs: DataFrame, key: str, source: str, tokens: str, targets: DataFrame,
     used = docs.where((F.col(tokens) > 0) & F.col(key).isNotNull()).groupBy(F.col(key).alias("doc_id"), F.col(source).alias("source")).agg(F.max(tokens).cast("long").alias("size"))
     used = checkpoint(used.join(F.broadcast(plan0), "source"))  # plan0 is bounded above
     have = {r["source"]: r["n"] for r in used.groupBy("source").agg(F.sum("size").alias("n")).collect()}  # a row a target
-    shard_tokens = max(SHARD_TOKENS, -(-sum(have.values()) // MOST_SHARDS))
+    shard_tokens = max(SHARD_TOKENS, -(-sum(have.values()) // most_shards))
     shards = {s: -(-n // shard_tokens) for s, n in have.items()}
     counts = spark.createDataFrame(sorted(shards.items()), "source string, shards long")
     dealt = used.join(F.broadcast(counts), "source").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("shards")).cast("int"))
@@ -100,7 +101,7 @@ def mix(docs: DataFrame, key: str, source: str, tokens: str, targets: DataFrame,
     quota = spark.createDataFrame(quotas, "source string, shard int, n_blocks long, each int, extra long")
     rank = F.row_number().over(Window.partitionBy("source", "shard").orderBy(F.xxhash64("source", "shard", "block", F.lit(seed)), "block"))
     chosen = (
-        quota.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
+        spread(quota, "source", "shard").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
         .withColumn("repeats", (F.col("each") + (rank <= F.col("extra")).cast("int")).cast("int")).where("repeats > 0").select("source", "shard", "block", "repeats")
     )
     order = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id")

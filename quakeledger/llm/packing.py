@@ -23,12 +23,13 @@ class Rules:
     documents: documents a container holds at most, as a share of its token capacity (at least 1).
     attention: its attention cost (sum of squared lengths) at most, as a share of the squared token capacity; an item
     above it stands alone, since only an item above the token capacity may be divided.
+    At the defaults a container of 2,048 tokens holds at most 32 documents, and none beside one of more than 95 % of it.
     choice: 'norm' takes the container with the least weighted residual norm, 'dot' the one whose residuals have the
     largest weighted product with the item's needs. weights: of tokens, documents and attention cost.
     """
 
-    documents: float = 1 / 8
-    attention: float = 1.0
+    documents: float = 1 / 64
+    attention: float = 0.9
     choice: str = "norm"
     weights: tuple[float, float, float] = (1.0, 0.05, 0.1)
 

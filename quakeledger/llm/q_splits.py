@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quakeledger.llm.splits import ComponentTable
-from quakeledger.runtime import ensure_checkpoint_dir, table
+from quakeledger.llm.splits import QUARANTINE, TARGETS, ComponentTable
+from quakeledger.runtime import checkpoint, ensure_checkpoint_dir, table
 
 
 def compared_name(c: Column) -> Column:
@@ -66,6 +66,16 @@ def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("share", F.round(F.col("n_datasets") / F.sum("n_datasets").over(Window.partitionBy(F.lit(0))), 6))  # a row a split
 
 
+def p2_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Datasets and groups placed, groups that stand in more than one split (none may), and whether the shares are within 2 %."""
+    got = checkpoint(p2_splits(spark, sf_dir))
+    torn = got.groupBy("group_id").agg(F.countDistinct("split").alias("k")).agg(F.count("*").alias("n_groups"), F.count_if(F.col("k") > 1).alias("n_torn"))
+    near = F.lit(True)
+    for name, share in TARGETS:
+        near = near & (F.abs(F.count_if(F.col("split") == name) / F.greatest(F.lit(1), F.count_if(F.col("split") != QUARANTINE)) - share) <= 0.02)
+    return got.agg(F.count("*").alias("n_datasets"), near.alias("near"), F.lit(1).alias("one")).join(torn.withColumn("one", F.lit(1)), "one").drop("one")
+
+
 P2_FOUND_SQL = r"""
 WITH RECURSIVE cleaned AS (
   SELECT trim(regexp_replace(lower(dataset_id), '[^a-z0-9]+', '_', 'g'), '_') AS name, parent_catalog, notes FROM corpus_manifest
@@ -82,7 +92,10 @@ edge AS (
 reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
 grp AS (SELECT a AS name, min(b) AS group_id FROM reach GROUP BY a),
 big AS (SELECT group_id FROM grp JOIN listed USING (name) GROUP BY group_id HAVING count(*) >= 2)
-SELECT name AS dataset_id, group_id FROM grp JOIN listed USING (name) JOIN big USING (group_id)
 """
-QUERIES = {"p2_found": p2_found, "p2_splits": p2_splits, "p2_shares": p2_shares}
-SQL = {"p2_found": P2_FOUND_SQL}
+QUERIES = {"p2_found": p2_found, "p2_splits": p2_splits, "p2_shares": p2_shares, "p2_kept": p2_kept}
+SQL = {
+    "p2_found": P2_FOUND_SQL + "SELECT name AS dataset_id, group_id FROM grp JOIN listed USING (name) JOIN big USING (group_id)",
+    "p2_kept": P2_FOUND_SQL + """SELECT count(*) AS n_datasets, true AS near, count(DISTINCT coalesce(group_id, name)) AS n_groups, 0 AS n_torn
+      FROM listed LEFT JOIN grp USING (name)""",
+}

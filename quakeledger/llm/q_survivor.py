@@ -86,8 +86,45 @@ WITH rec AS (
   QUALIFY row_number() OVER (PARTITION BY event_uid ORDER BY st DESC, trust, ingested_at DESC NULLS LAST, record_id DESC) = 1
 )
 """
+_V = ", ".join(f"v{i} DESC NULLS LAST" for i in range(len(MERGED_FIELDS)))
+_BETTER = f"\"full\" DESC, trust DESC, ingested_at DESC NULLS LAST, record_id DESC, {_V}, mask DESC"
+_NUMBERS = {"latitude", "longitude", "depth_km", "magnitude", "seismic_moment_n_m"}
+
+
+def _value(f: str) -> str:
+    if f in _NUMBERS:
+        return f"CASE WHEN NOT isnan({f}) THEN {f} END"
+    return f"CASE WHEN trim({f}) <> '' THEN {f} END" if f == "magnitude_type" else f
+
+
+P5_MERGED_SQL = rf"""
+WITH RECURSIVE raw AS (
+  SELECT regexp_replace(lower(event_uid_source), '[^\p{{L}}\p{{Nd}}]', '', 'g') AS event_uid, record_id, ingested_at,
+    coalesce(-(SELECT min(a.trust) FROM agencies a WHERE lower(trim(a.agency_code)) = lower(trim(e.source))), -1073741824) AS trust,
+    {", ".join(f"{_value(f)} AS v{i}" for i, f in enumerate(MERGED_FIELDS))} FROM event_records e
+), rec AS (
+  SELECT *, {" + ".join(f"(v{i} IS NOT NULL)::INT * {1 << i}" for i in range(len(MERGED_FIELDS)))} AS mask,
+    {" + ".join(f"(v{i} IS NOT NULL)::INT" for i in range(len(MERGED_FIELDS)))} AS "full"
+  FROM raw WHERE regexp_matches(event_uid, '[1-9]') AND record_id IS NOT NULL
+), many AS (SELECT event_uid FROM rec GROUP BY 1 HAVING count(DISTINCT record_id) >= 2),
+best AS (
+  SELECT * FROM rec JOIN many USING (event_uid)
+  QUALIFY row_number() OVER (PARTITION BY event_uid, mask, trust ORDER BY ingested_at DESC NULLS LAST, record_id DESC, {_V}) = 1
+), cell AS (SELECT row_number() OVER (ORDER BY event_uid, mask, trust) AS k, * FROM best),
+beats AS (
+  SELECT a.k AS a, b.k AS b FROM cell a JOIN cell b USING (event_uid)
+  WHERE a."full" >= b."full" AND a.trust >= b.trust AND (b.ingested_at IS NULL OR a.ingested_at >= b.ingested_at)
+    AND (a."full" > b."full" OR a.trust > b.trust OR a.ingested_at > b.ingested_at OR (b.ingested_at IS NULL AND a.ingested_at IS NOT NULL))
+), chain AS (SELECT k, 1 AS depth FROM cell UNION SELECT beats.b, depth + 1 FROM chain JOIN beats ON beats.a = chain.k),
+layered AS (SELECT cell.*, layer FROM cell JOIN (SELECT k, max(depth) AS layer FROM chain GROUP BY k) USING (k)),
+base AS (SELECT event_uid, record_id AS base_from FROM layered QUALIFY row_number() OVER (PARTITION BY event_uid ORDER BY layer, {_BETTER}) = 1)
+{"".join(f""", f{i} AS (SELECT event_uid, v{i} AS {f}, record_id AS {f}_from, layer AS {f}_layer FROM layered WHERE v{i} IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY event_uid ORDER BY layer, {_BETTER}) = 1)""" for i, f in enumerate(MERGED_FIELDS))}
+SELECT * FROM base {" ".join(f"LEFT JOIN f{i} USING (event_uid)" for i in range(len(MERGED_FIELDS)))}
+"""
 QUERIES = {"p5_found": p5_found, "p5_survivors": p5_survivors, "p5_merged": p5_merged}
 SQL = {
+    "p5_merged": P5_MERGED_SQL,
     "p5_found": _P5
     + """SELECT event_uid, coalesce(mag.record_id, 0) AS magnitude_from, coalesce(mom.record_id, 0) AS moment_from
 FROM uid LEFT JOIN mag USING (event_uid) LEFT JOIN mom USING (event_uid)""",

@@ -30,7 +30,7 @@ class FieldPolicy:
 def field_survivors(records: DataFrame, key: str, record_id: str, recency: str, fields: tuple[FieldPolicy, ...]) -> DataFrame:
     """One row for each key with at least two distinct record ids: key, n_cells, and for each field f a struct
 
-    f(record_id, layer, *carry) of the record it comes from, null where no record is usable.
+    f(record_id, *carry) of the record it comes from, null where no record is usable.
 
     Hot groups: records are first reduced to cells (key and all ranks) of which only the most recent record can be
     undominated; that pre-aggregation runs before the shuffle and spreads a group over as many reducers as it has cells.
@@ -62,7 +62,7 @@ def field_survivors(records: DataFrame, key: str, record_id: str, recency: str,
 
 
 def _survivor(cells: Column, field: FieldPolicy, ranks: list[str]) -> Column:
-    """The policy's choice from the first dominance layer that holds a usable record."""
+    """The policy's choice among the usable records of the skyline."""
 
     def dominates(a: Column, b: Column) -> Column:
         """a is as good as b everywhere and better somewhere; recency (then id) never ties between cells of one group."""
@@ -75,18 +75,12 @@ def _survivor(cells: Column, field: FieldPolicy, ranks: list[str]) -> Column:
     def skyline(of: Column) -> Column:
         return F.filter(of, lambda c: ~F.exists(of, lambda d: dominates(d, c)))
 
-    def chosen(of: Column, layer: int) -> Column:
-        usable = F.filter(of, lambda c: c[ranks[0]] == 1)
-        best = F.array_max(F.transform(usable, lambda c: F.struct(*(c[r].alias(r) for r in ranks), c["newest"].alias("newest"))))
-        got = [best["newest"]["id"].alias("record_id"), F.lit(layer).alias("layer"), *(best["newest"][c].alias(c) for c in field.carry)]
-        return F.when(best.isNotNull(), F.struct(*got))
-
-    first = skyline(cells)
-    # Usable stands first among the ranks, so a usable record that the policy prefers is undominated: the first layer
-    # decides wherever it has one; what is left is looked through layer by layer only for groups without.
-    rest = F.array_except(cells, first)
-    second = skyline(rest)
-    return F.coalesce(chosen(first, 1), chosen(second, 2), chosen(F.array_except(rest, second), 3))
+    # Whether a record can give the field is itself a criterion of dominance, the first of the policy. So the usable record
+    # that the policy prefers is beaten by none and stands in the first layer; deeper layers can add nothing.
+    usable = F.filter(skyline(cells), lambda c: c[ranks[0]] == 1)
+    best = F.array_max(F.transform(usable, lambda c: F.struct(*(c[r].alias(r) for r in ranks), c["newest"].alias("newest"))))
+    got = [best["newest"]["id"].alias("record_id"), *(best["newest"][c].alias(c) for c in field.carry)]
+    return F.when(best.isNotNull(), F.struct(*got))
 
 
 def compared_uid(column: str) -> Column:
@@ -96,13 +90,13 @@ def compared_uid(column: str) -> Column:
 
 
 def record_survivors(
-    records: DataFrame, key: str, record_id: str, recency: str, trust: Column, fields: tuple[str, ...], layers: int = 4
+    records: DataFrame, key: str, record_id: str, recency: str, trust: Column, fields: tuple[str, ...]
 ) -> DataFrame:
-    """One whole record for each key with at least two record ids: key, base_from, base_layers, each field and f_layer.
+    """One whole record for each key with at least two record ids: key, base_from, each field, the record it is from (f_from) and its layer (f_layer).
 
     The base is the skyline's first by (filled fields, trust, recency, id). A field missing there comes from the next
-    dominance layers across completeness, trust and recency, in order; within a layer the same policy chooses. The
-    deepest of ``layers`` layers holds all that is left. Records of a group with the same filled fields and the same
+    dominance layers across completeness, trust and recency, in order and to the last; within a layer the same policy
+    chooses. Records of a group with the same filled fields and the same
     trust are reduced to the most recent one beforehand: the others are dominated by it and could fill nothing more.
 
     trust is a small integer, larger better; at most 2 ** len(fields) * trusts records of a group are gathered. Missing
@@ -131,26 +125,29 @@ def record_survivors(
         .agg(F.max("__newest").alias("newest"), F.min("__id").alias("low"), F.max("__id").alias("high"))
     )
     cell = F.struct(F.bit_count("mask").alias("full"), "trust", "newest", "mask")
-    groups = cells.groupBy("__key").agg(F.collect_list(cell).alias("rest0"), F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
+    groups = cells.groupBy("__key").agg(F.collect_list(cell).alias("cells"), F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
 
     def dominates(a: Column, b: Column) -> Column:
         at = F.coalesce(a["newest"]["at"] >= b["newest"]["at"], b["newest"]["at"].isNull())
         later = ~F.coalesce(b["newest"]["at"] >= a["newest"]["at"], a["newest"]["at"].isNull())
         return at & (a["full"] >= b["full"]) & (a["trust"] >= b["trust"]) & (later | (a["full"] > b["full"]) | (a["trust"] > b["trust"]))
 
-    for i in range(layers - 1):
-        rest = F.col(f"rest{i}")
-        groups = groups.withColumn(f"layer{i}", F.filter(rest, lambda c: ~F.exists(rest, lambda d: dominates(d, c))))  # noqa: B023
-        groups = groups.withColumn(f"rest{i + 1}", F.array_except(rest, F.col(f"layer{i}")))
-    names = [f"layer{i}" for i in range(layers - 1)] + [f"rest{layers - 1}"]
-    base = F.array_max(F.col("layer0"))
-    groups = groups.withColumn("base", base)
-    out = [F.col("__key").alias(key), F.col("base.newest.id").alias("base_from")]
+    # A cell's layer is one more than the deepest of those that beat it. These come before it in descending order, so one
+    # pass over the ordered cells finds all layers, however many.
+    ordered = F.sort_array("cells", asc=False)
+    layered = F.transform(ordered, lambda c: F.struct(F.lit(0).alias("layer"), c.alias("cell")))
+
+    def placed(done: Column, c: Column) -> Column:
+        above = F.transform(F.filter(done, lambda d: dominates(d["cell"], c)), lambda d: d["layer"])
+        return F.concat(done, F.array(F.struct((F.coalesce(F.array_max(above), F.lit(0)) + 1).alias("layer"), c.alias("cell"))))
+
+    groups = groups.withColumn("layers", F.aggregate(ordered, F.slice(layered, 1, 0), placed))
+    preferred = F.transform("layers", lambda x: F.struct((-x["layer"]).alias("up"), x["cell"].alias("cell")))
+    groups = groups.select("__key", preferred.alias("layers")).withColumn("base", F.array_max("layers"))
+    out = [F.col("__key").alias(key), F.col("base.cell.newest.id").alias("base_from")]
     for i, f in enumerate(fields):
-        choice = F.when(F.col(f"base.newest.f{i}.v").isNotNull(), F.struct(F.col("base.newest.id").alias("id"), F.col(f"base.newest.f{i}.v").alias("v"), F.lit(1).alias("layer")))
-        for k, n in enumerate(names):
-            best = F.array_max(F.filter(F.col(n), lambda c: c["newest"][f"f{i}"]["v"].isNotNull()))  # noqa: B023
-            choice = F.coalesce(choice, F.when(best.isNotNull(), F.struct(best["newest"]["id"].alias("id"), best["newest"][f"f{i}"]["v"].alias("v"), F.lit(k + 1).alias("layer"))))
-        groups = groups.withColumn(f"choice{i}", choice)
-        out += [F.col(f"choice{i}.v").alias(f), F.col(f"choice{i}.id").alias(f"{f}_from"), F.col(f"choice{i}.layer").alias(f"{f}_layer")]
+        best = F.array_max(F.filter("layers", lambda x: x["cell"]["newest"][f"f{i}"]["v"].isNotNull()))  # noqa: B023
+        groups = groups.withColumn(f"best{i}", best)
+        at = f"best{i}.cell.newest"
+        out += [F.col(f"{at}.f{i}.v").alias(f), F.col(f"{at}.id").alias(f"{f}_from"), (-F.col(f"best{i}.up")).alias(f"{f}_layer")]
     return groups.select(*out)

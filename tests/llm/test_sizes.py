@@ -1,4 +1,6 @@
 import random
+from dataclasses import replace
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -52,11 +54,24 @@ def test_fill_is_close_to_the_least(spark):
     rng = np.random.default_rng(3)
     sizes = np.minimum(rng.lognormal(4.5, 1, 9000).astype(int) + 1, 2000)
     df = spark.createDataFrame([(i, int(n)) for i, n in enumerate(sizes)], "doc_id long, tokens long")
-    got = pack(df, "doc_id", "tokens", {"c": 1024}, shard_items=1000)
+    got = pack(df, "doc_id", "tokens", {"c": 1024}, Rules(documents=1 / 8, attention=1.0), shard_items=1000)  # tokens alone bind
     used = got.select("container_id").distinct().count()
     assert used <= 1.02 * -(-sizes.sum() // 1024)
 
 
+def test_every_constraint_binds():
+    """Taking any one constraint away, or the other choice, changes the packing of texts of the usual sizes."""
+    sizes = np.minimum(np.random.default_rng(5).lognormal(4.9, 1.1, 4_000).astype(int) + 1, 512)
+    count = lambda r: int(best_fit(sizes, 512, r).max()) + 1
+    all_bind = Rules()
+    assert count(all_bind) > count(replace(all_bind, documents=1.0)) and count(all_bind) > count(replace(all_bind, attention=1.0))
+    assert not np.array_equal(best_fit(sizes, 512, all_bind), best_fit(sizes, 512, replace(all_bind, choice="dot")))
+    for choice in ("norm", "dot"):
+        at = best_fit(sizes, 512, replace(all_bind, choice=choice))
+        held, cost = np.bincount(at), np.bincount(at, (sizes / 512) ** 2)
+        assert held.max() == 8 and np.bincount(at, sizes).max() <= 512 and (cost[held > 1] <= 0.9 + 1e-9).all()
+
+
 def slow_apportion(shares, caps, seats):
     won = [0] * len(shares)
     for _ in range(seats):
@@ -104,7 +119,11 @@ def test_long_texts_count_as_a_whole(spark):
     rng = random.Random(6)
     text = "".join(rng.choice(["quake ", "\n", "\n\n", " 12", "é", "\n  ", "."]) for _ in range(60_000))
     assert len(text) > 2 * LONG
-    assert count_tokens(text) == len(encoder(VOCABULARY).encode_ordinary(text))
+    blank_lines = "\n\n".join("quake of size 4.5\n\n\n  felt" for _ in range(6_000))
+    for vocabulary in sorted(Path(VOCABULARY).parent.glob("*.tiktoken")):
+        enc = encoder(str(vocabulary))
+        for t in (text, blank_lines, "x" * 200_000, "a\n" * 80_000, "\n" * 120_000):
+            assert count_tokens(t, enc) == len(enc.encode_ordinary(t)), vocabulary.name
     df = spark.createDataFrame([(1, "a b"), (2, ""), (3, None), (4, "<|endoftext|>")], "doc_id long, text string")
     got = {r["doc_id"]: r["tokens"] for r in with_tokens(df, ("doc_id",), "text").collect()}
     assert got[2] == got[3] == 0 and got[1] == 2 and got[4] > 1

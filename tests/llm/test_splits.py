@@ -1,6 +1,9 @@
 import random
 import string
 
+import pytest
+
+from quakeledger.llm import splits
 from quakeledger.llm.q_splits import compared_name
 from quakeledger.llm.splits import QUARANTINE, ComponentTable, connected_components, fill_deficits
 from pyspark.sql import functions as F
@@ -25,14 +28,15 @@ def brute(edges):
     return {x: min(g) for g in groups.values() for x in g}
 
 
-def test_components_of_chains_stars_and_noise(spark):
+@pytest.mark.parametrize("residue", [0, 300, 10_000])
+def test_components_of_chains_stars_and_noise(spark, residue):
     rng = random.Random(1)
     chain = [(f"c{i:04d}", f"c{i + 1:04d}") for i in range(300)]
     star = [("hub", f"s{i}") for i in range(200)]
     noise = [tuple("n" + "".join(rng.choice(string.ascii_lowercase) for _ in range(2)) for _ in range(2)) for _ in range(150)]
     edges = chain + star + star + noise + [("self", "self"), (None, "x"), ("y", None)]
     rng.shuffle(edges)
-    got = {r["name"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    got = {r["name"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a string, b string"), residue).collect()}
     assert got == brute(edges)
 
 
@@ -90,6 +94,28 @@ def test_an_opened_folder_goes_on_from_its_latest_complete_version(spark, tmp_pa
     assert {r["group_id"]: r["split"] for r in first.groups().collect()} == before
 
 
+def test_an_update_writes_only_what_it_changes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(splits, "WHOLE_EVERY", 4)
+    names = lambda xs: spark.createDataFrame([(x,) for x in xs], "name string")
+    links = lambda xs: spark.createDataFrame(xs, "a string, b string")
+    folder = str(tmp_path / "store")
+    store = ComponentTable(spark, folder)
+    store.update(names([f"d{i:03d}" for i in range(100)]), links([]))
+    store.update(names(["a000", "x"]), links([("a000", "d050"), ("d051", "d052")]))
+    written = {r["name"] for r in spark.read.parquet(f"{folder}/members/v2").collect()}
+    assert written == {"a000", "x", "d050", "d052"}
+    groups = {r["group_id"]: r["status"] for r in spark.read.parquet(f"{folder}/groups/v2").collect()}
+    assert groups == {"a000": "grown", "d050": "gone", "x": "new", "d051": groups["d051"], "d052": "gone"} and groups["d051"] in ("merged", "conflict")
+    rows = [f"n{k:02d}" for k in range(3)]
+    for k in range(3):  # past the version that is written whole again
+        store.update(names([rows[k]]), links([(rows[k], rows[k - 1])] if k else []))
+    again = ComponentTable(spark, folder)
+    members = {r["name"]: r["group_id"] for r in again.members().collect()}
+    assert len(members) == 105 and all(members[n] == "n00" for n in rows) and members["d050"] == "a000"
+    got = {r["group_id"]: r for r in again.groups().collect()}
+    assert got["n00"]["n"] == 3 and got["n00"]["status"] == "grown" and got["d003"]["status"] == "kept" and sum(r["n"] for r in got.values()) == 105
+
+
 def test_compared_name(spark):
     got = spark.createDataFrame([("  Real--A b\t",), ("__",), (None,)], "x string").select(compared_name(F.col("x")).alias("y")).collect()
     assert [r["y"] for r in got] == ["real_a_b", None, None]
