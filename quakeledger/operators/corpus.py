@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from quakeledger.functions.scalars import wilson_interval
+from quakeledger.operators.interval import ranked
+from quakeledger.runtime import fetch_bounded
 from quakeledger.operators.decision import AXIS_PRIORS, AXIS_WEIGHTS, WITHIN, WITHIN_PRIORS, Thresholds, stage2, with_decision
 
 KNOWN_BAD = ("corrupted_real", "fabricated", "held_out_adversarial", "merged")
@@ -109,21 +111,26 @@ def operating_point(decided: DataFrame) -> DataFrame:
 
 
 def risk_coverage(decided: DataFrame, levels: int = 41) -> DataFrame:
-    """The risk of the most confident share of datasets at each of 41 coverage levels from 1 to 0.05.
+    """The risk of the most confident datasets at each of 41 levels from all to a twentieth: coverage, n_covered, risk.
 
-    Confidence is the distance of t from the middle of the thresholds; wrong is a good dataset below it or a bad one
-    above. Equal confidences are counted together by distinct confidence, so ranks come from sums by value.
+    A dataset that a gate stops is a sure rejection and comes first; the others go by the distance of t from the middle of
+    the thresholds, a missing t standing at the middle. t at or above the middle counts as admitted. A level of f covers
+    exactly max(1, round(f n)) datasets, halves to even; equal confidences go by dataset_id. Merged datasets are neither
+    good nor bad here. Ranks are taken over ranges, so no task orders all datasets.
     """
     mid = (Thresholds().admit + Thresholds().reject) / 2
-    rows = decided.where("t IS NOT NULL").select(F.round(F.abs(F.col("t") - mid), 6).alias("confidence"), (good() != (F.col("t") >= mid)).cast("int").alias("wrong"))
-    by_value = rows.groupBy("confidence").agg(F.count("*").alias("c"), F.sum("wrong").alias("w"))
-    down = Window.partitionBy(F.lit(0)).orderBy(F.desc("confidence"))  # distinct rounded confidences: at most a million rows
-    run = by_value.select(F.sum("c").over(down).alias("upto"), F.sum("w").over(down).alias("wrong"), F.sum("c").over(Window.partitionBy(F.lit(0))).alias("n"))
+    t, fired = F.coalesce("t", F.lit(mid)), F.coalesce("fired", F.lit(False))
+    admitted = ~fired & (t >= mid)
+    known_bad = F.col("grp").isin("corrupted_real", "fabricated", "held_out_adversarial")
+    wrong = F.coalesce((admitted & known_bad) | (~admitted & good()), F.lit(False)).cast("int")
+    rows = decided.select(F.lit(0).alias("all"), "dataset_id", F.when(fired, -1e9).otherwise(-F.round(F.abs(t - mid), 9)).alias("rank_by"), wrong.alias("wrong"))
+    run = ranked(rows, "all", ["rank_by", "dataset_id"])
     step = (1.0 - 0.05) / (levels - 1)
-    run = run.withColumn("level", F.explode(F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), lambda i: F.round(1.0 - i * step, 6))))
-    reached = run.where(F.col("upto") >= F.col("level") * F.col("n") - 1e-9)
-    got = reached.groupBy("level").agg(F.min(F.struct("upto", "wrong", "n")).alias("r"))
-    return got.select(F.col("level").alias("coverage"), F.col("r.upto").alias("n_covered"), F.round(F.col("r.wrong") / F.col("r.upto"), 6).alias("risk"))
+    k = [F.greatest(F.lit(1), F.bround((1.0 - i * step) * F.col("n"))).cast("long") for i in range(levels)]
+    sums = run.groupBy("n").agg(*(F.sum(F.when(F.col("rn") <= k[i], F.col("wrong")).otherwise(0)).alias(f"w{i}") for i in range(levels)))
+    level = F.explode(F.array(*(F.struct(F.lit(i).alias("level"), k[i].alias("n_covered"), F.col(f"w{i}").alias("w")) for i in range(levels))))
+    got = sums.select("n", level.alias("x")).select("n", "x.*")
+    return got.select("level", F.round(F.col("n_covered") / F.col("n"), 9).alias("coverage"), "n_covered", F.round(F.col("w") / F.col("n_covered"), 9).alias("risk"))
 
 
 def area_under(curve: DataFrame, x: str, y: str) -> DataFrame:
@@ -173,18 +180,21 @@ def entropy_sums(scores: DataFrame, *by: str) -> DataFrame:
 
 
 def entropy_weights(sums: DataFrame, *by: str) -> DataFrame:
-    """M7: (by, axis, test, m, weight): normalised over the tests of an axis; equal where no test carries information."""
+    """M7: (by, axis, test, m, weight): normalised over the tests of an axis; equal where no test carries information.
+
+    The axes' own scores (A, P, C, I) are normalised among themselves.
+    """
     e = -(F.col("sl") / F.col("s") - F.log("s")) / F.log("m")
     d = F.when((F.col("m") >= 2) & (F.col("s") > 0), 1.0 - e).otherwise(0.0)
     over = Window.partitionBy(*by, "axis")
-    rows = sums.withColumn("axis", F.substring("test", 1, 1)).withColumn("d", d)
+    rows = sums.withColumn("axis", F.when(F.length("test") == 1, "axes").otherwise(F.substring("test", 1, 1))).withColumn("d", d)
     whole = F.sum("d").over(over)
     return rows.select(*by, "axis", "test", "m", F.when(whole > 0, F.col("d") / whole).otherwise(1.0 / F.count("*").over(over)).alias("weight"))
 
 
 def blended_weights(entropy: DataFrame, *by: str, least: int = 20) -> DataFrame:
     """M8: priors times entropy weights; tests with fewer than 20 scores keep their prior, the others share what is left."""
-    prior = F.element_at(F.create_map(*(F.lit(x) for kv in WITHIN_PRIORS.items() for x in kv)), F.col("test"))
+    prior = F.element_at(F.create_map(*(F.lit(x) for kv in (WITHIN_PRIORS | AXIS_PRIORS).items() for x in kv)), F.col("test"))
     over = Window.partitionBy(*by, "axis")
     rows = entropy.withColumn("prior", prior).withColumn("kept", F.col("m") < least)
     raw = F.when(~F.col("kept"), F.col("prior") * F.col("weight"))
@@ -200,44 +210,170 @@ def leave_one_out(scores: DataFrame, facts: DataFrame, group: str = "grp") -> Da
     return entropy_weights(rest, "left_out")
 
 
+def refit_agreement(scores: DataFrame, facts: DataFrame, group: str = "grp", least: int = 50) -> DataFrame:
+    """For each group left out, the blended weights of the others applied to it: rows, decisions as in production, their share.
+
+    A fold whose complement has fewer than ``least`` datasets is skipped. All folds are one plan: the complements' sums are
+    totals minus the group's own.
+    """
+    weights = blended_weights(leave_one_out(scores, facts, group), "left_out").withColumnRenamed("weight", "within")
+    axis_weight = F.element_at(F.create_map(*(F.lit(x) for kv in AXIS_WEIGHTS.items() for x in kv)), F.col("axis"))
+    own = facts.select("dataset_id", F.col(group).alias("left_out"))
+    rows = scores.where("score IS NOT NULL").join(own, "dataset_id").join(F.broadcast(weights.withColumn("axis_weight", axis_weight)), ["left_out", "test"])  # 20 rows a group
+    part = rows.groupBy("left_out", "dataset_id", "axis", "axis_weight").agg(F.try_divide(F.sum(F.col("within") * F.col("score")), F.sum("within")).alias("v"))
+    held = F.col("v").isNotNull()
+    refit = part.groupBy("left_out", "dataset_id").agg(F.try_divide(F.sum(F.col("axis_weight") * F.col("v")), F.sum(F.when(held, F.col("axis_weight")))).alias("t"))
+    production = composite(scores, variants_table(scores.sparkSession, "blended")).select("dataset_id", F.col("t").alias("t0"))
+    both = refit.join(production, "dataset_id").join(facts.select("dataset_id", "fired"), "dataset_id")
+    call = lambda c: F.when(F.col("fired"), "REJECT").otherwise(stage2(F.col(c), Thresholds()))
+    sizes = facts.groupBy(F.col(group).alias("left_out")).agg(F.count("*").alias("n"))
+    sizes = sizes.withColumn("n_train", F.sum("n").over(Window.partitionBy(F.lit(0))) - F.col("n")).where(F.col("n_train") >= least)  # a row a group
+    got = both.groupBy("left_out").agg(F.count("*").alias("n_rows"), F.count_if(call("t") == call("t0")).alias("n_same"))
+    return got.join(sizes.select("left_out", "n_train"), "left_out").withColumn("agreement", F.col("n_same") / F.col("n_rows"))
+
+
+def merged_manifest(scores: DataFrame, manifest: DataFrame, key: str = "dataset_id") -> DataFrame:
+    """Scores with their manifest rows, one to one; a key that occurs twice on a side or has no manifest row is an error."""
+    for name, side in (("scores", scores), ("the manifest", manifest)):
+        if twice := side.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").limit(5).collect():
+            raise ValueError(f"{name} name {[r[key] for r in twice]} more than once")
+    if lost := scores.join(manifest.select(key), key, "left_anti").select(key).limit(5).collect():
+        raise ValueError(f"the manifest doesn't list {[r[key] for r in lost]}")
+    return scores.join(manifest, key)
+
+
+def labelled(rows: DataFrame, manifest: DataFrame, key: str = "dataset_id", label: str = "label") -> DataFrame:
+    """Rows with the manifest's label; the rows' own label stands where the manifest has none."""
+    known = manifest.select(key, F.col(label).alias("__label")).dropDuplicates([key])
+    return rows.join(known, key, "left").withColumn(label, F.coalesce("__label", label)).drop("__label")
+
+
+def resolved_parents(manifest: DataFrame, real: Column, parent: str = "parent_catalog", key: str = "dataset_id") -> tuple[DataFrame, DataFrame]:
+    """(rows with a parent among the datasets that ``real`` marks, rows whose parent is none of them)."""
+    known = manifest.where(real).select(F.col(key).alias(parent)).distinct()
+    derived = manifest.where(F.col(parent).isNotNull())
+    return derived.join(known, parent, "left_semi"), derived.join(known, parent, "left_anti")
+
+
+def same_members(left: DataFrame, right: DataFrame, key: str) -> bool:
+    """Whether both tables have the same set of keys (null among them or not)."""
+    a, b = left.select(key).distinct(), right.select(key).distinct()
+    return not a.exceptAll(b).limit(1).count() and not b.exceptAll(a).limit(1).count()
+
+
+def grouped_split(groups: DataFrame, targets=(("train", 0.70), ("calibration", 0.15), ("test", 0.15)), seed: int = 0) -> DataFrame:
+    """Groups (parent, n) with a split: in seeded order each goes to the split with the largest deficit.
+
+    The order matters, so the groups of a corpus (some hundreds, at most 100,000) are dealt on the driver; datasets join
+    the result by their parent.
+    """
+    rows = fetch_bounded(groups.orderBy(F.xxhash64("parent", F.lit(seed)), "parent"), 100_000, "the list of parents")
+    lacking = {s: share * sum(r["n"] for r in rows) for s, share in targets}
+    out = []
+    for r in rows:
+        to = max(lacking, key=lacking.get)
+        lacking[to] -= r["n"]
+        out.append((r["parent"], r["n"], to))
+    return groups.sparkSession.createDataFrame(out, "parent string, n long, split string")
+
+
+def extremes(scores: DataFrame) -> DataFrame:
+    """Of each test the dataset with the lowest and with the highest score (the first id on ties)."""
+    rows = scores.where("score IS NOT NULL")
+    return rows.groupBy("test").agg(
+        F.min_by("dataset_id", F.struct("score", "dataset_id")).alias("worst"), F.min("score").alias("worst_score"),
+        F.min_by("dataset_id", F.struct((-F.col("score")).alias("s"), "dataset_id")).alias("best"), F.max("score").alias("best_score"),
+    )
+
+
+def least_stable(stability: DataFrame, k: int = 20) -> DataFrame:
+    """The k datasets whose decision changes most often."""
+    return stability.orderBy("agreement", "dataset_id").limit(k)
+
+
+def predictive_values(rates: DataFrame, prevalences=(0.01, 0.05, 0.1, 0.25, 0.5)) -> DataFrame:
+    """C19x: by prevalence of bad datasets, what a rejection and an admission are worth, by Bayes' rule.
+
+    rates: sensitivity (bad ones not admitted) and specificity (good ones not rejected), one row.
+    """
+    p = F.col("prevalence")
+    hit, clear = F.col("sensitivity") * p, F.col("specificity") * (1 - p)
+    rows = rates.withColumn("prevalence", F.explode(F.array(*(F.lit(x) for x in prevalences))))
+    return rows.select("prevalence", F.try_divide(hit, hit + (1 - F.col("specificity")) * (1 - p)).alias("ppv"), F.try_divide(clear, clear + (1 - F.col("sensitivity")) * p).alias("npv"))
+
+
 def _seeded(ids: pd.Series, seed: int) -> list[np.random.Generator]:
     return [np.random.default_rng([seed, int.from_bytes(str(i).encode()[-8:].rjust(8, b"\0"), "big"), len(str(i))]) for i in ids]
 
 
-def bootstrap_weights(wide: DataFrame, draws: int = 200, seed: int = 12) -> DataFrame:
-    """Spread of the entropy weights over resamples of datasets; every dataset counts a Poisson number of times a draw.
+#: Draws of the resampling analyses.
+DRAWS = 2_000
+AXES = tuple("APCI")
 
-    Each batch gives the sums of all draws at once (one matrix product), which Spark adds up; wide: dataset_id and tests.
-    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            w = np.stack([g.poisson(1.0, draws) for g in _seeded(b["dataset_id"], seed)], axis=1).astype(float)
-            x = b[list(TESTS)].to_numpy(float)
-            have = np.isfinite(x)
-            v = np.where(have, x, 0.0)
-            with np.errstate(all="ignore"):
-                vl = np.where(v > 0, v * np.log(v), 0.0)
-            m, s, sl = w @ have, w @ v, w @ vl
-            yield pd.DataFrame({"draw": np.repeat(np.arange(draws), len(TESTS)), "test": np.tile(TESTS, draws), "m": m.ravel(), "s": s.ravel(), "sl": sl.ravel()})
+def with_prior_axes(wide: DataFrame) -> DataFrame:
+    """wide (dataset_id and tests) with the axis scores that the prior weights give."""
+    def mean(a: str) -> Column:
+        mine = [t for t in TESTS if t[0] == a]
+        up = sum((F.coalesce(F.col(t) * WITHIN_PRIORS[t], F.lit(0.0)) for t in mine), F.lit(0.0))
+        return F.try_divide(up, sum((F.when(F.col(t).isNotNull(), WITHIN_PRIORS[t]).otherwise(0.0) for t in mine), F.lit(0.0)))
+
+    return wide.select("*", *(mean(a).alias(a) for a in AXES))
 
-    parts = wide.select("dataset_id", *TESTS).mapInPandas(run, "draw int, test string, m double, s double, sl double")
-    sums = parts.groupBy("draw", "test").agg(*(F.sum(c).alias(c) for c in ("m", "s", "sl")))
-    got = entropy_weights(sums, "draw")
-    return got.groupBy("test").agg(F.avg("weight").alias("mean"), F.stddev("weight").alias("sd"), F.percentile("weight", 0.025).alias("low"), F.percentile("weight", 0.975).alias("high"))
 
+def bootstrap_weights(wide: DataFrame, facts: DataFrame, draws: int = DRAWS, seed: int = 12) -> DataFrame:
+    """Spread of the blended weights of tests (within axes) and of axes over resamples of datasets, stratified by group.
 
-def decision_stability(wide: DataFrame, facts: DataFrame, draws: int = 200, spread: float = 0.2, shift: float = 0.03, seed: int = 20) -> DataFrame:
-    """How often each dataset keeps its decision when weights are drawn around their values and thresholds move.
+    Every dataset counts a Poisson number of times in a draw, and each group's counts are scaled to its size, so every draw
+    has each group at its full weight. A batch gives the sums of all draws at once (one matrix product), which Spark
+    adds up. Gives test (axes by their letter), mean, sd, cv, low, median, high (2.5, 50 and 97.5 %).
+    """
+    columns = (*TESTS, *AXES)
 
-    The draws are made once on the driver (draws x tests numbers) and every dataset is judged under all of them.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for grp, g in b.groupby("grp", dropna=False):
+                w = np.stack([r.poisson(1.0, draws) for r in _seeded(g["dataset_id"], seed)], axis=1).astype(float)
+                x = g[list(columns)].to_numpy(float)
+                have = np.isfinite(x)
+                v = np.where(have, x, 0.0)
+                vl = np.where(v > 0, v * np.log(np.where(v > 0, v, 1.0)), 0.0)
+                k = len(columns)
+                yield pd.DataFrame({
+                    "grp": grp, "draw": np.repeat(np.arange(draws), k), "test": np.tile(columns, draws), "drawn": np.repeat(w.sum(1), k), "size": float(len(g)),
+                    "m": (w @ have).ravel(), "s": (w @ v).ravel(), "sl": (w @ vl).ravel(),
+                })
+
+    rows = with_prior_axes(wide).join(facts.select("dataset_id", F.coalesce("grp", F.lit("")).alias("grp")), "dataset_id")
+    numbers = ("drawn", "size", "m", "s", "sl")
+    parts = rows.select("dataset_id", "grp", *columns).mapInPandas(run, "grp string, draw int, test string, drawn double, size double, m double, s double, sl double")
+    parts = parts.groupBy("draw", "test", "grp").agg(*(F.sum(c).alias(c) for c in numbers))
+    scaled = F.try_divide(F.col("size"), F.col("drawn"))
+    sums = parts.groupBy("draw", "test").agg(*(F.sum(F.col(c) * F.coalesce(scaled, F.lit(0.0))).alias(c) for c in ("m", "s", "sl")))
+    got = blended_weights(entropy_weights(sums, "draw"), "draw")
+    q = lambda p: F.percentile("weight", p)
+    return got.groupBy("test").agg(
+        F.avg("weight").alias("mean"), F.stddev("weight").alias("sd"), F.try_divide(F.stddev("weight"), F.avg("weight")).alias("cv"),
+        q(0.025).alias("low"), q(0.5).alias("median"), q(0.975).alias("high"),
+    )
+
+
+def decision_stability(wide: DataFrame, facts: DataFrame, bounds: DataFrame, draws: int = DRAWS, shift: float = 0.03, seed: int = 20) -> DataFrame:
+    """How often each dataset keeps its decision when weights are drawn from their bounds (test, low, high; axes too)
+
+    and renormalised within their axis, and both thresholds move by up to ``shift`` (exchanged where they cross). The
+    draws are made once on the driver (draws x 24 numbers) and every dataset is judged under all of them.
     """
     rng = np.random.default_rng(seed)
     base = np.array([WITHIN[t] for t in TESTS])
-    within = base * rng.uniform(1 - spread, 1 + spread, (draws, len(TESTS)))
-    axes = np.stack([[AXIS_WEIGHTS[a] for a in "APCI"]] * draws) * rng.uniform(1 - spread, 1 + spread, (draws, 4))
+    held = {r["test"]: (max(0.0, r["low"]), max(0.0, r["low"], r["high"])) for r in fetch_bounded(bounds, 100, "the bounds of weights")}
+    drawn_of = lambda names: np.stack([rng.uniform(*held.get(t, (0.0, 0.0)), draws) for t in names], axis=1)
+    within, axes = drawn_of(TESTS), drawn_of(AXES)
+    axes = axes / axes.sum(1, keepdims=True)
+    for a in AXES:
+        at = [i for i, t in enumerate(TESTS) if t[0] == a]
+        total = within[:, at].sum(1, keepdims=True)
+        within[:, at] = np.where(total > 0, within[:, at] / np.where(total > 0, total, 1.0), 1.0 / len(at))
     admit, reject = 0.75 + rng.uniform(-shift, shift, draws), 0.20 + rng.uniform(-shift, shift, draws)
     admit, reject = np.maximum(admit, reject), np.minimum(admit, reject)
 
