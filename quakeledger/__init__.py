@@ -1,3 +1,7 @@
-"""quakeledger: a PySpark-native engine for auditing and preparing seismic event catalogs."""
+"""Audits of seismic event catalogs and preparation of their data, on PySpark DataFrames."""
 
-__version__ = "0.1.0"
+from quakeledger.audit import Audit
+from quakeledger.catalog import NUMBERS, REQUIRED, SCHEMA, TEXTS, canonical, seconds
+from quakeledger.operators.decision import Thresholds
+
+__all__ = ["NUMBERS", "REQUIRED", "SCHEMA", "TEXTS", "Audit", "Thresholds", "canonical", "seconds"]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quakeledger.operators import subtests as st
-from quakeledger.operators.decision import Thresholds, audit_verdicts
+from quakeledger.operators.decision import Thresholds, audit_verdicts, documents
 from quakeledger.operators.interval import long_form
 from quakeledger.runtime import checkpoint, written
 
@@ -64,6 +64,14 @@ class Audit:
 
     def verdicts(self, cat: DataFrame) -> DataFrame:
         """One row for each catalog (see audit_verdicts). The catalog is materialised once and read by all sub-tests."""
+        return self._audited(cat)[0]
+
+    def documents(self, cat: DataFrame) -> DataFrame:
+        """(catalog_id, document): the verdicts with all that stands behind them (see decision.documents)."""
+        verdicts, results, gates = self._audited(cat)
+        return documents(verdicts, results, gates)
+
+    def _audited(self, cat: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         cat = written(cat)
         a6 = intrinsic = None
         if self.references is not None:
@@ -71,4 +79,5 @@ class Audit:
             a6 = checkpoint(st.a6_external(votes))
             intrinsic = written(cat.join(st.effective_records(votes, a6), ["catalog_id", "record_id"], "left_anti"))
         stats = checkpoint(st.row_stats(cat))
-        return audit_verdicts(self.subtest_rows(cat, intrinsic, stats), stats.select("catalog_id", "n"), st.gates(stats), a6, self.thresholds)
+        results, gates = checkpoint(self.subtest_rows(cat, intrinsic, stats)), st.gates(stats)
+        return audit_verdicts(results, stats.select("catalog_id", "n"), gates, a6, self.thresholds), results, gates

@@ -38,6 +38,7 @@ def main(argv: list[str]) -> int:
     from quakeledger.operators.generators import resampled
     from quakeledger.operators.interval import densify
     from quakeledger.operators.studies import uncertainty
+    from quakeledger.runtime import checkpoint, fetch_bounded
     from quakeledger.sources import files
 
     args = parser().parse_args(argv)
@@ -56,10 +57,11 @@ def main(argv: list[str]) -> int:
     faults = densify(files.read_geojson_faults(spark, args.faults), "line", "i") if args.faults else None
     audit = Audit(references, faults, args.dimension, Thresholds(admit=args.admit, reject=args.reject))
     cat = read(args.input).withColumn("t", seconds())
-    verdicts = audit.verdicts(cat)
-    print(files.report_text(verdicts))
+    documents = checkpoint(audit.documents(cat))
+    for row in fetch_bounded(files.report_text(documents).orderBy("catalog_id"), 10_000, "the report"):
+        print(row["value"])
     if args.out:
-        files.as_json(verdicts).write.mode("overwrite").text(f"{args.out}/verdicts")
+        files.as_json(documents.select("document.*")).write.mode("overwrite").text(f"{args.out}/verdicts")
         if args.replicates:
             files.as_json(uncertainty(audit.verdicts(resampled(cat, args.replicates)))).write.mode("overwrite").text(f"{args.out}/uncertainty")
     return 0

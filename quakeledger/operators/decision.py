@@ -70,12 +70,16 @@ def audit_verdicts(results: DataFrame, facts: DataFrame, gates: DataFrame, a6: D
     covered = F.col("score").isNotNull()
     founded = F.when(covered, (F.coalesce("n_used", F.lit(0)) >= F.col("reliable_n")) & ((F.col("reliable_n") == 0) | F.col("n_used").isNotNull()))
     axis_score = lambda a: weighted_mean(F.when(F.col("axis") == a, F.col("score")), F.col("within"))
+    listed = lambda c: F.transform(  # the heaviest three, of at most 20 tests
+        F.slice(F.array_sort(F.collect_list(F.when(c, F.struct((-F.col("w")).alias("w"), "test")))), 1, 3), lambda x: x["test"]
+    )
     got = (
         rows.withColumn("w", effective).withColumn("covered", covered).withColumn("founded", founded)
         .groupBy("catalog_id", "n", "a6", "n6", "contradicted")
         .agg(
             axis_score("A").alias("intrinsic"), axis_score("P").alias("P"), axis_score("C").alias("C"), axis_score("I").alias("I"),
             F.sum("w").alias("w_all"), F.sum(F.when(covered, F.col("w"))).alias("w_covered"), F.sum(F.when(F.col("founded"), F.col("w"))).alias("w_founded"), F.count_if("covered").alias("tests"),
+            listed(~F.col("covered")).alias("missing"), listed(F.col("covered") & ~F.col("founded")).alias("insufficient"),
         )
     )
     w6 = F.lit(AXIS_WEIGHTS["A"]) * F.col("n6") / F.col("n")
@@ -90,7 +94,7 @@ def audit_verdicts(results: DataFrame, facts: DataFrame, gates: DataFrame, a6: D
     stopped = F.col("fired") | F.col("contradicted")
     got = got.withColumn("trust", F.when(~stopped, F.col("composite")))
     return with_decision(got.withColumn("stopped", stopped), t).select(
-        "catalog_id", "n", "A", "P", "C", "I", "trust", "evidence_coverage", "sample_sufficiency", "n_tests", "fired", "contradicted", "capped_by", "decision"
+        "catalog_id", "n", "A", "P", "C", "I", "trust", "evidence_coverage", "sample_sufficiency", "n_tests", "fired", "contradicted", "capped_by", "decision", "missing", "insufficient"
     )
 
 
@@ -107,3 +111,34 @@ def with_decision(df: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     ungated = F.when(F.col("stopped"), "REJECT").otherwise(stage2(F.col("trust"), t))
     got = df.withColumn("__d", ungated).withColumn("capped_by", F.when(F.col("__d") == "ADMIT", first))
     return got.withColumn("decision", F.when(F.col("capped_by").isNotNull(), "CONDITIONAL").otherwise(F.col("__d"))).drop("__d")
+
+
+def documents(verdicts: DataFrame, results: DataFrame, gates: DataFrame) -> DataFrame:
+    """(catalog_id, document): each verdict with its axes, gates, sub-tests and caveats as one struct, for JSON or text.
+
+    results: long sub-test rows, at most 20 a catalog. A caveat is a sentence for every reason to read the verdict with care.
+    """
+    tests = results.groupBy("catalog_id").agg(F.array_sort(F.collect_list(F.struct("test", "score", "applicable", "n_used"))).alias("tests"))
+    gate = lambda p: F.struct(F.col(f"{p}_k").alias("violations"), F.col(f"{p}_p").alias("probability")).alias(p.upper())
+    bounds = gates.select("catalog_id", F.struct(gate("p1"), gate("p2"), gate("p3")).alias("gates"))
+    says = lambda c, *words: F.when(c, F.concat(*(F.lit(w) if isinstance(w, str) else w for w in words)))
+    caveats = F.array_compact(F.array(
+        says(F.col("fired"), "Values out of bounds are more than errors of measurement explain; the catalog is rejected."),
+        says(F.col("contradicted"), "Outside sources contradict the catalog."),
+        says(F.col("capped_by").isNotNull(), "Trust would admit the catalog, but it is held back by its ", F.col("capped_by"), "."),
+        says(F.size("missing") > 0, "Tests that could not be applied, by weight: ", F.concat_ws(", ", "missing"), "."),
+        says(F.size("insufficient") > 0, "Tests on few records: ", F.concat_ws(", ", "insufficient"), "."),
+    ))
+    axes = F.struct("A", "P", "C", "I")
+    got = verdicts.join(tests, "catalog_id", "left").join(bounds, "catalog_id", "left")
+    document = F.struct(
+        "catalog_id", F.col("n").alias("n_records"), "decision", "trust", axes.alias("axes"), "evidence_coverage", "sample_sufficiency", "n_tests", "gates", "fired", "contradicted",
+        "capped_by", "missing", "insufficient", "tests", caveats.alias("caveats"),
+    )
+    return got.select("catalog_id", document.alias("document"))
+
+
+def empty_catalog(spark: SparkSession, name: str) -> DataFrame:
+    """The verdict on a catalog without records: rejected, with nothing to go by."""
+    schema = "catalog_id string, n long, A double, P double, C double, I double, trust double, evidence_coverage double, sample_sufficiency double, n_tests long, fired boolean, contradicted boolean, capped_by string, decision string, missing array<string>, insufficient array<string>"
+    return spark.createDataFrame([(name, 0, None, None, None, None, None, 0.0, 0.0, 0, False, False, None, "REJECT", [], [])], schema)

@@ -9,7 +9,9 @@ from quakeledger.audit import Audit
 from quakeledger.catalog import CATALOG_SQL, canonical, load, seconds
 from quakeledger.operators import subtests as st
 from quakeledger.operators.interval import densify, positive_gaps, ranked
-from quakeledger.runtime import present, table, written
+from quakeledger.operators.decision import AXIS_WEIGHTS, RELIABLE_N, WITHIN, audit_verdicts
+from quakeledger.runtime import checkpoint, present, table, written
+from quakeledger.sources.files import as_json
 
 
 def catalog(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -79,10 +81,32 @@ def subtest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Audit(faults=faults(spark, sf_dir)).subtest_rows(written(catalog(spark, sf_dir))).withColumn("score", F.round("score", 6))
 
 
+def blend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts from a table of sub-test rows that arithmetic makes of each catalog's size, alike in SQL."""
+    n = F.col("n")
+    facts = checkpoint(catalog(spark, sf_dir).groupBy("catalog_id").agg(F.count("*").alias("n")))
+    h = lambda i: F.pmod(n * (7919 + 104 * i) + 31 * i, F.lit(1000))
+    tests = F.array(*(F.struct(F.lit(t).alias("test"), h(i).alias("h")) for i, t in enumerate(sorted(WITHIN), 1)))
+    rows = facts.select("catalog_id", "n", F.explode(tests).alias("x")).select("catalog_id", "n", "x.*")
+    score = F.when(F.col("h") % 7 != 0, F.col("h") / 1000.0)
+    results = rows.select("catalog_id", "test", score.alias("score"), score.isNotNull().alias("applicable"), F.when(score.isNotNull(), F.pmod(F.col("h"), F.lit(60))).alias("n_used"))
+    gate = facts.select("catalog_id", (n % 17 == 0).alias("fired"))
+    a6 = facts.where(n % 3 == 0).select("catalog_id", ((n % 10) / 10.0).alias("score"), (n % 6 == 0).alias("applicable"), F.floor(n / 3).alias("n_used"), (n % 12 == 0).alias("confirmed"))
+    got = audit_verdicts(results, facts, gate, a6).withColumn("missing", F.concat_ws(",", "missing")).withColumn("insufficient", F.concat_ws(",", "insufficient"))
+    return got.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in got.dtypes))
+
+
+def audit_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2: the whole audit of every catalog as one JSON document each, with sub-tests, gates, missing evidence and caveats."""
+    return as_json(Audit(faults=faults(spark, sf_dir)).documents(catalog(spark, sf_dir)).select("document.*"))
+
+
 T4 = ("origin_time", "latitude", "longitude", "magnitude")
 QUERIES = {
     "audit": audit,
     "audit_referenced": audit_referenced,
+    "audit_documents": audit_documents,
+    "verdict_blend": blend,
     "subtest_scores": subtest_scores,
     "stage1_gates": stage1,
     "gate_counts": lambda s, d: _stats(s, d).select("catalog_id", "n", "p1_k", "p2_k", "p3_k"),
@@ -149,7 +173,43 @@ _REF = """, ref AS (SELECT ref_id, source_id, epoch_us(origin_time) / 1e6 AS t,
 _MATCH = _REF + f""", hit AS (SELECT DISTINCT a.catalog_id, a.record_id, b.source_id FROM cat a JOIN ref b ON b.t BETWEEN a.t - 30 AND a.t + 30 AND abs(a.magnitude - b.magnitude) <= 0.5e0 + 1e-9
   WHERE {DIST} <= 50)"""
 
+_TAIL = """greatest(0e0, 1e0 - coalesce((SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1e0 - {p}))) FROM range(0, {k}) r(i)), 0e0))"""
+_GATES = f"g AS (SELECT catalog_id, count(*) AS n, count(*) FILTER ({_OOB[0]}) AS p1_k, count(*) FILTER ({_OOB[1]}) AS p2_k, count(*) FILTER ({_OOB[2]}) AS p3_k FROM cat GROUP BY catalog_id)"
+_TAILS = ", ".join(f"{_TAIL.format(p='0.001e0', k=f'{p}_k')} AS {p}_p" for p in ("p1", "p2", "p3"))
+_FAULTS = """v AS (SELECT zone_id, i, ring[i].lat AS y, ring[i].lon AS x, ring[i + 1].lat AS y2, ring[i + 1].lon AS x2, len(ring) AS m FROM (SELECT zone_id, list_concat(ring, [ring[1]]) AS ring FROM zones), LATERAL (SELECT unnest(range(1, len(ring) + 1)) AS i)),
+s AS (SELECT *, ((x2 - x + 180 + 720) % 360) - 180 AS dx, CASE WHEN y2 IS NULL THEN 1 ELSE greatest(1, CAST(ceil(2e0 * 6371.0088e0 * asin(sqrt(least(1e0, pow(sin(radians(y2 - y) / 2), 2) + cos(radians(y)) * cos(radians(y2)) * pow(sin(radians(x2 - x) / 2), 2)))) / 10) AS BIGINT)) END AS parts FROM v),
+fp AS (SELECT zone_id, y + coalesce(y2 - y, 0) * k / parts AS latitude, ((x + coalesce(dx, 0) * k / parts + 180 + 720) % 360) - 180 AS longitude FROM s, LATERAL (SELECT unnest(range(0, parts)) AS k))"""
 SQL = {
+    "stage1_gates": _CAT + f", {_GATES}, t AS (SELECT *, {_TAILS} FROM g) SELECT catalog_id, n, p1_k, p2_k, p3_k, round(p1_p, 9) AS p1_p, round(p2_p, 9) AS p2_p, round(p3_p, 9) AS p3_p, least(p1_p, p2_p, p3_p) < 0.01e0 / 3 AS fired FROM t",
+    "subtest_p8_proximity": _CAT + f""", {_FAULTS}, f AS (SELECT latitude, longitude, CAST(floor(latitude) AS INT) AS cy, (CAST(floor(longitude) AS INT) + 720) % 360 AS cx FROM fp),
+      a AS (SELECT catalog_id, record_id, latitude, longitude, CAST(floor(latitude) AS INT) AS cy, (CAST(floor(longitude) AS INT) + 720) % 360 AS cx FROM cat WHERE latitude IS NOT NULL AND longitude IS NOT NULL AND abs(latitude) <= 90),
+      ring AS (SELECT p.cy, p.cx, q.cy AS fy, q.cx AS fx, greatest(abs(p.cy - q.cy), least(abs(p.cx - q.cx), 360 - abs(p.cx - q.cx))) AS ring FROM (SELECT DISTINCT cy, cx FROM a) p, (SELECT DISTINCT cy, cx FROM f) q),
+      near AS (SELECT * FROM (SELECT *, min(ring) OVER (PARTITION BY cy, cx) AS first FROM ring WHERE ring <= 25) WHERE ring <= first + 1),
+      best AS (SELECT a.catalog_id, a.record_id, min({DIST}) AS km FROM a JOIN near ON a.cy = near.cy AND a.cx = near.cx JOIN f b ON b.cy = near.fy AND b.cx = near.fx GROUP BY ALL),
+      d AS (SELECT catalog_id, coalesce(km, 5000e0) AS km FROM a LEFT JOIN best USING (catalog_id, record_id))
+      SELECT catalog_id, round(avg(exp(-km / 300e0)), 6) AS score, true AS applicable, count(*) AS n_used, round(avg(km), 6) AS mean_km FROM d GROUP BY catalog_id""",
+    "i1_drift": _CAT + """, r AS (SELECT catalog_id, t / 86400e0 AS t, magnitude AS m, row_number() OVER w AS rn, count(*) OVER (PARTITION BY catalog_id) AS n FROM cat WHERE magnitude IS NOT NULL AND t IS NOT NULL WINDOW w AS (PARTITION BY catalog_id ORDER BY cat.t, record_id)),
+      x AS (SELECT * FROM r WHERE n >= 30 AND (n <= 2000 OR floor(ceil((rn - 1) * 1999e0 / (n - 1)) * (n - 1) / 1999e0) = rn - 1)), k AS (SELECT catalog_id, n, count(*) AS k FROM x GROUP BY ALL),
+      ties AS (SELECT catalog_id, sum(c * (c - 1) * (2 * c + 5)) AS tie FROM (SELECT catalog_id, count(*) AS c FROM x GROUP BY catalog_id, m) GROUP BY 1),
+      p AS (SELECT a.catalog_id, CAST(sum(sign(b.m - a.m)) AS DOUBLE) AS s, median((b.m - a.m) / (b.t - a.t)) FILTER (b.t <> a.t) * 3652.5e0 AS slope FROM x a JOIN x b ON a.catalog_id = b.catalog_id AND b.rn > a.rn GROUP BY 1),
+      z AS (SELECT catalog_id, n, s, slope, CASE WHEN s = 0 OR k * (k - 1) * (2 * k + 5) - tie <= 0 THEN 0e0 ELSE (s - sign(s)) / sqrt((k * (k - 1) * (2 * k + 5) - tie) / 18e0) END AS z FROM k JOIN ties USING (catalog_id) JOIN p USING (catalog_id))
+      SELECT catalog_id, round(CASE WHEN slope IS NOT NULL THEN CASE WHEN abs(z) > 1.96e0 THEN least(1e0, greatest(0e0, 1e0 - abs(slope) / 0.05e0)) ELSE 1e0 END END, 6) AS score, slope IS NOT NULL AS applicable, n AS n_used, s, round(z, 6) AS z, round(slope, 6) AS slope FROM z""",
+    "verdict_blend": _CAT + f""", facts AS (SELECT catalog_id, count(*) AS n FROM cat GROUP BY 1),
+      w(i, test, axis, aw, iw, reliable) AS (VALUES {", ".join(f"({i}, '{t}', '{t[0]}', {AXIS_WEIGHTS[t[0]]!r}::DOUBLE, {WITHIN[t]!r}::DOUBLE, {RELIABLE_N.get(t, 0)})" for i, t in enumerate(sorted(WITHIN), 1))}),
+      f6 AS (SELECT catalog_id, n, CASE WHEN n % 6 = 0 THEN (n % 10) / 10e0 END AS a6, CASE WHEN n % 6 = 0 THEN n // 3 ELSE 0 END AS n6, n % 12 = 0 AS contradicted, n % 17 = 0 AS fired FROM facts),
+      r AS (SELECT *, (n * (7919 + 104 * i) + 31 * i) % 1000 AS h FROM f6, w), q AS (SELECT *, CASE WHEN h % 7 <> 0 THEN h / 1000e0 END AS score, h % 60 AS used, aw * iw * CASE WHEN axis = 'A' THEN 1e0 - n6 / n ELSE 1e0 END AS ew FROM r),
+      g AS (SELECT catalog_id, n, a6, n6, contradicted, fired,
+        {", ".join(f"sum(iw * score) FILTER (axis = '{a}') / nullif(sum(iw) FILTER (axis = '{a}' AND score IS NOT NULL), 0) AS x{a}" for a in "APCI")},
+        sum(ew) AS w_all, coalesce(sum(ew) FILTER (score IS NOT NULL), 0) AS w_cov, coalesce(sum(ew) FILTER (score IS NOT NULL AND used >= reliable), 0) AS w_fou, count(score) AS tests,
+        array_to_string((list(test ORDER BY ew DESC, test) FILTER (score IS NULL))[1:3], ',') AS missing, array_to_string((list(test ORDER BY ew DESC, test) FILTER (score IS NOT NULL AND used < reliable))[1:3], ',') AS insufficient FROM q GROUP BY ALL),
+      b AS (SELECT *, CASE WHEN a6 IS NULL THEN xA WHEN xA IS NOT NULL AND n6 < n THEN (n6 * a6 + (n - n6) * xA) / n ELSE a6 END AS A, {AXIS_WEIGHTS['A']!r}::DOUBLE * n6 / n AS w6 FROM g),
+      c AS (SELECT *, (w_cov + w6) / nullif(w_all + w6, 0) AS ec, (w_fou + w6) / nullif(w_cov + w6, 0) AS ss, tests + (a6 IS NOT NULL)::INT AS nt,
+        ({" + ".join(f"coalesce({v} * {AXIS_WEIGHTS[a]!r}::DOUBLE, 0)" for a, v in zip("APCI", ("A", "xP", "xC", "xI")))}) / nullif({" + ".join(f"CASE WHEN {v} IS NOT NULL THEN {AXIS_WEIGHTS[a]!r}::DOUBLE ELSE 0 END" for a, v in zip("APCI", ("A", "xP", "xC", "xI")))}, 0) AS t FROM b),
+      d AS (SELECT *, CASE WHEN NOT (fired OR contradicted) THEN t END AS trust FROM c),
+      e AS (SELECT *, CASE WHEN fired OR contradicted THEN 'REJECT' WHEN trust >= 0.75e0 THEN 'ADMIT' WHEN trust >= 0.2e0 THEN 'CONDITIONAL' ELSE 'REJECT' END AS d0,
+        CASE WHEN ec < 0.5e0 THEN 'coverage' WHEN ss < 0.5e0 THEN 'sufficiency' WHEN n < 50 THEN 'records' WHEN nt < 8 THEN 'tests' END AS cap FROM d)
+      SELECT catalog_id, n, round(A, 6) AS A, round(xP, 6) AS P, round(xC, 6) AS C, round(xI, 6) AS I, round(trust, 6) AS trust, round(ec, 6) AS evidence_coverage, round(ss, 6) AS sample_sufficiency, nt AS n_tests, fired, contradicted,
+        CASE WHEN d0 = 'ADMIT' THEN cap END AS capped_by, CASE WHEN d0 = 'ADMIT' AND cap IS NOT NULL THEN 'CONDITIONAL' ELSE d0 END AS decision, coalesce(missing, '') AS missing, coalesce(insufficient, '') AS insufficient FROM e""",
     "gate_counts": _CAT + f"SELECT catalog_id, count(*) AS n, count(*) FILTER ({_OOB[0]}) AS p1_k, count(*) FILTER ({_OOB[1]}) AS p2_k, count(*) FILTER ({_OOB[2]}) AS p3_k FROM cat GROUP BY catalog_id",
     "quarantine": _CAT + f"SELECT catalog_id, record_id, {_OOB[0]} AS p1, {_OOB[1]} AS p2, {_OOB[2]} AS p3 FROM cat WHERE ({_OOB[0]}) OR ({_OOB[1]}) OR ({_OOB[2]})",
     "a1_benford": _CAT + """, v AS (

@@ -14,10 +14,11 @@ from quakeledger.functions.scalars import aftershock_radius_km, comparison_level
 from quakeledger.functions.tails import binomial_lower, binomial_upper
 from quakeledger.operators import generators as gen
 from quakeledger.operators import studies
+from quakeledger.operators import subtests as st
 from quakeledger.operators.subtests import a6_external
 from quakeledger.plans.audit_queries import bulletin, catalog, faults, references
-from quakeledger.plans.audit_queries import T4, _stats, _votes
-from quakeledger.runtime import checkpoint, ensure_checkpoint_dir, fetch_bounded, table, written
+from quakeledger.plans.audit_queries import _FAULTS, _GATES, _TAIL, DIST, T4, _stats, _votes
+from quakeledger.runtime import checkpoint, ensure_checkpoint_dir, fetch_bounded, present, table, written
 from quakeledger.sources import files
 from quakeledger.streaming.incremental import daily_gate_counts, read_deliveries, run_to_end
 
@@ -38,6 +39,16 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("catalog_id", "record_id", "origin_time", "latitude", "longitude", "depth_km", "magnitude", "seismic_moment_n_m", F.nullif(F.trim("source"), F.lit("")).alias("source"))
 
 
+def csv_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All deliveries of event_records as a CSV without ids; equal rows are records of their own."""
+    to = _folder(spark)
+    rows = table(spark, sf_dir, "event_records").select("catalog_id", "origin_time", *(present(c).alias(c) for c in ("latitude", "longitude", "depth_km", "magnitude")))
+    rows.withColumn("origin_time", F.date_format("origin_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).write.csv(to, header=True)
+    cat = checkpoint(files.read_csv(spark, to).withColumn("t", seconds()))
+    a5 = st.a5_duplicates(cat).select("catalog_id", F.col("n_flagged"), F.round("score", 6).alias("a5"))
+    return st.p7_timestamps(cat).select("catalog_id", "n_used", "n_repeated", F.round("score", 6).alias("p7")).join(a5, "catalog_id")
+
+
 def raw_bulletin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """local_bulletin as a messy file would have it: other headers, split times, units and types inside texts."""
     t = table(spark, sf_dir, "local_bulletin").dropDuplicates(["report_id"])
@@ -188,6 +199,7 @@ QUERIES = {
     "record_scalars": record_scalars,
     "enrich_by_identifier": enriched,
     "top_unmeasured": top_unmeasured,
+    "source_csv_duplicates": csv_duplicates,
     "fault_points": lambda s, d: faults(s, d).groupBy("zone_id").agg(F.count("*").alias("n_points"), F.round(F.avg("latitude"), 4).alias("latitude")),
     "gate_sweep": gate_sweep,
     "authenticity_sweep": authenticity_sweep,
@@ -198,13 +210,23 @@ QUERIES = {
     "case_agencies_merged": agencies_merged,
     "uncertainty": uncertainty,
     "stream_daily_gates": stream_daily,
-    "audit_json": lambda s, d: files.as_json(_stats(s, d)),
+    "row_stats_json": lambda s, d: files.as_json(_stats(s, d)),
 }
 
 _CAT = "WITH " + CATALOG_SQL + " "
 _OOB = ("coalesce(abs(latitude) > 90, false) OR coalesce(abs(longitude) > 180, false)", "coalesce(NOT (depth_km BETWEEN -5 AND 750), false)", "coalesce(NOT (magnitude BETWEEN -2.5e0 AND 9.5e0), false)")
 _W = "3.841458820694124e0"
 SQL = {
+    "gate_sweep": _CAT + f""", {_GATES}, tol(tolerance) AS (VALUES (0.001e0), (0.0005e0), (0.0002e0), (0.0001e0), (0.00005e0), (0.00001e0)),
+      x AS (SELECT *, least({", ".join(_TAIL.format(p="tolerance", k=f"p{i}_k") for i in (1, 2, 3))}) AS p FROM g, tol)
+      SELECT tolerance, count(*) AS n_catalogs, count(*) FILTER (p < 0.01e0 / 3) AS n_stopped FROM x GROUP BY 1""",
+    "fault_points": f"WITH {_FAULTS} SELECT zone_id, count(*) AS n_points, round(avg(latitude), 4) AS latitude FROM fp GROUP BY zone_id",
+    "source_csv_duplicates": f"""WITH cat AS (SELECT catalog_id, epoch_us(origin_time) / 1e6 AS t, {", ".join(f"CASE WHEN isfinite({c}) THEN {c} END AS {c}" for c in ("latitude", "longitude", "magnitude"))} FROM event_records),
+      e AS (SELECT row_number() OVER () AS e, * FROM (SELECT catalog_id, t, latitude, longitude, magnitude, count(*) AS copies FROM cat WHERE t IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL AND magnitude IS NOT NULL GROUP BY ALL)),
+      near AS (SELECT DISTINCT a.e FROM e a JOIN e b ON a.catalog_id = b.catalog_id AND a.e <> b.e AND abs(a.t - b.t) <= 5 AND abs(a.magnitude - b.magnitude) <= 0.05e0 + 1e-9 WHERE {DIST} <= 2),
+      fl AS (SELECT catalog_id, CAST(sum(copies) AS BIGINT) AS n_flagged FROM e WHERE copies > 1 OR e IN (SELECT e FROM near) GROUP BY catalog_id),
+      p AS (SELECT catalog_id, count(*) AS n_all, count(t) AS n, count(DISTINCT t) AS d FROM cat GROUP BY 1)
+      SELECT catalog_id, n AS n_used, n - d AS n_repeated, round(CASE WHEN n >= 2 THEN d / n END, 6) AS p7, coalesce(n_flagged, 0) AS n_flagged, round(CASE WHEN n_all < 2 THEN 1e0 ELSE 1e0 - coalesce(n_flagged, 0) / n_all END, 6) AS a5 FROM p LEFT JOIN fl USING (catalog_id) WHERE n > 0""",
     "source_csv_round_trip": _CAT + "SELECT DISTINCT catalog_id, record_id, origin_time, latitude, longitude, depth_km, magnitude, seismic_moment_n_m, nullif(trim(source), '') AS source FROM cat",
     "source_geojson_round_trip": """SELECT ref_id, CAST(floor(epoch_us(origin_time) / 1000) AS BIGINT) AS ms, CASE WHEN isfinite(latitude) THEN latitude END AS latitude, CASE WHEN isfinite(longitude) THEN ((longitude + 180 + 720) % 360) - 180 END AS longitude,
       CASE WHEN isfinite(magnitude) THEN magnitude END AS magnitude, source_id FROM reference_events WHERE origin_time IS NOT NULL""",

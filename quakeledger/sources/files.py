@@ -211,13 +211,16 @@ def append_new(scores: DataFrame, path: str, key: str = "dataset_id") -> int:
     return n
 
 
-def report_text(verdicts: DataFrame, most: int = 10_000) -> str:
-    """K3: a line a catalog in words, for at most ``most`` catalogs."""
-    from quakeledger.runtime import fetch_bounded
-
-    lines = []
-    for r in sorted(fetch_bounded(verdicts, most, "the report"), key=lambda r: r["catalog_id"] or ""):
-        why = "a bound was broken" if r["fired"] else "outside sources contradict it" if r["contradicted"] else f"held back by {r['capped_by']}" if r["capped_by"] else ""
-        trust = "-" if r["trust"] is None else f"{r['trust']:.3f}"
-        lines.append(f"{r['catalog_id']}: {r['decision']} (n {r['n']}, trust {trust}, tests {r['n_tests']}){' - ' + why if why else ''}")
-    return "\n".join(lines)
+def report_text(documents: DataFrame) -> DataFrame:
+    """K3: (catalog_id, value): each audit document in words, one text a catalog."""
+    d = lambda f: F.col(f"document.{f}")
+    number = lambda c, digits=3: F.coalesce(F.format_number(c, digits), F.lit("-"))
+    axes = F.concat_ws(", ", *(F.concat(F.lit(f"{a} "), number(d(f"axes.{a}"))) for a in "APCI"))
+    head = F.concat(d("catalog_id"), F.lit(": "), d("decision"), F.lit(" (trust "), number(d("trust")), F.lit(", "), d("n_records").cast("string"), F.lit(" records)"))
+    body = F.concat(F.lit("  axes: "), axes, F.lit("; evidence "), number(d("evidence_coverage")), F.lit(", sufficiency "), number(d("sample_sufficiency")), F.lit(f", tests "), d("n_tests").cast("string"))
+    gate = lambda p: F.concat(F.lit(f"{p} "), d(f"gates.{p}.violations").cast("string"))
+    gates = F.concat(F.lit("  out of bounds: "), F.concat_ws(", ", gate("P1"), gate("P2"), gate("P3")))
+    tests = F.concat_ws("\n", F.transform(d("tests"), lambda t: F.concat(F.lit("  "), t["test"], F.lit(" "), F.when(t["applicable"], number(t["score"])).otherwise("does not apply"))))
+    caveats = F.concat_ws("\n", F.transform(d("caveats"), lambda c: F.concat(F.lit("  ! "), c)))
+    lines = (head, body, gates, F.nullif(tests, F.lit("")), F.nullif(caveats, F.lit("")))
+    return documents.select("catalog_id", F.concat_ws("\n", *lines).alias("value"))
