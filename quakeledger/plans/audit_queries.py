@@ -81,6 +81,21 @@ def subtest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Audit(faults=faults(spark, sf_dir)).subtest_rows(written(catalog(spark, sf_dir))).withColumn("score", F.round("score", 6))
 
 
+def _fixed_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes of all sources with an error of mc of 0.3 each, which SQL can tell (the bootstrap's error it can't)."""
+    refs = references(spark, sf_dir)
+    mc = st.magnitude_bins(refs.select(F.col("source_id").alias("catalog_id"), "magnitude")).select(
+        F.col("catalog_id").alias("source_id"), F.greatest("mc", F.lit(st.LEAST_REFERENCE_MC)).alias("mc"), F.lit(st.DEFAULT_MC_ERROR).alias("mc_se"), F.lit(False).alias("is_default")
+    )
+    return st.source_votes(bulletin(spark, sf_dir, *T4), refs, mc)
+
+
+def a6_vote_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By network the sources that cover, match and corroborate its records, and the weighted votes."""
+    n = [F.sum(c).alias(c) for c in ("n_queried", "n_matched", "n_corroborating")]
+    return _fixed_votes(spark, sf_dir).groupBy("catalog_id").agg(*n, F.round(F.sum("weighted"), 6).alias("weighted"))
+
+
 def blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts from a table of sub-test rows that arithmetic makes of each catalog's size, alike in SQL."""
     n = F.col("n")
@@ -107,6 +122,8 @@ QUERIES = {
     "audit_referenced": audit_referenced,
     "audit_documents": audit_documents,
     "verdict_blend": blend,
+    "a6_vote_sums": a6_vote_sums,
+    "a6_states": lambda s, d: _r(st.a6_external(_fixed_votes(s, d)), "n_used", "n_stratum", "n_corroborated", "n_eligible", "confirmed", "p_value"),
     "subtest_scores": subtest_scores,
     "stage1_gates": stage1,
     "gate_counts": lambda s, d: _stats(s, d).select("catalog_id", "n", "p1_k", "p2_k", "p3_k"),
@@ -173,6 +190,13 @@ _REF = """, ref AS (SELECT ref_id, source_id, epoch_us(origin_time) / 1e6 AS t,
 _MATCH = _REF + f""", hit AS (SELECT DISTINCT a.catalog_id, a.record_id, b.source_id FROM cat a JOIN ref b ON b.t BETWEEN a.t - 30 AND a.t + 30 AND abs(a.magnitude - b.magnitude) <= 0.5e0 + 1e-9
   WHERE {DIST} <= 50)"""
 
+_BULLETIN = "WITH cat AS (SELECT DISTINCT network AS catalog_id, report_id AS record_id, epoch_us(origin_time) / 1e6 AS t, CASE WHEN isfinite(latitude) THEN latitude END AS latitude, CASE WHEN isfinite(longitude) THEN longitude END AS longitude, CASE WHEN isfinite(magnitude) THEN magnitude END AS magnitude FROM local_bulletin)"
+_FIXED = _BULLETIN + _MATCH + """, rm AS (SELECT source_id, magnitude FROM ref WHERE magnitude IS NOT NULL), re AS (SELECT source_id, min(magnitude) AS low, max(magnitude) AS high, count(*) AS n FROM rm GROUP BY 1),
+  rb AS (SELECT source_id, CAST(floor((magnitude - low) / 0.1e0 + 1e-9) AS BIGINT) AS bin, count(*) AS c FROM rm JOIN re USING (source_id) GROUP BY ALL),
+  src AS (SELECT source_id, greatest(4.5e0, CASE WHEN low = high THEN low ELSE low + bin * 0.1e0 END) AS mc FROM re JOIN (SELECT source_id, bin FROM rb QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY c DESC, bin) = 1) USING (source_id)),
+  wsrc AS (SELECT *, (1e0 / mc) / sum(1e0 / mc) OVER () AS w FROM src),
+  v AS (SELECT c.catalog_id, c.record_id, c.magnitude, count(*) FILTER (coalesce(c.magnitude >= mc + 0.3e0, false)) AS nq, count(*) FILTER (coalesce(c.magnitude >= mc + 0.3e0, false) AND h.source_id IS NOT NULL) AS nm,
+    count(h.source_id) AS nc, coalesce(sum(w) FILTER (h.source_id IS NOT NULL), 0) AS wt FROM cat c CROSS JOIN wsrc LEFT JOIN hit h ON h.catalog_id = c.catalog_id AND h.record_id = c.record_id AND h.source_id = wsrc.source_id GROUP BY c.catalog_id, c.record_id, c.t, c.latitude, c.longitude, c.magnitude)"""
 _TAIL = """greatest(0e0, 1e0 - coalesce((SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1e0 - {p}))) FROM range(0, {k}) r(i)), 0e0))"""
 _GATES = f"g AS (SELECT catalog_id, count(*) AS n, count(*) FILTER ({_OOB[0]}) AS p1_k, count(*) FILTER ({_OOB[1]}) AS p2_k, count(*) FILTER ({_OOB[2]}) AS p3_k FROM cat GROUP BY catalog_id)"
 _TAILS = ", ".join(f"{_TAIL.format(p='0.001e0', k=f'{p}_k')} AS {p}_p" for p in ("p1", "p2", "p3"))
@@ -232,6 +256,11 @@ SQL = {
       SELECT catalog_id, round(CASE WHEN n < 2 THEN 1e0 ELSE 1e0 - coalesce(n_flagged, 0) / n END, 6) AS score, true AS applicable, coalesce(n_flagged, 0) AS n_flagged FROM (SELECT catalog_id, count(*) AS n FROM cat GROUP BY 1) LEFT JOIN fl USING (catalog_id)""",
     "a6_source_mc": "WITH " + _REF[2:] + ", cat AS (SELECT source_id AS catalog_id, magnitude FROM ref)" + _MC + "SELECT s.source_id, round(CASE WHEN mc IS NULL THEN 4.5e0 ELSE greatest(mc, 4.5e0) END, 6) AS mc, mc IS NULL AS is_default FROM (SELECT DISTINCT source_id FROM ref) s LEFT JOIN mc ON mc.catalog_id = s.source_id",
     "a6_matches": "WITH cat AS (SELECT DISTINCT network AS catalog_id, report_id AS record_id, epoch_us(origin_time) / 1e6 AS t, CASE WHEN isfinite(latitude) THEN latitude END AS latitude, CASE WHEN isfinite(longitude) THEN longitude END AS longitude, CASE WHEN isfinite(magnitude) THEN magnitude END AS magnitude FROM local_bulletin)" + _MATCH + " SELECT * FROM hit",
+    "a6_vote_sums": _FIXED + " SELECT catalog_id, CAST(sum(nq) AS BIGINT) AS n_queried, CAST(sum(nm) AS BIGINT) AS n_matched, CAST(sum(nc) AS BIGINT) AS n_corroborating, round(sum(wt), 6) AS weighted FROM v GROUP BY 1",
+    "a6_states": _FIXED + """, g AS (SELECT catalog_id, count(*) AS n_stratum, count(*) FILTER (nm >= 1) AS co, count(*) FILTER (nm = 0 AND nq >= 2) AS el FROM v WHERE nq > 0 GROUP BY 1),
+      p AS (SELECT *, CASE WHEN co + el >= 20 THEN (SELECT sum(exp(lgamma(co + el + 1) - lgamma(i + 1) - lgamma(co + el - i + 1) + (co + el) * ln(0.5e0))) FROM range(0, co + 1) r(i)) END AS p FROM g),
+      z AS (SELECT *, coalesce(p < 0.01e0, false) AS confirmed, co + CASE WHEN coalesce(p < 0.01e0, false) THEN el ELSE 0 END AS ne FROM p)
+      SELECT catalog_id, round(CASE WHEN ne > 0 THEN co / ne END, 6) AS score, ne > 0 AS applicable, ne AS n_used, n_stratum, co AS n_corroborated, el AS n_eligible, confirmed, round(p, 6) AS p_value FROM z""",
     "subtest_p4_tsunami": _CAT + """SELECT catalog_id, round(CASE WHEN known > 0 THEN CASE WHEN n = 0 THEN 1e0 ELSE 1e0 - k / n END END, 6) AS score, known > 0 AS applicable, n AS n_used, k AS n_violations FROM (
       SELECT catalog_id, count(tsunami_flag) AS known, count(*) FILTER (tsunami_flag > 0.5e0) AS n, count(*) FILTER (tsunami_flag > 0.5e0 AND magnitude IS NOT NULL AND depth_km IS NOT NULL AND NOT (magnitude >= 6.5e0 AND depth_km <= 100)) AS k FROM cat GROUP BY catalog_id)""",
     "subtest_p5_rupture": _share("rupture_length_km IS NOT NULL AND magnitude IS NOT NULL", """abs(log10(greatest(rupture_length_km, 1e-6)) - (CASE mechanism WHEN 'strike-slip' THEN -3.55e0 + 0.74e0 * magnitude WHEN 'reverse' THEN -2.86e0 + 0.63e0 * magnitude

@@ -14,6 +14,7 @@ from quakeledger.functions.scalars import aftershock_radius_km, comparison_level
 from quakeledger.functions.tails import binomial_lower, binomial_upper
 from quakeledger.operators import generators as gen
 from quakeledger.operators import studies
+from quakeledger.operators.corpus import same_members
 from quakeledger.operators import subtests as st
 from quakeledger.operators.subtests import a6_external
 from quakeledger.plans.audit_queries import bulletin, catalog, faults, references
@@ -154,6 +155,38 @@ def agencies_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", F.round("t", 3).alias("t"), "magnitude")
 
 
+def aftershock_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C17x: the forecasts of all catalogs in six corruptions at three severities, about the clean catalogs' shocks."""
+    cat = written(catalog(spark, sf_dir, *T4, "depth_km"))
+    variants = written(gen.corrupted_variants(cat, severities=("low", "medium", "high")).withColumn("t", seconds()))
+    return _r(studies.aftershock_forecast(variants, anchors=checkpoint(studies.largest_events(cat))))
+
+
+def merge_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C18x: for the two largest reference sources the b-values of each, of their naive and of their deduplicated union, the
+
+    share of duplicates that I4 expects in the naive union against the one-to-one matches over the smaller source, and
+    whether both hold the same events (a reference that is compared with itself).
+    """
+    r = references(spark, sf_dir).where("t IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL AND magnitude IS NOT NULL AND source_id IS NOT NULL")
+    r = checkpoint(r.select(F.col("source_id").alias("source"), F.col("ref_id").alias("id"), "t", "latitude", "longitude", "magnitude"))
+    first, second = (x["source"] for x in r.groupBy("source").count().orderBy(F.desc("count"), "source").limit(2).collect())
+    one, two = (r.where(F.col("source") == x) for x in (first, second))
+    matches = checkpoint(studies.one_to_one(one.drop("source"), two.drop("source")))
+    tables = {"first": one, "second": two, "naive": one.unionByName(two), "merged": studies.merged(one, two, matches)}
+    rows = None
+    for name, x in tables.items():
+        x = x.select(F.lit(name).alias("catalog_id"), F.col("id").alias("record_id"), "t", "latitude", "longitude", "magnitude", "source")
+        rows = x if rows is None else rows.unionByName(x)
+    rows = checkpoint(rows)
+    b = st.b_values(rows).select("catalog_id", "n", "mc", "b", "shi_bolt")
+    i4 = st.i4_dedup(rows).select("catalog_id", (1 - F.col("score")).alias("i4_duplicates"))
+    sizes = [x.count() for x in (one, two)]
+    matched = F.lit(matches.count() / max(1, min(sizes)))
+    same = same_members(one.select("t", "latitude", "longitude", "magnitude").withColumn("k", F.xxhash64("t", "latitude", "longitude", "magnitude")), two.withColumn("k", F.xxhash64("t", "latitude", "longitude", "magnitude")), "k")
+    return _r(b.join(i4, "catalog_id", "left").withColumn("matched", matched).withColumn("circular", F.lit(same)))
+
+
 #: Replicates of R2.
 REPLICATES = 100
 
@@ -207,7 +240,9 @@ QUERIES = {
     "fabrication_ladder": ladder,
     "case_b_value_shift": corrupted_audit,
     "case_aftershock_forecast": lambda s, d: _r(studies.aftershock_forecast(catalog(s, d, *T4))),
+    "case_aftershock_battery": aftershock_battery,
     "case_agencies_merged": agencies_merged,
+    "case_merge_study": merge_study,
     "uncertainty": uncertainty,
     "stream_daily_gates": stream_daily,
     "row_stats_json": lambda s, d: files.as_json(_stats(s, d)),
