@@ -14,6 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quakeledger.operators.interval import ranked
+from quakeledger.runtime import checkpoint
+
 EARTH_RADIUS_KM = 6371.0
 #: Triangles held in one broadcast hierarchy (about 25 MB); more are processed block by block.
 BLOCK_TRIANGLES = 200_000
@@ -273,19 +276,24 @@ class TriangleTree:
         c, px, py = self.corners[t], x[p], y[p]
         s = [self._side(c[:, i], c[:, (i + 1) % 3], px, py) for i in range(3)]
         inside = (np.minimum.reduce(s) >= 0) | (np.maximum.reduce(s) <= 0)
-        for i in np.nonzero(inside)[0] if self.rings else ():
-            if (ring := self.rings.get(t[i])) is not None:
-                inside[i] = even_odd(*ring, px[i], py[i])
+        for k, ring in self.rings.items():
+            here = np.nonzero(inside & (t == k))[0]
+            inside[here] = even_odd(*ring, px[here], py[here])
         return p[inside], self.region[t[inside]]
 
 
-def even_odd(rx: np.ndarray, ry: np.ndarray, x: float, y: float) -> bool:
-    """Whether a ray from the point crosses the ring an odd number of times."""
+def even_odd(rx: np.ndarray, ry: np.ndarray, x: np.ndarray, y: np.ndarray, most: int = 4_000_000) -> np.ndarray:
+    """Whether a ray from each point crosses the ring an odd number of times; at most ``most`` crossings are tried at once."""
+    x, y = np.atleast_1d(x), np.atleast_1d(y)
     bx, by = np.roll(rx, -1), np.roll(ry, -1)
-    over = (ry > y) != (by > y)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        at = rx + (y - ry) * (bx - rx) / (by - ry)
-    return bool((over & (x < at)).sum() % 2)
+    out = np.zeros(len(x), bool)
+    for part in np.array_split(np.arange(len(x)), max(1, len(x) * len(rx) // most)):
+        px, py = x[part, None], y[part, None]
+        over = (ry > py) != (by > py)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            at = rx + (py - ry) * (bx - rx) / (by - ry)
+        out[part] = (over & (px < at)).sum(axis=1) % 2 == 1
+    return out
 
 
 def assign_regions(
@@ -294,27 +302,28 @@ def assign_regions(
     """(region_id, id) for each point inside a region, each once.
 
     The triangles are counted first. Up to ``block_triangles`` form one hierarchy, which is broadcast (its size is
-    bounded by that parameter); more are cut by range of their centre into blocks of about that size, each block being
-    matched with all points in turn, so nothing is dropped and no broadcast exceeds the bound. Points never shuffle
+    bounded by that parameter); more are dealt by the rank of their centres' longitude into blocks of that size, each of
+    which is matched with the points in its span of longitudes, so nothing is dropped and no broadcast exceeds the bound. Points never shuffle
     before the match; only matches do, to count shared edges, duplicate deliveries and both sides of the antimeridian
     once. Invalid places and null keys are no matches; empty tables give an empty result.
     """
     spark = points.sparkSession
-    tri = triangulate(regions, region_key, ring)
+    tri = checkpoint(triangulate(regions, region_key, ring))  # ears are clipped once
     n = tri.count()
-    blocks = [tri]
-    if n > block_triangles:
-        parts = -(-n // block_triangles)
-        cuts = tri.selectExpr("x0 + x1 + x2 AS c").approxQuantile("c", [i / parts for i in range(1, parts)], 0.0)
-        edges = [float("-inf"), *sorted(set(cuts)), float("inf")]
-        c = F.col("x0") + F.col("x1") + F.col("x2")
-        blocks = [tri.where((c > a) & (c <= b)) for a, b in zip(edges, edges[1:])]
     places = points.where(valid_place(lat, lon) & F.col(key).isNotNull()).select(
         F.col(key).alias("id"), F.col(lon).cast("double").alias("x"), F.col(lat).cast("double").alias("y")
     )
+    blocks = [(tri, places)]
+    if n > block_triangles:
+        corners = ("x0", "x1", "x2")
+        order = ["c", "region_id", "x0", "y0", "x1", "y1"]
+        dealt = ranked(tri.withColumn("c", F.col("x0") + F.col("x1") + F.col("x2")).withColumn("all", F.lit(0)), "all", order)
+        dealt = checkpoint(dealt.withColumn("block", F.floor((F.col("rn") - 1) / block_triangles)).drop("all", "c", "rn", "n"))
+        spans = dealt.groupBy("block").agg(F.min(F.least(*corners)).alias("a"), F.max(F.greatest(*corners)).alias("b")).orderBy("block").collect()  # n / block_triangles rows
+        blocks = [(dealt.where(F.col("block") == r["block"]).drop("block"), places.where(F.col("x").between(r["a"], r["b"]))) for r in spans]
     id_type = dict(places.dtypes)["id"]
     found = []
-    for block in blocks:
+    for block, near in blocks:
         tree = spark.sparkContext.broadcast(TriangleTree(block.toPandas()))
 
         def run(batches: Iterator[pd.DataFrame], tree=tree) -> Iterator[pd.DataFrame]:
@@ -322,7 +331,7 @@ def assign_regions(
                 p, region = tree.value.regions_of(b["x"].to_numpy(float), b["y"].to_numpy(float))
                 yield pd.DataFrame({"region_id": region, "id": b["id"].to_numpy()[p]}).drop_duplicates()
 
-        found.append(places.mapInPandas(run, f"region_id long, id {id_type}"))
+        found.append(near.mapInPandas(run, f"region_id long, id {id_type}"))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
