@@ -14,7 +14,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quakeledger.operators.interval import ranked
 from quakeledger.runtime import checkpoint
 
 EARTH_RADIUS_KM = 6371.0
@@ -315,6 +314,8 @@ def assign_regions(
     )
     blocks = [(tri, places)]
     if n > block_triangles:
+        from quakeledger.operators.interval import ranked  # which itself needs distances
+
         corners = ("x0", "x1", "x2")
         order = ["c", "region_id", "x0", "y0", "x1", "y1"]
         dealt = ranked(tri.withColumn("c", F.col("x0") + F.col("x1") + F.col("x2")).withColumn("all", F.lit(0)), "all", order)
