@@ -76,7 +76,7 @@ def p2_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.agg(F.count("*").alias("n_datasets"), near.alias("near"), F.lit(1).alias("one")).join(torn.withColumn("one", F.lit(1)), "one").drop("one")
 
 
-P2_FOUND_SQL = r"""
+_P2 = r"""
 WITH RECURSIVE cleaned AS (
   SELECT trim(regexp_replace(lower(dataset_id), '[^a-z0-9]+', '_', 'g'), '_') AS name, parent_catalog, notes FROM corpus_manifest
 ), parent AS (
@@ -93,9 +93,10 @@ reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN bot
 grp AS (SELECT a AS name, min(b) AS group_id FROM reach GROUP BY a),
 big AS (SELECT group_id FROM grp JOIN listed USING (name) GROUP BY group_id HAVING count(*) >= 2)
 """
+P2_FOUND_SQL = _P2 + "SELECT name AS dataset_id, group_id FROM grp JOIN listed USING (name) JOIN big USING (group_id)"
 QUERIES = {"p2_found": p2_found, "p2_splits": p2_splits, "p2_shares": p2_shares, "p2_kept": p2_kept}
 SQL = {
-    "p2_found": P2_FOUND_SQL + "SELECT name AS dataset_id, group_id FROM grp JOIN listed USING (name) JOIN big USING (group_id)",
-    "p2_kept": P2_FOUND_SQL + """SELECT count(*) AS n_datasets, true AS near, count(DISTINCT coalesce(group_id, name)) AS n_groups, 0 AS n_torn
+    "p2_found": P2_FOUND_SQL,
+    "p2_kept": _P2 + """SELECT count(*) AS n_datasets, true AS near, count(DISTINCT coalesce(group_id, name)) AS n_groups, 0 AS n_torn
       FROM listed LEFT JOIN grp USING (name)""",
 }
