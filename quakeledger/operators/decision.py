@@ -132,7 +132,7 @@ def documents(verdicts: DataFrame, results: DataFrame, gates: DataFrame) -> Data
     axes = F.struct("A", "P", "C", "I")
     got = verdicts.join(tests, "catalog_id", "left").join(bounds, "catalog_id", "left")
     document = F.struct(
-        "catalog_id", F.col("n").alias("n_records"), "decision", "trust", axes.alias("axes"), "evidence_coverage", "sample_sufficiency", "n_tests", "gates", "fired", "contradicted",
+        "catalog_id", "n", "decision", "trust", axes.alias("axes"), "evidence_coverage", "sample_sufficiency", "n_tests", "gates", "fired", "contradicted",
         "capped_by", "missing", "insufficient", "tests", caveats.alias("caveats"),
     )
     return got.select("catalog_id", document.alias("document"))

@@ -216,7 +216,7 @@ def report_text(documents: DataFrame) -> DataFrame:
     d = lambda f: F.col(f"document.{f}")
     number = lambda c, digits=3: F.coalesce(F.format_number(c, digits), F.lit("-"))
     axes = F.concat_ws(", ", *(F.concat(F.lit(f"{a} "), number(d(f"axes.{a}"))) for a in "APCI"))
-    head = F.concat(d("catalog_id"), F.lit(": "), d("decision"), F.lit(" (trust "), number(d("trust")), F.lit(", "), d("n_records").cast("string"), F.lit(" records)"))
+    head = F.concat(d("catalog_id"), F.lit(": "), d("decision"), F.lit(" (trust "), number(d("trust")), F.lit(", "), d("n").cast("string"), F.lit(" records)"))
     body = F.concat(F.lit("  axes: "), axes, F.lit("; evidence "), number(d("evidence_coverage")), F.lit(", sufficiency "), number(d("sample_sufficiency")), F.lit(f", tests "), d("n_tests").cast("string"))
     gate = lambda p: F.concat(F.lit(f"{p} "), d(f"gates.{p}.violations").cast("string"))
     gates = F.concat(F.lit("  out of bounds: "), F.concat_ws(", ", gate("P1"), gate("P2"), gate("P3")))
