@@ -58,16 +58,20 @@ def _votes(spark, sf_dir):
     return st.source_votes(bulletin(spark, sf_dir, *T4), references(spark, sf_dir))
 
 
+def flat(verdicts: DataFrame) -> DataFrame:
+    """Verdicts with rounded numbers and lists as texts."""
+    plain = {"double": lambda c: F.round(c, 6), "array<string>": lambda c: F.concat_ws(",", c)}
+    return verdicts.select(*(plain[t](c).alias(c) if t in plain else F.col(c) for c, t in verdicts.dtypes))
+
+
 def audit_referenced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict for every network of local_bulletin, held against the external reference sources."""
-    got = Audit(references(spark, sf_dir), faults(spark, sf_dir)).verdicts(bulletin(spark, sf_dir))
-    return got.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in got.dtypes))
+    return flat(Audit(references(spark, sf_dir), faults(spark, sf_dir)).verdicts(bulletin(spark, sf_dir)))
 
 
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict for every catalog on its own evidence alone."""
-    got = Audit(faults=faults(spark, sf_dir)).verdicts(catalog(spark, sf_dir))
-    return got.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in got.dtypes))
+    return flat(Audit(faults=faults(spark, sf_dir)).verdicts(catalog(spark, sf_dir)))
 
 
 def stage1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from quakeledger.operators import studies
 from quakeledger.operators.corpus import same_members
 from quakeledger.operators import subtests as st
 from quakeledger.operators.subtests import a6_external
-from quakeledger.plans.audit_queries import bulletin, catalog, faults, references
+from quakeledger.plans.audit_queries import bulletin, catalog, faults, flat, references
 from quakeledger.plans.audit_queries import _FAULTS, _GATES, _TAIL, DIST, T4, _stats, _votes
 from quakeledger.runtime import checkpoint, ensure_checkpoint_dir, fetch_bounded, present, table, written
 from quakeledger.sources import files
@@ -134,7 +134,7 @@ def ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     for level in range(1, 11):
         got = gen.fabricate(spark, f"rung_{level:02d}", 600, level)
         out = got if out is None else out.unionByName(got)
-    return _r(Audit(faults=faults(spark, sf_dir)).verdicts(out.withColumn("t", seconds())))
+    return flat(Audit(faults=faults(spark, sf_dir)).verdicts(out.withColumn("t", seconds())))
 
 
 def corrupted_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
