@@ -264,17 +264,22 @@ def same_members(left: DataFrame, right: DataFrame, key: str) -> bool:
 def grouped_split(groups: DataFrame, targets=(("train", 0.70), ("calibration", 0.15), ("test", 0.15)), seed: int = 0) -> DataFrame:
     """Groups (parent, n) with a split: in seeded order each goes to the split with the largest deficit.
 
-    The order matters, so the groups of a corpus (some hundreds, at most 100,000) are dealt on the driver; datasets join
-    the result by their parent.
+    The order matters, so all groups pass through one task in that order; they are sorted on disk where memory is short, and
+    the task holds no more than a batch of them and the deficits. Datasets join the result by their parent.
     """
-    rows = fetch_bounded(groups.orderBy(F.xxhash64("parent", F.lit(seed)), "parent"), 100_000, "the list of parents")
-    lacking = {s: share * sum(r["n"] for r in rows) for s, share in targets}
-    out = []
-    for r in rows:
-        to = max(lacking, key=lacking.get)
-        lacking[to] -= r["n"]
-        out.append((r["parent"], r["n"], to))
-    return groups.sparkSession.createDataFrame(out, "parent string, n long, split string")
+    total = groups.agg(F.sum("n").alias("n")).first()["n"] or 0
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lacking = {s: share * total for s, share in targets}
+        for x in batches:
+            to = []
+            for n in x["n"].tolist():
+                to.append(max(lacking, key=lacking.get))
+                lacking[to[-1]] -= n
+            yield x.assign(split=to)
+
+    rows = groups.select("parent", F.col("n").cast("long").alias("n")).repartition(1).sortWithinPartitions(F.xxhash64("parent", F.lit(seed)), "parent")
+    return rows.mapInPandas(deal, "parent string, n long, split string")
 
 
 def extremes(scores: DataFrame) -> DataFrame:
