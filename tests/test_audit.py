@@ -81,6 +81,12 @@ def test_another_catalog_changes_nothing(spark, ladder):
     assert both["crude"]["A"] < both["made"]["A"]
 
 
+def test_subtests_are_not_held_in_one_plan(spark, ladder):
+    rows = Audit().subtest_rows(ladder)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") < 10 and rows.select("test").distinct().count() == 20
+
+
 def test_degenerate_catalogs_pass_through(spark):
     rows = [("one", 1, 0, 1.0, 1.0, 1.0, 1.0, None)] + [("same", i, 0, 1.0, 1.0, 1.0, 4.0, "") for i in range(60)] + [("none", i, None, None, None, None, None, None) for i in range(60)]
     got = {r["catalog_id"]: r for r in Audit().verdicts(make(spark, rows)).collect()}

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quakeledger.plans import registry, study_queries
+from quakeledger.runtime import checkpoint, written
 from quakeledger.streaming.incremental import daily_gate_counts
 from tools.compare import canonical
 
@@ -56,6 +57,29 @@ def test_uncertainty_audits_a_hundred_replicates_of_both_tables(spark, monkeypat
     assert "record_id" in asked[1][1].columns and all(r["catalogs"] > 1 for r in got)
 
 
+@pytest.mark.skipif(not DATA.is_dir(), reason="the test data are not here")
+def test_replicates_audited_in_runs_are_those_of_one_run(spark, monkeypatch):
+    folders = []
+
+    class Spy:
+        def __init__(self, references=None, faults=None):
+            pass
+
+        def verdicts(self, cat):
+            kept = written(checkpoint(cat))
+            folders.append(kept.inputFiles()[0].removeprefix("file:").rpartition("/")[0])
+            return kept.groupBy("catalog_id").agg(F.avg("magnitude").alias("trust"), (F.count("*") > 20).alias("fired"), F.lit("ADMIT").alias("decision"))
+
+    monkeypatch.setattr(study_queries, "Audit", Spy)
+    results = []
+    for most, runs in ((1_000_000, 2), (30_000, 5)):
+        monkeypatch.setattr(study_queries, "RESAMPLED_ROWS", most)
+        results.append(canonical(study_queries.uncertainty(spark, str(DATA)).toPandas()))
+        assert len(folders) >= runs and not any(Path(x).exists() for x in folders)
+        folders.clear()
+    assert results[0].equals(results[1]) and set(results[1]["n_replicates"]) == {"100"}
+
+
 def test_all_sources_are_merged_pairwise(spark, monkeypatch):
     # Three sources report event 0, two of them event 1; 2 and 3 are far apart and stand in the last one alone.
     rows = [(i, s, t, 10.0, 10.0, 5.0) for i, s, t in ((1, "a", 0.0), (2, "b", 1.0), (3, "c", 2.0), (4, "b", 9_000.0), (5, "c", 9_001.0), (6, "c", 50_000.0), (7, "c", 90_000.0))]
